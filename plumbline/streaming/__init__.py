@@ -1,0 +1,4 @@
+"""Intentionally empty: every operator works on complete (batch) tables.
+
+The feature set has no streaming input, window or state; see the README.
+"""
