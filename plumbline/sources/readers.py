@@ -61,20 +61,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return infer_types(normalize_missing(reader.csv(path)))
 
 
-def read_csv_tolerant(spark: SparkSession, path: str, separator: str = ",") -> tuple[DataFrame, DataFrame]:
+def read_csv_tolerant(
+    spark: SparkSession, path: str, separator: str = ",", columns: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The rows of a CSV without its over-long lines, and the counts of both.
 
     Short lines are padded with null.  Line-based: values hold no line breaks.
+    The first line names the columns unless ``columns`` does.
     """
     lines = spark.read.text(path)
-    header = lines.first()["value"]
-    names = [re.sub(r'^"|"$', "", n.strip()) for n in header.split(separator)]
+    header, names = None, columns
+    if names is None:
+        header = lines.first()["value"]
+        names = [re.sub(r'^"|"$', "", n.strip()) for n in header.split(separator)]
     unquoted = F.regexp_replace("value", '"[^"]*"', "")
     fields = F.size(F.split(unquoted, re.escape(separator)))
-    body = lines.filter((F.col("value") != header) & (F.trim("value") != ""))
+    body = lines.filter(F.trim("value") != "")
+    if header is not None:
+        body = body.filter(F.col("value") != header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     kept = body.filter(fields <= len(names)).select(
-        F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": separator}).alias("r"))
+        F.from_csv("value", schema.toDDL(), {"sep": separator}).alias("r"))
     report = body.agg(
         F.count("*").alias("lines"), F.count_if(fields > len(names)).alias("skipped_lines"))
     return normalize_missing(kept.select("r.*")), report

@@ -38,7 +38,7 @@ def small_table(spark: SparkSession, rows: list, schema: str | T.StructType) ->
     """Literal rows as a table that the optimizer knows to be local."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     columns = list(zip(*rows)) if rows else [[] for _ in struct.fields]
-    arrow_schema = to_arrow_schema(struct, timezone=spark.conf.get("spark.sql.session.timeZone"))
+    arrow_schema = to_arrow_schema(struct)
     arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow_schema), struct)
 
