@@ -13,6 +13,7 @@ from plumbline.functions.columns import col, columns_of, kind_of
 from plumbline.operators import frequencies, issues
 from plumbline.operators.facts import local_facts, number
 from plumbline.operators.layout import lookup, melt, melt_numbers
+from plumbline.operators.scores import union_all
 from plumbline.params import DriftParams
 from plumbline.sources.state import as_local, small_table
 
@@ -49,7 +50,7 @@ def comparable_columns(baseline: DataFrame, current: DataFrame) -> tuple[list[st
 def _splits(df: DataFrame, columns: list[str], rows: int, rows_per_range: int) -> dict[str, list[float]]:
     """Cut points per column so that a range holds few distinct values."""
     ranges = min(10_000, -(-rows // rows_per_range))
-    shares = [i / ranges for i in range(1, ranges)]
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
     row = df.agg(*[
         F.percentile_approx(number(df, c), shares, 100 * ranges).alias(f"s{i}")
         for i, c in enumerate(columns)
@@ -91,15 +92,15 @@ def ks_statistics(
 def _value_sides(sides, to_long, by: list[str]) -> DataFrame:
     """Counts per distinct value on both sides, absent values as 0."""
     long = [to_long(df).select(*by, F.lit(b).alias("b"), F.lit(c).alias("c")) for df, b, c in sides]
-    return long[0].unionByName(long[1]).groupBy(*by).agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    return union_all(long).groupBy(*by).agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
 
 
 def _splits(sides, columns: list[str], rows: int, rows_per_range: int) -> dict[str, list[float]]:
     """Cut points per column, so that a range holds a bounded number of values."""
     ranges = min(10_000, -(-rows // rows_per_range))
-    shares = [i / ranges for i in range(1, ranges)]
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
     numbers = [df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]) for df, _, _ in sides]
-    row = numbers[0].unionByName(numbers[1]).agg(*[
+    row = union_all(numbers).agg(*[
         F.percentile_approx(F.col(f"v{i}"), shares, 100 * ranges).alias(f"s{i}") for i in range(len(columns))
     ]).first()
     return {c: sorted(set(row[f"s{i}"] or [])) or [0.0] for i, c in enumerate(columns)}
@@ -134,10 +135,18 @@ def _ranged_running(counts: DataFrame) -> DataFrame:
     return (
         counts.withColumns({"in_b": F.sum("b").over(within), "in_c": F.sum("c").over(within)})
         .join(F.broadcast(starts), ["column", "range"])
-        .select("column", "n1", "n2", (F.col("start_b") + F.col("in_b")).alias("cum_b"),
+        .select("column", "value", "n1", "n2", (F.col("start_b") + F.col("in_b")).alias("cum_b"),
                 (F.col("start_c") + F.col("in_c")).alias("cum_c")))
 
 
+def running_shares(df: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """(column, value, share): the empirical distribution function per numeric column."""
+    sides = ((df, 1, 0),)
+    splits = _splits(sides, columns, df.count(), rows_per_range)
+    counts = _value_sides(sides, lambda t: _with_ranges(t, columns, splits), ["column", "range", "value"])
+    return _ranged_running(counts).select("column", "value", (F.col("cum_b") / F.col("n1")).alias("share"))
+
+
 def with_ks_p_value(d: DataFrame, method: str = "auto") -> DataFrame:
     """Exact p-value for samples up to 10,000 rows, else the asymptotic series."""
     asymptotic = stats.ks_p_value(F.col("ks_statistic"), F.col("n1"), F.col("n2"))
@@ -417,8 +426,6 @@ def detect_drift(
         cells = new_category_issues(current, pairs, moved, key, p, dataset)
         found.append(cells.select(*issues.FIELDS))
         listed.append(cells.select(*issues.FIELDS))
-    from plumbline.operators.scores import union_all
-
     every = union_all(found) if found else issues.empty_issues(current)
     first = union_all(listed) if listed else issues.empty_issues(current)
     status = drift.agg(F.count_if(F.col("severity") == "critical").alias("critical")).select(

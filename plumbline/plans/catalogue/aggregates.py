@@ -271,7 +271,7 @@ def _(spark, d):
 
 
 @query("a25_severity_counts", """
-    SELECT n1 + n2 AS total, 0 AS critical, 0 AS high, n2 AS warning, 0 AS medium, 0 AS low, n1 AS info FROM (
+    SELECT n1 + n2 AS total, 0::BIGINT AS critical, 0::BIGINT AS high, n2 AS warning, 0::BIGINT AS medium, 0::BIGINT AS low, n1 AS info FROM (
       SELECT count(*) FILTER (WHERE o_totalprice IS NULL) AS n1, count(*) FILTER (WHERE o_orderpriority IS NULL) AS n2 FROM orders_nulls)""", ["orders_nulls"])
 def _(spark, d):
     df = view(spark, d, "orders_nulls")

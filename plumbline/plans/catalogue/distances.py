@@ -108,14 +108,10 @@ def _(spark, d):
     return rounded(found.select("column", "p_value"))
 
 
-@query("w4_running_shares", """
-    SELECT l_quantity AS value, round(sum(count(*)) OVER (ORDER BY l_quantity) / sum(count(*)) OVER (), 9) AS share FROM lineitem GROUP BY 1""")
+@query("w4_running_shares", union_sql(["l_quantity", "l_extendedprice"], """
+    SELECT '$c' AS "column", $c AS value, round(sum(count(*)) OVER (ORDER BY $c) / sum(count(*)) OVER (), 9) AS share FROM lineitem GROUP BY 2"""))
 def _(spark, d):
-    df = table(spark, d, "lineitem").select(F.col("l_quantity").alias("value"))
-    counts = df.groupBy("value").agg(F.count("*").alias("b"), F.lit(0).alias("c"), F.lit("q").alias("column"))
-    ranged = counts.withColumn("range", F.floor(F.col("value") / 10))
-    running = drift._ranged_running(ranged)
-    return rounded(running.select("value", (F.col("cum_b") / F.col("n1")).alias("share")), 9)
+    return rounded(drift.running_shares(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], 5000), 9, value=2)
 
 
 def _categories(spark, d):
@@ -272,7 +268,7 @@ def _(spark, d):
 
 @query("t17_weighted_risk", f"""
     SELECT round_even(0.4 * 100.0 * p / 5 + 0.3 * 0 + 0.3 * CASE WHEN p > 0 THEN 100.0 ELSE 0 END, 1) AS weighted_share,
-           round_even(100.0 - CASE WHEN p > 0 THEN 100.0 ELSE 0 END, 1) AS governance_coverage_pct
+           CAST(100.0 - CASE WHEN p > 0 THEN 100.0 ELSE 0 END AS DOUBLE) AS governance_coverage_pct
     FROM (SELECT count(*) FILTER (WHERE points > 0) AS p FROM ({risk_points_sql(["doc_id", "text", "lang", "source", "n_chars"], "documents")}))""")
 def _(spark, d):
     scores = privacy.risk_scores(privacy.column_risks(table(spark, d, "documents")))

@@ -58,6 +58,16 @@ VIEWS = {
                CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS marketing_opt_in,
                c_mktsegment AS api_key_hint, c_nationkey AS tax_id
         FROM {customer}""",
+    "orders_mixed": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS priority,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price, 'ERP' AS origin,
+               CASE WHEN o_custkey % 10 = 0 THEN CAST(o_custkey AS VARCHAR(20)) ELSE 'x' END AS code
+        FROM {orders}
+        UNION ALL
+        SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END, 'ERP',
+               CASE WHEN o_custkey % 10 = 0 THEN CAST(o_custkey AS VARCHAR(20)) ELSE 'x' END
+        FROM {orders} WHERE o_orderkey % 20 = 0""",
     "people": """
         SELECT c_custkey AS person_id, c_mktsegment AS segment,
                CASE WHEN c_custkey % 11 = 0 THEN NULL
