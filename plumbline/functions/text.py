@@ -25,16 +25,18 @@ def is_date_text(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """Text to double; text that is no number, and NaN, become null."""
-    plain = F.trim(F.regexp_replace(c, "_", ""))
-    number = F.when(is_numeric_text(c), plain.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    usable = is_numeric_text(c) & ~F.lower(c).contains("nan")
+    return F.when(usable, F.trim(F.regexp_replace(c, "_", "")).try_cast("double"))
 
 
 def to_integer(c: Column) -> Column:
-    """To bigint where the value is a whole number, else null."""
-    number = to_number(c.cast("string"))
-    exact = c.cast("string").try_cast("bigint")
-    return F.coalesce(exact, F.when(number == F.floor(number), number.try_cast("bigint")))
+    """Text to bigint where it is a whole number, else null."""
+    return F.coalesce(F.trim(c).try_cast("bigint"), whole(to_number(c)))
+
+
+def whole(number: Column) -> Column:
+    """A number as bigint where it has no fraction, else null."""
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 def to_timestamp(c: Column) -> Column:
@@ -44,7 +46,8 @@ def to_timestamp(c: Column) -> Column:
     """
     text = F.trim(c)
     iso = (
-        F.when(text.rlike(_ISO), text)
+        F.when(F.length(text) < 10, F.lit(None))
+        .when(text.rlike(_ISO), text)
         .when(text.rlike(_SLASH_ISO), F.regexp_replace(text, _SLASH_ISO, "$1-$2-$3"))
         .when(text.rlike(_MONTH_FIRST), F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2"))
     )

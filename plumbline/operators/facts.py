@@ -72,7 +72,13 @@ def _measures(df: DataFrame, name: str, parts: set[str], buffer_quartiles: bool)
             out |= {"min": F.min(v), "max": F.max(v), "mean": F.avg(v)}
     if kind == "numeric":
         if "moments" in parts:
-            out |= {"variance": F.var_samp(v), "std_dev": F.stddev_samp(v), "std_pop": F.stddev_pop(v)}
+            # One second moment per column; the deviations follow from it.
+            variance = F.var_samp(v)
+            out |= {
+                "variance": variance,
+                "std_dev": F.sqrt(variance),
+                "std_pop": F.when(counted == 1, 0.0).otherwise(F.sqrt(variance * (counted - 1) / counted)),
+            }
         if "skew" in parts:
             out["skew"] = F.skewness(v)
         if "shapes" in parts:

@@ -93,20 +93,33 @@ def severity(df: DataFrame, bound, p: OutlierParams) -> Column:
     return rules.iqr_severity(v, F.lit(bound["low"]), F.lit(bound["high"]), F.lit(iqr), p.nearest_fence)
 
 
-def outlier_summary(df: DataFrame, bound_rows: list, p: OutlierParams = OutlierParams()) -> DataFrame:
-    """Outlier count, share of all rows and advice per column; one scan."""
+def any_outlier(df: DataFrame, bound_rows: list, p: OutlierParams) -> Column:
+    return reduce(Column.__or__, [is_outlier(df, b, p) for b in bound_rows], F.lit(False))
+
+
+def outlier_counts(df: DataFrame, bound_rows: list, p: OutlierParams = OutlierParams()) -> DataFrame:
+    """Outliers per column, and rows with any outlier (no column); one scan."""
+    rows = bound_rows[0]["rows"] if bound_rows else 0
     counted = [
-        {"column": b["column"], "outlier_count": F.count_if(is_outlier(df, b, p)), "rows": b["rows"]}
+        {"column": b["column"], "outlier_count": F.count_if(is_outlier(df, b, p)), "rows": rows}
         for b in bound_rows
     ]
-    types = {"column": "string", "outlier_count": "bigint", "rows": "bigint"}
-    long = aggregate_rows(df, counted, types).filter("outlier_count > 0")
+    counted.append({"outlier_count": F.count_if(any_outlier(df, bound_rows, p)), "rows": rows})
+    return aggregate_rows(df, counted, {"column": "string", "outlier_count": "bigint", "rows": "bigint"})
+
+
+def summarized(counts: DataFrame) -> DataFrame:
+    """Outlier count, share of all rows and advice for the columns that have outliers."""
     pct = stats.percent(F.col("outlier_count"), F.col("rows"))
-    return long.select(
+    return counts.filter("column is not null and outlier_count > 0").select(
         "column", "outlier_count", F.bround(pct, 2).alias("outlier_pct"),
         rules.outlier_advice(pct).alias("advice"), rules.outlier_advice_priority(pct).alias("priority"))
 
 
+def outlier_summary(df: DataFrame, bound_rows: list, p: OutlierParams = OutlierParams()) -> DataFrame:
+    return summarized(outlier_counts(df, bound_rows, p))
+
+
 def outlier_issues(df: DataFrame, key: str | list[str], bound_rows: list, p: OutlierParams, dataset: str = "table") -> DataFrame:
     kind = "outlier_removed" if p.strategy == "remove" else "outlier_imputed"
     return issues.cell_issues(df, key, [
@@ -122,7 +135,7 @@ def clean(df: DataFrame, bound_rows: list, p: OutlierParams = OutlierParams()) -
     if not active:
         return df
     if p.strategy == "remove":
-        return df.filter(~reduce(Column.__or__, [is_outlier(df, b, p) for b in active]))
+        return df.filter(~any_outlier(df, active, p))
     stat = {"impute_mean": "mean", "impute_median": "median"}[p.strategy]
     return df.withColumns({
         b["column"]: F.when(is_outlier(df, b, p), F.lit(b[stat])).otherwise(col(b["column"])) for b in active})
@@ -130,12 +143,15 @@ def clean(df: DataFrame, bound_rows: list, p: OutlierParams = OutlierParams()) -
 
 def handle_outliers(df: DataFrame, key: str | list[str], p: OutlierParams = OutlierParams(), dataset: str = "table") -> Outliers:
     rows = bounds(df, p).collect()
-    summary = as_local(outlier_summary(df, rows, p))
+    counts = as_local(outlier_counts(df, rows, p))
+    summary = summarized(counts)
     table = clean(df, rows, p)
     found = outlier_issues(df, key, rows, p, dataset)
-    total = summary.agg(F.coalesce(F.sum("outlier_count"), F.lit(0))).first()[0]
+    counted = {r["column"]: r["outlier_count"] for r in counts.collect()}
+    rows_hit = counted.pop(None)
+    total = sum(counted.values())
     before = rows[0]["rows"] if rows else df.count()
-    after = table.count() if p.strategy == "remove" and total else before
+    after = before - rows_hit if p.strategy == "remove" else before
     # Every detected outlier is handled, so none of them remains.
     scores = cleaning_score(
         df.sparkSession, "outliers", total, 0, before, after, len(df.columns), len(table.columns),

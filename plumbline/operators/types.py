@@ -7,13 +7,13 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import rules, stats, text
+from plumbline.functions import stats, text
 from plumbline.functions.columns import col, columns_of, kind_of
 from plumbline.operators import issues
 from plumbline.operators.cleaning import cleaning_score
-from plumbline.operators.facts import column_facts, local_facts
+from plumbline.operators.facts import local_facts, number
 from plumbline.params import TypeParams
-from plumbline.sources.state import as_local
+from plumbline.sources.state import small_table
 
 
 class FixedTypes(NamedTuple):
@@ -60,7 +60,7 @@ def converted(df: DataFrame, name: str, target: str):
     if target == "numeric":
         return text.to_number(c) if kind == "text" else c
     if target == "integer":
-        return text.to_integer(c)
+        return text.to_integer(c) if kind == "text" else text.whole(number(df, name))
     if target == "datetime":
         return text.to_timestamp(c) if kind == "text" else c.cast("timestamp")
     if target in ("string", "category"):
@@ -86,24 +86,25 @@ def fix_types(df: DataFrame, key: str | list[str], p: TypeParams = TypeParams(),
 
     An integer fix keeps a column as it is when some value is not whole.
     """
-    before = as_local(type_shares(column_facts(df, ("shapes",)), p.share_threshold))
-    found = before.filter(F.col("suggested_type").isNotNull())
-    suggested = {r["column"]: r["suggested_type"] for r in found.collect()} if p.auto else {}
-    fixes = {n: t for n, t in {**suggested, **p.column_fixes}.items() if n in df.columns}
-    fixes = _without_lossy_integers(df, fixes)
+    facts_before = local_facts(df, ("shapes",))
+    before = type_shares(facts_before, p.share_threshold)
+    found = {r["column"]: r["suggested_type"] for r in before.collect() if r["suggested_type"]}
+    fixes = {n: t for n, t in {**(found if p.auto else {}), **p.column_fixes}.items() if n in df.columns}
+    known_whole = {r["column"] for r in facts_before.collect() if r["whole_numbers"]}
+    fixes = _without_lossy_integers(df, fixes, known_whole)
     table = apply_fixes(df, fixes)
-    after = as_local(type_shares(column_facts(table, ("shapes",)), p.share_threshold))
-    remaining = after.filter(F.col("suggested_type").isNotNull())
-    lost = local_facts(table).join(local_facts(df).select("column", F.col("null_count").alias("before")), "column")
-    actions = lost.filter(F.col("column").isin(list(fixes))).select(
-        F.lit(dataset).alias("dataset"), "column",
-        F.coalesce(*[F.when(F.col("column") == n, F.lit(t)) for n, t in fixes.items()], F.lit(None)).alias("strategy"),
-        (F.col("null_count") - F.col("before")).alias("cells_changed"),
-        F.lit(None).cast("string").alias("fill_value"))
-    n_before, n_after = found.count(), remaining.count()
-    rows = lost.agg(F.max("row_count")).first()[0]
+    facts_after = local_facts(table, ("shapes",)) if fixes else facts_before
+    after = type_shares(facts_after, p.share_threshold)
+    remaining = sum(1 for r in after.collect() if r["suggested_type"])
+    nulls = {r["column"]: r["null_count"] for r in facts_before.collect()}
+    log = [(dataset, r["column"], fixes[r["column"]], r["null_count"] - nulls[r["column"]], None)
+           for r in facts_after.collect() if r["column"] in fixes]
+    actions = small_table(
+        df.sparkSession, log,
+        "dataset string, column string, strategy string, cells_changed bigint, fill_value string")
+    rows = facts_before.first()["row_count"]
     scores = cleaning_score(
-        df.sparkSession, "types", n_before, n_after, rows, rows, len(df.columns), len(table.columns),
+        df.sparkSession, "types", len(found), remaining, rows, rows, len(df.columns), len(table.columns),
         (p.issue_reduction_weight, p.data_retention_weight, p.column_retention_weight),
         (p.excellent_threshold, p.good_threshold),
         ("Types Fixed", "Well Fixed", "Needs More Fixing"), dataset)
@@ -111,12 +112,12 @@ def fix_types(df: DataFrame, key: str | list[str], p: TypeParams = TypeParams(),
                       issues.reported(numeric_text_issues(df, key, dataset)))
 
 
-def _without_lossy_integers(df: DataFrame, fixes: dict[str, str]) -> dict[str, str]:
-    integers = [n for n, t in fixes.items() if t == "integer"]
+def _without_lossy_integers(df: DataFrame, fixes: dict[str, str], known_whole: set[str]) -> dict[str, str]:
+    integers = [n for n, t in fixes.items() if t == "integer" and n not in known_whole]
     if not integers:
         return fixes
     row = df.agg(*[
-        F.count_if(col(n).isNotNull() & text.to_integer(col(n)).isNull()).alias(f"n{i}")
+        F.count_if(col(n).isNotNull() & converted(df, n, "integer").isNull()).alias(f"n{i}")
         for i, n in enumerate(integers)]).first()
     lossy = {n for i, n in enumerate(integers) if row[f"n{i}"] > 0}
     return {n: t for n, t in fixes.items() if n not in lossy}
