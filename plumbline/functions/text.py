@@ -74,6 +74,14 @@ def matches_pii(c: Column, pii_type: str, pattern: str) -> Column:
     return (text.contains(literal) & found) if literal else found
 
 
+def plain_number(c: Column) -> Column:
+    """A double as text without an exponent below 1e16, as people write numbers."""
+    text = c.cast("string")
+    size = F.abs(c)
+    digits = F.regexp_replace(text.try_cast("decimal(38,10)").cast("string"), "0+$", "")
+    return F.when((size >= 1e7) & (size < 1e16), F.regexp_replace(digits, r"\.$", ".0")).otherwise(text)
+
+
 def risk_patterns(strict_ip: bool = False, unicode_classes: bool = False) -> dict[str, str]:
     patterns = dict(fixed.RISK_PII_PATTERNS)
     if strict_ip:

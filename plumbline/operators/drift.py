@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.functions.columns import col, columns_of, kind_of
-from plumbline.operators import frequencies, issues
+from plumbline.operators import frequencies, issues, quantiles
 from plumbline.operators.facts import local_facts, number
 from plumbline.operators.layout import lookup, melt, melt_numbers
 from plumbline.operators.scores import union_all
@@ -101,7 +101,7 @@ def _splits(sides, columns: list[str], rows: int, rows_per_range: int) -> dict[s
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
     numbers = [df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]) for df, _, _ in sides]
     row = union_all(numbers).agg(*[
-        F.percentile_approx(F.col(f"v{i}"), shares, 100 * ranges).alias(f"s{i}") for i in range(len(columns))
+        quantiles.sketched(F.col(f"v{i}"), shares, quantiles.SKETCH_SIZE).alias(f"s{i}") for i in range(len(columns))
     ]).first()
     return {c: sorted(set(row[f"s{i}"] or [])) or [0.0] for i, c in enumerate(columns)}
 
@@ -252,7 +252,8 @@ def new_category_issues(
     first = hit.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= p.rows_per_category)
     row_id = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     return first.select(
-        F.lit(dataset).alias("dataset"), row_id.alias("row_id"), F.struct(*keys).alias("row_key"),
+        F.lit(dataset).alias("dataset"), row_id.alias("row_id"),
+        F.struct(*[F.col(k).alias(n) for k, n in zip(keys, key)]).alias("row_key"),
         "column", F.lit("new_category").alias("issue_type"), F.lit(None).cast("string").alias("pii_type"),
         F.lit("warning").alias("severity"), "value",
         F.concat(F.lit("New category in column '"), "column", F.lit("'")).alias("message"))
@@ -343,15 +344,14 @@ def outlier_introduction(baseline: DataFrame, current: DataFrame, baseline_facts
 
 def rename_candidates(baseline: DataFrame, current: DataFrame, least: float = 0.5) -> DataFrame:
     """For each dropped column the added column with the most similar name."""
-    sets = column_sets(baseline, current)
-    dropped = sets.filter(F.col("change") == "dropped").select(F.col("column").alias("dropped"))
-    added = sets.filter(F.col("change") == "added").select(F.col("column").alias("added"))
+    old, new = baseline.columns, current.columns
+    pairs = [(d, a) for d in old if d not in new for a in new if a not in old]
+    named = small_table(baseline.sparkSession, pairs, "dropped string, added string")
     distance = F.levenshtein(F.lower("dropped"), F.lower("added"))
     similarity = 1 - distance / F.greatest(F.length("dropped"), F.length("added"))
     best = Window.partitionBy("dropped").orderBy(F.desc("similarity"), "added")
-    # Two lists of column names: their product is as small as the schemas.
     return (
-        dropped.join(F.broadcast(added), F.lit(True)).withColumn("similarity", similarity)
+        named.withColumn("similarity", similarity)
         .withColumn("rank", F.row_number().over(best))
         .filter((F.col("rank") == 1) & (F.col("similarity") >= least))
         .drop("rank"))
@@ -421,11 +421,11 @@ def detect_drift(
         base = local_facts(baseline.select(*[col(c) for c in shifted]), ("range", "moments"))
         cells = issues.cell_issues(current, key, numeric_drift_rules(current, base, shifted, p), dataset)
         found.append(cells.select(*issues.FIELDS))
-        listed.append(issues.first_per_kind(cells, p.rows_listed).select(*issues.FIELDS))
+        listed.append(issues.first_per_kind(cells, p.rows_listed))
     if moved:
         cells = new_category_issues(current, pairs, moved, key, p, dataset)
         found.append(cells.select(*issues.FIELDS))
-        listed.append(cells.select(*issues.FIELDS))
+        listed.append(cells)
     every = union_all(found) if found else issues.empty_issues(current)
     first = union_all(listed) if listed else issues.empty_issues(current)
     status = drift.agg(F.count_if(F.col("severity") == "critical").alias("critical")).select(

@@ -12,6 +12,7 @@ from plumbline.functions.columns import col, columns_of, kind_of, missing_column
 from plumbline.operators import issues
 from plumbline.operators.facts import present
 from plumbline.operators.layout import aggregate_rows
+from plumbline.operators.scores import score_rows
 from plumbline.params import GovernanceParams
 from plumbline.sources.state import as_local, small_table
 
@@ -84,12 +85,15 @@ def missing_fields(df: DataFrame, p: GovernanceParams = GovernanceParams()) -> D
     return small_table(df.sparkSession, rows, "area string, column string")
 
 
+def _row_count(facts: DataFrame) -> int:
+    return facts.filter(F.col("fact") == "rows").first()["n"]
+
+
 def governance_findings(
     facts: DataFrame, missing: DataFrame, p: GovernanceParams = GovernanceParams(),
     dataset: str = "table",
 ) -> DataFrame:
     """One row per violated rule with the points it costs."""
-    rows = facts.filter(F.col("fact") == "rows").select(F.col("n").alias("rows"))
     absent = missing.groupBy("area").agg(
         F.count("*").alias("n"), F.concat_ws(", ", F.sort_array(F.collect_list("column"))).alias("columns"))
     per_field = F.when(F.col("area") == "consent", 25.0).otherwise(20.0)
@@ -101,7 +105,7 @@ def governance_findings(
         F.concat(F.lit("Missing required fields: "), "columns").alias("message"),
         (per_field * F.col("n")).alias("points"),
     )
-    counted = facts.filter(F.col("fact") != "rows").crossJoin(F.broadcast(rows))
+    counted = facts.filter(F.col("fact") != "rows").withColumn("rows", F.lit(_row_count(facts)))
     null_pct = 100.0 * F.col("n") / F.col("rows")
 
     def rule(fact, area, kind, severity, points, condition=None):
@@ -149,15 +153,12 @@ def governance_scores(
     findings: DataFrame, facts: DataFrame, p: GovernanceParams = GovernanceParams(),
     dataset: str = "table",
 ) -> DataFrame:
-    from plumbline.operators.scores import score_rows
-
     def area(name):
         lost = F.coalesce(F.sum(F.when(F.col("area") == name, F.col("points"))), F.lit(0.0))
         return F.greatest(F.lit(0.0), 100.0 - lost).alias(name)
 
-    rows = facts.filter(F.col("fact") == "rows").select(F.col("n").alias("rows"))
-    row = findings.agg(area("lineage"), area("consent"), area("classification")).crossJoin(
-        F.broadcast(rows))
+    row = findings.agg(area("lineage"), area("consent"), area("classification")).withColumn(
+        "rows", F.lit(_row_count(facts)))
     empty = F.col("rows") == 0
     overall = F.when(empty, 0.0).otherwise(
         p.lineage_weight * F.col("lineage") + p.consent_weight * F.col("consent")
@@ -223,6 +224,6 @@ def governance(
     return Governance(
         governance_scores(findings, facts, p, dataset),
         findings.drop("area"),
-        issues.reported(listed.select(*issues.FIELDS)),
+        issues.reported(listed),
         issues.issue_summary(found),
     )

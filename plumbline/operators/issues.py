@@ -100,9 +100,12 @@ def first_per_kind(issues: DataFrame, n: int, by: tuple[str, ...] = ("column", "
 
 
 def reported(issues: DataFrame, limit: int = 100) -> DataFrame:
-    """At most ``limit`` issues over all kinds, in key order."""
-    order = ["row_key"] if "row_key" in issues.columns else ["row_id"]
-    return issues.orderBy(*order, "column", "issue_type", "pii_type").limit(limit).select(*FIELDS)
+    """At most ``limit`` issues over all kinds, in key order; those without a row last."""
+    by_row = [F.col("row_key").asc_nulls_last()] if "row_key" in issues.columns else []
+    return (
+        issues.orderBy(*by_row, F.col("row_id").asc_nulls_last(), "column", "issue_type", "pii_type")
+        .limit(limit)
+        .select(*FIELDS))
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:

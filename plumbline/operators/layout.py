@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import col, columns_of
+from plumbline.functions.text import plain_number
 from plumbline.sources.state import as_local, durable, small_table
 
 BROADCAST_ROWS = 100_000
@@ -60,6 +61,13 @@ def text_form(df: DataFrame, name: str) -> Column:
     return col(name).cast("string")
 
 
+def written_form(df: DataFrame, name: str) -> Column:
+    """A column as text for pattern searches: numbers without an exponent."""
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return plain_number(F.when(~F.isnan(col(name)), col(name)))
+    return text_form(df, name)
+
+
 def melt(df: DataFrame, columns: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
     """Wide to long: one (column, value) row per cell, value as text."""
     names = columns or df.columns

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed, rules, text
 from plumbline.functions.columns import col, columns_of, sensitive_table
 from plumbline.operators import issues
-from plumbline.operators.layout import aggregate_rows, text_form
+from plumbline.operators.layout import aggregate_rows, written_form
 from plumbline.operators.sampling import first_non_null
+from plumbline.operators.scores import score_rows, union_all
 from plumbline.params import RiskParams
 from plumbline.sources.state import as_local
 
@@ -44,7 +45,7 @@ def pii_matches(
         return counted.unpivot(["column"], list(patterns), "pii_type", "matches")
     rows = [
         {"column": name, "pii_type": pii_type,
-         "matches": F.count_if(text.matches_pii(text_form(df, name), pii_type, pattern))}
+         "matches": F.count_if(text.matches_pii(written_form(df, name), pii_type, pattern))}
         for name in names
         for pii_type, pattern in patterns.items()
     ]
@@ -98,8 +99,6 @@ def column_risks(df: DataFrame, p: RiskParams = RiskParams(), order_by=None) ->
 
 def risk_scores(risks: DataFrame, p: RiskParams = RiskParams(), dataset: str = "table") -> DataFrame:
     """Mean column score, flag counts, status and the weighted share composite."""
-    from plumbline.operators.scores import score_rows
-
     exposed = F.col("pii_detected") | F.col("is_sensitive")
     row = risks.agg(
         F.coalesce(F.bround(F.avg("risk_score")), F.lit(0.0)).alias("overall"),
@@ -133,8 +132,8 @@ def risk_scores(risks: DataFrame, p: RiskParams = RiskParams(), dataset: str = "
 def pii_rules(df: DataFrame, patterns: dict[str, str], columns: list[str] | None = None) -> list:
     return [
         issues.CellRule(
-            name, "pii_detected", "critical", text.matches_pii(text_form(df, name), pii_type, pattern),
-            value=text.mask(text_form(df, name)), pii_type=pii_type,
+            name, "pii_detected", "critical", text.matches_pii(written_form(df, name), pii_type, pattern),
+            value=text.mask(written_form(df, name)), pii_type=pii_type,
             message=f"PII detected ({pii_type}) in column '{name}'")
         for name in (columns or df.columns)
         for pii_type, pattern in patterns.items()
@@ -183,15 +182,13 @@ def risk(df: DataFrame, key: str | list[str], p: RiskParams = RiskParams(), data
         for rule in pii_rules(df, {t: patterns[t] for t in types}, [name])
     ]
     found = issues.cell_issues(df, key, made, dataset)
-    listed = (
-        issues.first_per_kind(found, p.rows_listed).select(*issues.FIELDS) if made else found
-    )
+    listed = issues.first_per_kind(found, p.rows_listed) if made else found
     by_column = column_issues(risks, dataset)
     return Risk(
         risks.select(F.lit(dataset).alias("dataset"), *risks.columns),
         risk_scores(risks, p, dataset),
         risk_findings(risks, dataset),
-        issues.reported(listed.unionByName(by_column)),
+        issues.reported(union_all([listed, by_column])),
         issues.issue_summary(found.select(*issues.FIELDS).unionByName(by_column)),
     )
 
@@ -203,7 +200,7 @@ def tag_compliance(df: DataFrame, columns: list[str] | None = None, p: RiskParam
     hits = [
         F.when(
             F.coalesce(
-                *[F.when(text.matches_pii(text_form(df, n), t, pattern), F.lit(True)) for n in names],
+                *[F.when(text.matches_pii(written_form(df, n), t, pattern), F.lit(True)) for n in names],
                 F.lit(False),
             ),
             F.lit(t),

@@ -12,6 +12,7 @@ from plumbline.functions.columns import columns_of
 from plumbline.operators import duplicates, frequencies, issues
 from plumbline.operators.facts import local_facts, number
 from plumbline.operators.layout import aggregate_rows
+from plumbline.operators.scores import union_all
 from plumbline.params import ProfileParams
 from plumbline.sources.state import as_local, small_table
 
@@ -206,17 +207,14 @@ def duplicate_issues(df: DataFrame, key: str | list[str], dataset: str = "table"
     )
 
 
-def routing(findings: DataFrame, rows: DataFrame) -> DataFrame:
+def routing(findings: DataFrame, row_count: int, dataset: str = "table") -> DataFrame:
     """Needs Review when a warning or critical finding exists or the table is empty."""
-    serious = findings.agg(
-        F.count_if(F.col("severity").isin("warning", "critical")).alias("serious")
-    )
-    return serious.crossJoin(F.broadcast(rows)).select(
-        "dataset",
-        F.when((F.col("serious") > 0) | (F.col("row_count") == 0), "Needs Review")
-        .otherwise("Ready")
-        .alias("status"),
-        F.when(F.col("row_count") == 0, "Dataset is empty.")
+    serious = findings.agg(F.count_if(F.col("severity").isin("warning", "critical")).alias("serious"))
+    empty = F.lit(row_count == 0)
+    return serious.select(
+        F.lit(dataset).alias("dataset"),
+        F.when((F.col("serious") > 0) | empty, "Needs Review").otherwise("Ready").alias("status"),
+        F.when(empty, "Dataset is empty.")
         .when(F.col("serious") > 0,
               "Data quality issues detected (high nulls, outliers, or empty dataset).")
         .otherwise("No significant data quality issues detected.")
@@ -243,21 +241,18 @@ def profile(
     cells = profile_issues(df, key, facts, p, dataset)
     groups = duplicate_issues(df, key, dataset)
     constant = constant_issues(columns, top)
-    listed_issues = (
-        issues.first_per_kind(cells, p.null_rows_listed).select(*issues.FIELDS)
-        if "row_key" in cells.columns else cells
-    )
+    listed_cells = issues.first_per_kind(cells, p.null_rows_listed) if "row_key" in cells.columns else cells
     first_groups = groups.orderBy("row_key").limit(p.duplicate_groups_listed)
-    every = listed_issues.unionByName(constant).unionByName(first_groups.select(*issues.FIELDS))
+    every = union_all([listed_cells, first_groups, constant])
     full = (
         cells.select(*issues.FIELDS).unionByName(constant).unionByName(groups.select(*issues.FIELDS))
     )
-    rows = columns.groupBy("dataset").agg(F.max("row_count").alias("row_count"))
+    row_count = facts.first()["row_count"]
     return Profile(
         columns.select(*PROFILE_FIELDS),
         top.select(F.lit(dataset).alias("dataset"), "column", "rank", "value", "count"),
         issues.reported(every),
         issues.issue_summary(full),
         findings,
-        routing(findings, rows),
+        routing(findings, row_count, dataset),
     )

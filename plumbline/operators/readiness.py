@@ -14,6 +14,7 @@ from plumbline.operators.facts import column_facts
 from plumbline.operators.sampling import first_non_null
 from plumbline.params import ReadinessParams
 from plumbline.functions.text import is_numeric_text
+from plumbline.sources.state import as_local, small_table
 
 
 class Readiness(NamedTuple):
@@ -53,13 +54,12 @@ def readiness_facts(df: DataFrame, p: ReadinessParams = ReadinessParams(), order
         F.count_if("constant").alias("constant_columns"),
         mixed.alias("mixed_columns"),
     )
+    parts = [table, duplicates.duplicate_summary(df).select("duplicate_rows")]
     if p.sample_rows:
         sampled = numeric_looking_columns(df, p.sample_rows, order_by)
-        table = table.drop("mixed_columns").crossJoin(
-            sampled.agg(F.count_if(F.col("numeric_values") > 0).alias("mixed_columns"))
-        )
-    rows = duplicates.duplicate_summary(df).select("duplicate_rows")
-    return table.crossJoin(rows)
+        mixed = sampled.agg(F.count_if(F.col("numeric_values") > 0).alias("mixed_columns"))
+        parts = [table.drop("mixed_columns"), parts[1], mixed]
+    return scores.side_by_side(parts)
 
 
 def readiness_scores(facts: DataFrame, p: ReadinessParams = ReadinessParams(), dataset: str = "table") -> DataFrame:
@@ -161,8 +161,6 @@ def readiness_findings(score_rows: DataFrame, lines: DataFrame) -> DataFrame:
 def readiness(
     df: DataFrame, key: str | list[str], p: ReadinessParams = ReadinessParams(), dataset: str = "table"
 ) -> Readiness:
-    from plumbline.sources.state import as_local, small_table
-
     facts = as_local(readiness_facts(df, p, key if isinstance(key, list) else [key]))
     columns = as_local(column_facts(df, ("constant", "numeric_text")))
     result = readiness_scores(facts, p, dataset)
@@ -174,11 +172,8 @@ def readiness(
         F.lit("constant_column").alias("issue_type"), F.lit(None).cast("string").alias("pii_type"),
         F.lit("info").alias("severity"), F.col("sample_value").alias("value"),
         F.concat(F.lit("Column '"), F.col("column"), F.lit("' has only one unique value")).alias("message"))
-    listed = (
-        issues.first_per_kind(nulls, 20).select(*issues.FIELDS)
-        .unionByName(groups.orderBy("row_key").limit(10).select(*issues.FIELDS))
-        .unionByName(constant)
-    )
+    listed = scores.union_all(
+        [issues.first_per_kind(nulls, 20), groups.orderBy("row_key").limit(10), constant])
     full = (
         nulls.select(*issues.FIELDS).unionByName(groups.select(*issues.FIELDS)).unionByName(constant)
     )

@@ -32,5 +32,11 @@ def mean_scores(scores: DataFrame, digits: int = 0) -> DataFrame:
     )
 
 
+def side_by_side(rows: list[DataFrame]) -> DataFrame:
+    """One-row tables with different columns as one row."""
+    return union_all(rows).agg(*[
+        F.first(F.col(f"`{name}`"), ignorenulls=True).alias(name) for row in rows for name in row.columns])
+
+
 def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

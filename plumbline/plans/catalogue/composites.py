@@ -14,7 +14,7 @@ from plumbline.params import (
 from plumbline.plans import workflows
 from plumbline.plans.catalogue.aggregates import _PII, risk_points_sql
 from plumbline.plans.catalogue.distances import BOTH, _KS_P, _PAIRS, _changed, _ks_sql, _sides
-from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
+from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view, with_size
 
 
 def _number_row(c, data_type, source):
@@ -167,7 +167,7 @@ def _(spark, d):
 def _(spark, d):
     df = view(spark, d, "customer_sensitive")
     risks = privacy.column_risks(df).select("column", "risk_score", "risk_level", "governance_gap")
-    return risks.crossJoin(df.agg(F.count("*").alias("row_count")))
+    return with_size(risks, df)
 
 
 @query("c3_risk_status", f"""
@@ -355,7 +355,7 @@ def _(spark, d):
 def _(spark, d):
     base, cur = _changed(spark, d)
     found = schema_drift.schema_drift(base, cur).recommendations.select("column", "priority", "category")
-    return found.crossJoin(cur.agg((F.count("*") > 0).alias("compared")))
+    return with_size(found, cur).withColumn("compared", F.col("row_count") > 0).drop("row_count")
 
 
 _AUTO_FILL = """
@@ -437,7 +437,7 @@ def _(spark, d):
 def _(spark, d):
     df = view(spark, d, "orders_text")
     found = types.fix_types(df, "o_orderkey").type_issues.select("column", "suggested_type")
-    return found.crossJoin(df.agg(F.count("*").alias("row_count")))
+    return with_size(found, df)
 
 
 @query("c10_type_score", """
@@ -486,6 +486,6 @@ def _(spark, d):
 def _(spark, d):
     df = table(spark, d, "lineitem")
     record = workflows.run_record(spark, "profile", "lineitem", df.columns, ProfileParams(), dt.datetime(2024, 5, 1))
-    rows = df.agg(F.count("*").alias("row_count"))
-    return record.select("operator", "dataset", F.size("fields").alias("fields"),
-                         F.col("parameters")["categorical_threshold"].alias("categorical_threshold")).crossJoin(rows)
+    shown = record.select("operator", "dataset", F.size("fields").alias("fields"),
+                         F.col("parameters")["categorical_threshold"].alias("categorical_threshold"))
+    return with_size(shown, df)

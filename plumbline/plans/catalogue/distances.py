@@ -9,7 +9,7 @@ from plumbline.operators import drift, frequencies, privacy, profile, schema_dri
 from plumbline.operators.facts import column_facts, local_facts
 from plumbline.params import DriftParams, SchemaDriftParams
 from plumbline.plans.catalogue.aggregates import risk_points_sql
-from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
+from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view, with_size
 
 BOTH = ["events_base", "events_cur"]
 
@@ -222,8 +222,7 @@ def _(spark, d):
 def _(spark, d):
     df = table(spark, d, "customer")
     renamed = df.withColumnRenamed("c_mktsegment", "c_market_segment").withColumn("zz", F.lit(1))
-    rows = df.agg(F.count("*").alias("row_count"))
-    return rounded(drift.rename_candidates(df, renamed).crossJoin(rows))
+    return rounded(with_size(drift.rename_candidates(df, renamed), df))
 
 
 def _flags_source(spark, d):

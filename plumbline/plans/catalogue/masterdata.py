@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import duplicates, master, neighbors, privacy
 from plumbline.plans import workflows
 from plumbline.plans.catalogue.aggregates import _PII
-from plumbline.plans.catalogue.registry import VIEWS, query, rounded, table, view
+from plumbline.plans.catalogue.registry import VIEWS, query, rounded, table, view, with_size
 
 
 @query("j6_rows_of_duplicate_groups", """
@@ -110,7 +110,7 @@ def _(spark, d):
 def _(spark, d):
     df = view(spark, d, "customer_sensitive")
     tags = privacy.column_tags(privacy.column_risks(df)).select("column", "suggested_classification")
-    return tags.crossJoin(df.agg(F.count("*").alias("row_count")))
+    return with_size(tags, df)
 
 
 @query("m5_master_report", f"""

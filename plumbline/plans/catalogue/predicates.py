@@ -10,7 +10,7 @@ from plumbline.operators import checks, drift, frequencies, governance, issues,
 from plumbline.operators.facts import column_facts, local_facts, present
 from plumbline.params import CheckRules, DriftParams, GovernanceParams, OutlierParams
 from plumbline.plans.catalogue.aggregates import _PII
-from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
+from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view, with_size
 from plumbline.sources.state import small_table
 
 
@@ -123,8 +123,7 @@ def _(spark, d):
       ('classification', 'retention_period')) AS t(area, c)""", ["customer_governed"])
 def _(spark, d):
     df = view(spark, d, "customer_governed")
-    rows = df.agg(F.count("*").alias("row_count"))
-    return governance.missing_fields(df).crossJoin(rows)
+    return with_size(governance.missing_fields(df), df)
 
 
 def _outlier_rows(spark, d, p):

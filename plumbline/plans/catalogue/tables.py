@@ -12,9 +12,9 @@ from plumbline.functions.columns import columns_of
 from plumbline.operators import duplicates, fills, frequencies, issues, master, nulls, outliers, sampling, schema_drift
 from plumbline.operators.facts import column_facts, local_facts, table_counts
 from plumbline.operators.layout import melt_numbers, with_row_id
-from plumbline.operators.scores import union_all
+from plumbline.operators.scores import side_by_side, union_all
 from plumbline.params import OutlierParams
-from plumbline.plans.catalogue.registry import _TABLES, query, rounded, table, union_sql, view
+from plumbline.plans.catalogue.registry import _TABLES, query, rounded, table, union_sql, view, with_size
 from plumbline.plans.workflows import over_tables
 from plumbline.sources import readers, writers
 from plumbline.sources.state import small_table
@@ -92,7 +92,7 @@ def _(spark, d):
            "customer": old["customer"].filter("c_acctbal > 0"), "part": table(spark, d, "part")}
     pairs = readers.pair_tables(old, new)
     return union_all([
-        b.agg(F.count("*").alias("baseline_rows")).crossJoin(c.agg(F.count("*").alias("current_rows")))
+        side_by_side([b.agg(F.count("*").alias("baseline_rows")), c.agg(F.count("*").alias("current_rows"))])
         .select(F.lit(name).alias("dataset"), "baseline_rows", "current_rows")
         for name, (b, c) in pairs.items()])
 
@@ -340,8 +340,7 @@ def _(spark, d):
     from plumbline.operators.drift import column_sets
 
     old, new = _catalogs(spark, d)
-    rows = old["customer"].agg(F.count("*").alias("row_count"))
-    return column_sets(old["customer"], new["customer"]).crossJoin(rows)
+    return with_size(column_sets(old["customer"], new["customer"]), old["customer"])
 
 
 @query("u2_table_sets", """

@@ -13,7 +13,7 @@ from plumbline.operators import drift as drift_ops
 from plumbline.operators import issues, master, privacy
 from plumbline.operators import profile as profile_ops
 from plumbline.operators import readiness as readiness_ops
-from plumbline.operators.scores import union_all
+from plumbline.operators.scores import side_by_side, union_all
 from plumbline.params import DriftParams, ProfileParams, ReadinessParams, RiskParams, effective
 from plumbline.sources.state import as_local, small_table
 
@@ -116,7 +116,7 @@ def master_workflow(
         F.countDistinct("entity_id").alias("entities"),
         F.count_if("contains_pii").alias("pii_rows"))
     before = df.agg(F.count("*").alias("original_rows"))
-    report = before.crossJoin(counts).select(
+    report = side_by_side([before, counts]).select(
         F.lit(dataset).alias("dataset"), "original_rows", "unique_rows",
         (F.col("original_rows") - F.col("unique_rows")).alias("removed_rows"), "entities", "pii_rows")
     return MasterReport(table, report, privacy.column_tags(risks), privacy.risk_findings(risks, dataset))

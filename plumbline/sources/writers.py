@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.scores import side_by_side
+
 
 def write_results(result, folder: str, fmt: str = "parquet", mode: str = "overwrite") -> list[str]:
     """Every table of a result under ``folder/<table name>``."""
@@ -26,12 +28,12 @@ def report_json(result, skip: tuple[str, ...] = ("table",)) -> DataFrame:
     Report tables are bounded (columns, rules, listed issues); the cleaned
     table is not part of the report.
     """
-    document = None
-    for name, table in result._asdict().items():
-        if name in skip or not isinstance(table, DataFrame):
-            continue
-        rows = table.agg(F.collect_list(F.struct(*table.columns)).alias(name))
-        document = rows if document is None else document.crossJoin(rows)
+    parts = [
+        table.agg(F.collect_list(F.struct(*table.columns)).alias(name))
+        for name, table in result._asdict().items()
+        if name not in skip and isinstance(table, DataFrame)
+    ]
+    document = side_by_side(parts)
     return document.select(F.to_json(F.struct(*document.columns)).alias("report"))
 
 
