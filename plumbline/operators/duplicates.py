@@ -53,7 +53,7 @@ def rows_of_duplicate_groups(df: DataFrame, columns: list[str] | None = None) ->
     names = columns or df.columns
     groups = digest_counts(df, names).filter(F.col("duplicate_count") > 1)
     tagged = df.withColumn("row_key", row_digest(df, names))
-    return lookup(tagged, groups, "row_key")
+    return lookup(tagged, groups, "row_key", hot_by="duplicate_count")
 
 
 def group_members(rows: DataFrame, key: str | list[str], listed: int = 5) -> DataFrame:

@@ -117,26 +117,39 @@ def key_columns(key: str | list[str]) -> list[Column]:
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, on: str, how: str = "inner", stored: bool = False
+    left: DataFrame,
+    right: DataFrame,
+    on: str,
+    how: str = "inner",
+    stored: bool = False,
+    hot_by: str | None = None,
 ) -> DataFrame:
     """Join to a right side that has one row per key, safe for hot left keys.
 
-    The right side is written once and counted: at most ``BROADCAST_ROWS`` rows
-    are broadcast.  Beyond that
-    the ``HOT_KEYS`` most frequent left keys (a fixed number, whatever the data)
-    are looked up by broadcast and only the others are shuffled, so no task
-    gets all rows of a frequent key.
+    The right side is written once (unless ``stored``) and counted: at most
+    ``BROADCAST_ROWS`` rows are broadcast.  Beyond that the ``HOT_KEYS`` most
+    frequent left keys (a fixed number, whatever the data) are looked up by
+    broadcast and only the others are shuffled, so no task gets all rows of a
+    frequent key.  ``hot_by`` names a right column that already holds the key
+    frequencies.  Left rows without a key never match and are not shuffled.
     """
     right = right if stored else durable(right)
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
-    hot = as_local(
-        left.groupBy(on).count().orderBy(F.desc("count"), on).limit(HOT_KEYS).select(on)
-    )
+    if hot_by:
+        ranked = right.select(on, F.col(hot_by).alias("_frequency"))
+    else:
+        ranked = left.groupBy(on).agg(F.count("*").alias("_frequency"))
+    ranked = ranked.filter(col(on).isNotNull())
+    hot = as_local(ranked.orderBy(F.desc("_frequency"), on).limit(HOT_KEYS).select(on))
+    keyed = left.filter(col(on).isNotNull())
     hot_right = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
-    hot_left = left.join(F.broadcast(hot), on, "left_semi")
-    cold_left = left.join(F.broadcast(hot), on, "left_anti")
-    return hot_left.join(hot_right, on, how).unionByName(cold_left.join(right, on, how))
+    found = keyed.join(F.broadcast(hot), on, "left_semi").join(hot_right, on, how)
+    others = keyed.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
+    found = found.unionByName(others)
+    if how == "left":
+        found = found.unionByName(left.filter(col(on).isNull()), allowMissingColumns=True)
+    return found
 
 
 def range_buckets(df: DataFrame, order: list[Column], buckets: int | None = None) -> DataFrame:

@@ -41,9 +41,9 @@ def resolve_by_key(df: DataFrame, key: str, record_id: str, kind: str = "text")
     keyed = df.withColumn("_match", match_key(col(key), kind))
     smallest = keyed.filter(F.col("_match").isNotNull()).groupBy("_match").agg(
         F.min(col(record_id)).alias("_entity"), F.count("*").alias("_n"))
-    shared = smallest.filter(F.col("_n") > 1).drop("_n")
-    named = lookup(keyed, shared, "_match", "left")
-    return named.withColumn("entity_id", F.coalesce("_entity", col(record_id))).drop("_match", "_entity")
+    shared = smallest.filter(F.col("_n") > 1)
+    named = lookup(keyed, shared, "_match", "left", hot_by="_n")
+    return named.withColumn("entity_id", F.coalesce("_entity", col(record_id))).drop("_match", "_entity", "_n")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -58,14 +58,14 @@ def components(links: DataFrame) -> DataFrame:
     for turn in itertools.count():
         rank = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), F.col("node").alias("node"))
         best = pairs.groupBy("link").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
-        best = durable(best.filter(F.col("n") > 1).select("link", "best"))
+        best = durable(best.filter(F.col("n") > 1))
         if best.isEmpty():
             break
-        joined = lookup(pairs, best, "link", stored=True)
-        step = durable(joined.groupBy("node").agg(F.min("best").alias("b")).select("node", F.col("b.node").alias("hop")))
+        live = durable(lookup(pairs, best, "link", stored=True, hot_by="n"))
+        step = durable(live.groupBy("node").agg(F.min("best").alias("b")).select("node", F.col("b.node").alias("hop")))
         steps.append(step)
-        live = lookup(pairs, best.select("link"), "link", "left_semi", stored=True)
-        pairs = durable(lookup(live, step, "node", stored=True).select(F.col("hop").alias("node"), "link").distinct())
+        moved = lookup(live.select("node", "link"), step, "node", stored=True)
+        pairs = durable(moved.select(F.col("hop").alias("node"), "link").distinct())
     if not steps:
         return links.select("node", F.col("node").alias("root")).limit(0)
     roots = steps[-1].select("node", F.col("hop").alias("root"))
@@ -90,8 +90,8 @@ def resolve_entities(df: DataFrame, keys: dict[str, str], record_id: str) -> Dat
         part = part.filter(F.col("link").isNotNull())
         links = part if links is None else links.unionByName(part)
     roots = durable(components(links))
-    names = roots.groupBy("root").agg(F.min("node").alias("entity_id"))
-    members = lookup(roots, names, "root").select(F.col("node").alias(record_id), "entity_id")
+    names = roots.groupBy("root").agg(F.min("node").alias("entity_id"), F.count("*").alias("members"))
+    members = lookup(roots, names, "root", hot_by="members").select(F.col("node").alias(record_id), "entity_id")
     joined = df.join(members, record_id, "left")
     return joined.withColumn("entity_id", F.coalesce("entity_id", col(record_id))).select(
         *[col(n) for n in df.columns], "entity_id")

@@ -126,3 +126,22 @@ def test_constant_column_has_no_entropy_and_counts_add_up(spark):
     spread = {r["column"]: r for r in frequencies.distribution(frequencies.value_counts(df)).collect()}
     assert spread["c"]["entropy"] == pytest.approx(0.0) and spread["c"]["total"] == 4
     assert spread["d"]["total"] == 3 and spread["d"]["distinct_count"] == 2
+
+
+def test_first_rows_per_kind_are_limited_before_the_shuffle(spark, capsys):
+    from plumbline.operators import issues, master
+
+    df = spark.range(100).select("id", F.lit(None).cast("string").alias("t"))
+    issues.first_per_kind(issues.null_issues(df, "id"), 20).explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+    master.deduplicate(df.withColumn("t", (F.col("id") % 3).cast("string")), ["t"], ["id"]).explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path, capsys):
+    from plumbline.operators.facts import column_facts
+
+    spark.range(50).selectExpr("id", "id * 2 AS x", "'t' AS unused").write.parquet(str(tmp_path / "t"))
+    column_facts(spark.read.parquet(str(tmp_path / "t")), ("range",), ["x"]).explain()
+    plan = capsys.readouterr().out
+    assert "ReadSchema: struct<x:bigint>" in plan

@@ -1,7 +1,10 @@
 """Every catalogue query against its SQL twin on the smallest tables."""
 
+import contextlib
+import io
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -34,6 +37,10 @@ def ordered(rows):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        df.explain()
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan.getvalue())
     columns = sorted(df.columns)
     found = ordered([tuple(plain(r[c]) for c in columns) for r in df.collect()])
     if name not in ORACLE:
