@@ -23,10 +23,14 @@ def is_date_text(c: Column) -> Column:
     return c.rlike(fixed.DATE_TEXT)
 
 
+def converts_to_number(c: Column) -> Column:
+    """Numeric text that a column conversion accepts: no NaN, no digit separators."""
+    return is_numeric_text(c) & ~F.lower(c).contains("nan") & ~c.contains("_")
+
+
 def to_number(c: Column) -> Column:
     """Text to double; text that is no number, and NaN, become null."""
-    usable = is_numeric_text(c) & ~F.lower(c).contains("nan")
-    return F.when(usable, F.trim(F.regexp_replace(c, "_", "")).try_cast("double"))
+    return F.when(converts_to_number(c), F.trim(c).try_cast("double"))
 
 
 def to_integer(c: Column) -> Column:

@@ -28,7 +28,7 @@ _TYPES = {
     "variance": "double", "std_dev": "double", "std_pop": "double", "skew": "double",
     "p25": "double", "median": "double", "p75": "double",
     "earliest": "timestamp", "latest": "timestamp", "parsed_dates": "bigint",
-    "numeric_text": "bigint", "date_text": "bigint", "whole_numbers": "boolean",
+    "numbers": "bigint", "numeric_text": "bigint", "date_text": "bigint", "whole_numbers": "boolean",
     "constant": "boolean", "sample_value": "string",
     "min_length": "bigint", "max_length": "bigint",
 }
@@ -39,7 +39,7 @@ _PARTS = {
     "quartiles": ["p25", "median", "p75"],
     "dates": ["earliest", "latest", "parsed_dates"],
     "shapes": ["numeric_text", "date_text", "whole_numbers"],
-    "numeric_text": ["numeric_text"],
+    "numbers": ["numbers"],
     "constant": ["constant", "sample_value"],
     "lengths": ["min_length", "max_length"],
 }
@@ -90,9 +90,10 @@ def _measures(df: DataFrame, name: str, parts: set[str], buffer_quartiles: bool)
         if "dates" in parts:
             dates = text.to_timestamp(value)
             out |= {"earliest": F.min(dates), "latest": F.max(dates), "parsed_dates": F.count(dates)}
-        if "numeric_text" in parts or "shapes" in parts:
-            out["numeric_text"] = F.count_if(text.is_numeric_text(value))
+        if "numbers" in parts:
+            out["numbers"] = F.count_if(text.converts_to_number(value))
         if "shapes" in parts:
+            out["numeric_text"] = F.count_if(text.is_numeric_text(value))
             out["date_text"] = F.count_if(~text.is_numeric_text(value) & text.is_date_text(value))
         if "lengths" in parts:
             size = F.length(value)

@@ -13,7 +13,7 @@ from plumbline.operators import duplicates, issues, profile, scores
 from plumbline.operators.facts import column_facts
 from plumbline.operators.sampling import first_non_null
 from plumbline.params import ReadinessParams
-from plumbline.functions.text import is_numeric_text
+from plumbline.functions.text import converts_to_number
 from plumbline.sources.state import as_local, small_table
 
 
@@ -34,19 +34,19 @@ def numeric_looking_columns(df: DataFrame, sample_rows: int | None = None, order
     if not names:
         return small_table(df.sparkSession, [], "column string, numeric_values bigint")
     if sample_rows is None:
-        facts = column_facts(df, ("numeric_text",), names)
-        return facts.select("column", F.col("numeric_text").alias("numeric_values"))
+        facts = column_facts(df, ("numbers",), names)
+        return facts.select("column", F.col("numbers").alias("numeric_values"))
     sample = first_non_null(df, names, sample_rows, order_by)
     return sample.groupBy("column").agg(
-        F.count_if(is_numeric_text(F.col("value"))).alias("numeric_values")
+        F.count_if(converts_to_number(F.col("value"))).alias("numeric_values")
     )
 
 
 def readiness_facts(df: DataFrame, p: ReadinessParams = ReadinessParams(), order_by=None) -> DataFrame:
     """One row: cells, nulls, duplicates, constant and mixed columns."""
-    parts = ("constant",) if p.sample_rows else ("constant", "numeric_text")
+    parts = ("constant",) if p.sample_rows else ("constant", "numbers")
     facts = column_facts(df, parts)
-    mixed = F.count_if(F.col("numeric_text") > 0) if not p.sample_rows else F.lit(0)
+    mixed = F.count_if(F.col("numbers") > 0) if not p.sample_rows else F.lit(0)
     table = facts.agg(
         F.max("row_count").alias("row_count"),
         F.sum("row_count").alias("cells"),
@@ -122,7 +122,7 @@ def deductions(df: DataFrame, facts: DataFrame, column_rows: DataFrame, dataset:
                     F.when(F.col("constant"), F.struct(
                         F.lit("schema_health").alias("category"), F.col("column"),
                         F.lit(10.0).alias("points"))),
-                    F.when(F.col("numeric_text") > 0, F.struct(
+                    F.when(F.col("numbers") > 0, F.struct(
                         F.lit("schema_health").alias("category"), F.col("column"),
                         F.lit(5.0).alias("points"))),
                 )
@@ -162,7 +162,7 @@ def readiness(
     df: DataFrame, key: str | list[str], p: ReadinessParams = ReadinessParams(), dataset: str = "table"
 ) -> Readiness:
     facts = as_local(readiness_facts(df, p, key if isinstance(key, list) else [key]))
-    columns = as_local(column_facts(df, ("constant", "numeric_text")))
+    columns = as_local(column_facts(df, ("constant", "numbers")))
     result = readiness_scores(facts, p, dataset)
     lines = deductions(df, facts, columns, dataset)
     nulls = issues.null_issues(df, key, severity="warning", dataset=dataset)

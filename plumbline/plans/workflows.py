@@ -72,7 +72,7 @@ def profile_workflow(
     overall = scores.filter(F.col("component") == "overall").first()["score"]
     steps = [(1, "readiness", "done")]
     found = readiness_ops.readiness_findings(
-        scores, readiness_ops.deductions(df, facts, readiness_ops.column_facts(df, ("constant", "numeric_text")), dataset))
+        scores, readiness_ops.deductions(df, facts, readiness_ops.column_facts(df, ("constant", "numbers")), dataset))
     if overall < stop_below:
         steps += [(2, "profile", "stopped"), (3, "drift", "stopped")]
         return ProfileReport(scores, _steps(spark, steps), None, None, found.select(*FINDING_FIELDS))
