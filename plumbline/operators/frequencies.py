@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.operators.layout import LONG_TEXT, melt
+from plumbline.operators.scores import union_all
+from plumbline.sources.state import as_local
 
 
 def bounded_keys(long: DataFrame) -> DataFrame:
@@ -67,6 +69,21 @@ def top_values(counts: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def spread_and_top(counts: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``distribution`` and ``top_values`` from one query, so that the counts are shuffled once.
+
+    Both results are small: a row per column, and n rows per column.
+    """
+    both = as_local(union_all([
+        distribution(counts).withColumn("part", F.lit("spread")),
+        top_values(counts, n).withColumn("part", F.lit("top")),
+    ]))
+    return (
+        both.filter(F.col("part") == "spread").select("column", "distinct_count", "total", "entropy"),
+        both.filter(F.col("part") == "top").select("column", "rank", "value", "count"),
+    )
+
+
 def relative_frequencies(counts: DataFrame) -> DataFrame:
     """Value counts as shares of the column's non-null values."""
     totals = counts.groupBy("column").agg(F.sum("count").alias("total"))

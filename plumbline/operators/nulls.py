@@ -104,6 +104,21 @@ def apply_strategies(
     return table, values
 
 
+def remaining_nulls(
+    table: DataFrame, has_nulls: dict[str, int], strategies: dict[str, str], values: dict[str, object]
+) -> dict[str, int]:
+    """Nulls per column of the repaired table.
+
+    A column filled with one value has none, an untouched one keeps its own;
+    only order-dependent and nearest-donor fills have to be counted.
+    """
+    left = {n: c for n, c in has_nulls.items() if n in table.columns and n not in values}
+    open_ended = [n for n in left if strategies.get(n) in ("forward_fill", "backward_fill", "knn_imputation")]
+    if open_ended:
+        left |= {r["column"]: r["null_count"] for r in column_facts(table, columns=open_ended).collect()}
+    return left
+
+
 def handle_nulls(df: DataFrame, key: str | list[str], p: NullParams = NullParams(), dataset: str = "table") -> HandledNulls:
     facts = as_local(column_facts(df, ("skew",)))
     analysis = as_local(null_analysis(facts))
@@ -120,9 +135,8 @@ def handle_nulls(df: DataFrame, key: str | list[str], p: NullParams = NullParams
         n_after, left = table.count(), {}
     else:
         table, values = apply_strategies(df, strategies, key, p)
-        after = column_facts(table).collect()
-        n_after = after[0]["row_count"] if after else n_before
-        left = {r["column"]: r["null_count"] for r in after}
+        n_after = n_before
+        left = remaining_nulls(table, has_nulls, strategies, values)
     log = [(dataset, n, s, has_nulls[n] - left.get(n, 0) if s != "drop_column" else has_nulls[n],
             None if n not in values else str(values[n])) for n, s in strategies.items()]
     if p.drop_rows:

@@ -49,20 +49,17 @@ def fences(p25: float, p75: float, multiplier: float) -> tuple[float, float]:
 
 
 def column_profile(
-    df: DataFrame, p: ProfileParams = ProfileParams(), dataset: str = "table", facts=None, counts=None
+    df: DataFrame, p: ProfileParams = ProfileParams(), dataset: str = "table", facts=None, spread=None
 ) -> DataFrame:
     """One row per column.  Three scans: facts, outliers, text frequencies."""
     if facts is None:
         facts = local_facts(df, ("range", "moments", "quartiles", "dates"))
     listed = columns_of(df, "text", "boolean", "other")
-    if counts is None:
-        counts = frequencies.value_counts(df, listed) if listed else None
-    if counts is None:
-        spread = small_table(df.sparkSession, 
-            [], "column string, distinct_count bigint, entropy double"
-        )
-    else:
-        spread = frequencies.distribution(counts).select("column", "distinct_count", "entropy")
+    if spread is None and listed:
+        spread = frequencies.distribution(frequencies.value_counts(df, listed))
+    if spread is None:
+        spread = small_table(df.sparkSession, [], "column string, distinct_count bigint, entropy double")
+    spread = spread.select("column", "distinct_count", "entropy")
     outliers = outlier_counts(df, facts, p.outlier_iqr_multiplier)
     joined = facts.join(F.broadcast(spread), "column", "left").join(
         F.broadcast(outliers), "column", "left"
@@ -228,13 +225,11 @@ def profile(
     """The full profile; issue tables list the first rows, summaries count all."""
     facts = local_facts(df, ("range", "moments", "quartiles", "dates"))
     listed = columns_of(df, "text", "boolean", "other")
-    counts = frequencies.value_counts(df, listed) if listed else None
-    columns = as_local(column_profile(df, p, dataset, facts, counts))
-    if counts is None:
-        top = small_table(df.sparkSession, 
-            [], "column string, rank int, value string, count bigint")
-    else:
-        top = as_local(frequencies.top_values(counts, p.top_n_values))
+    spread, top = None, small_table(
+        df.sparkSession, [], "column string, rank int, value string, count bigint")
+    if listed:
+        spread, top = frequencies.spread_and_top(frequencies.value_counts(df, listed), p.top_n_values)
+    columns = as_local(column_profile(df, p, dataset, facts, spread))
     kept = columns.filter(F.col("semantic_type").isin("Categorical", "Free Text")).select("column")
     top = top.join(F.broadcast(kept), "column", "left_semi")
     findings = profile_alerts(columns, top, p)

@@ -42,17 +42,22 @@ def numeric_looking_columns(df: DataFrame, sample_rows: int | None = None, order
     )
 
 
-def readiness_facts(df: DataFrame, p: ReadinessParams = ReadinessParams(), order_by=None) -> DataFrame:
+def health_facts(df: DataFrame) -> DataFrame:
+    """Nulls, constant columns and numeric-looking text per column; one scan."""
+    return column_facts(df, ("constant", "numbers"))
+
+
+def readiness_facts(
+    df: DataFrame, p: ReadinessParams = ReadinessParams(), order_by=None, columns: DataFrame | None = None
+) -> DataFrame:
     """One row: cells, nulls, duplicates, constant and mixed columns."""
-    parts = ("constant",) if p.sample_rows else ("constant", "numbers")
-    facts = column_facts(df, parts)
-    mixed = F.count_if(F.col("numbers") > 0) if not p.sample_rows else F.lit(0)
+    facts = health_facts(df) if columns is None else columns
     table = facts.agg(
         F.max("row_count").alias("row_count"),
         F.sum("row_count").alias("cells"),
         F.sum("null_count").alias("null_cells"),
         F.count_if("constant").alias("constant_columns"),
-        mixed.alias("mixed_columns"),
+        F.count_if(F.col("numbers") > 0).alias("mixed_columns"),
     )
     parts = [table, duplicates.duplicate_summary(df).select("duplicate_rows")]
     if p.sample_rows:
@@ -161,8 +166,8 @@ def readiness_findings(score_rows: DataFrame, lines: DataFrame) -> DataFrame:
 def readiness(
     df: DataFrame, key: str | list[str], p: ReadinessParams = ReadinessParams(), dataset: str = "table"
 ) -> Readiness:
-    facts = as_local(readiness_facts(df, p, key if isinstance(key, list) else [key]))
-    columns = as_local(column_facts(df, ("constant", "numbers")))
+    columns = as_local(health_facts(df))
+    facts = as_local(readiness_facts(df, p, key if isinstance(key, list) else [key], columns))
     result = readiness_scores(facts, p, dataset)
     lines = deductions(df, facts, columns, dataset)
     nulls = issues.null_issues(df, key, severity="warning", dataset=dataset)

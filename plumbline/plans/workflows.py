@@ -67,19 +67,22 @@ def profile_workflow(
 ) -> ProfileReport:
     """Readiness; stop if it is too low; else profile, and drift when a baseline is given."""
     spark = df.sparkSession
-    facts = as_local(readiness_ops.readiness_facts(df, readiness_params, key))
+    health = as_local(readiness_ops.health_facts(df))
+    facts = as_local(readiness_ops.readiness_facts(df, readiness_params, key, health))
     scores = as_local(readiness_ops.readiness_scores(facts, readiness_params, dataset))
     overall = scores.filter(F.col("component") == "overall").first()["score"]
     steps = [(1, "readiness", "done")]
     found = readiness_ops.readiness_findings(
-        scores, readiness_ops.deductions(df, facts, readiness_ops.column_facts(df, ("constant", "numbers")), dataset))
+        scores, readiness_ops.deductions(df, facts, health, dataset))
     if overall < stop_below:
         steps += [(2, "profile", "stopped"), (3, "drift", "stopped")]
         return ProfileReport(scores, _steps(spark, steps), None, None, found.select(*FINDING_FIELDS))
-    columns = as_local(profile_ops.column_profile(df, profile_params, dataset))
     listed = profile_ops.columns_of(df, "text", "boolean", "other")
-    top = profile_ops.frequencies.top_values(profile_ops.frequencies.value_counts(df, listed), 1) if listed else (
-        small_table(spark, [], "column string, rank int, value string, count bigint"))
+    spread, top = None, small_table(spark, [], "column string, rank int, value string, count bigint")
+    if listed:
+        counts = profile_ops.frequencies.value_counts(df, listed)
+        spread, top = profile_ops.frequencies.spread_and_top(counts, 1)
+    columns = as_local(profile_ops.column_profile(df, profile_params, dataset, spread=spread))
     found = found.select(*FINDING_FIELDS).unionByName(
         profile_ops.profile_alerts(columns, top, profile_params).select(*FINDING_FIELDS))
     steps.append((2, "profile", "done"))
