@@ -17,6 +17,9 @@ RISK_PII_PATTERNS = {
 # A literal that every match of the pattern must contain.
 PII_REQUIRED_LITERAL = {"email": "@", "ssn": "-", "ip_address": "."}
 
+# The length of a run of digits that every match must contain.
+PII_REQUIRED_DIGITS = {"phone": 3, "credit_card": 4, "passport": 6}
+
 # Personal-data patterns of the governance check.
 GOVERNANCE_PII_PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",

@@ -71,11 +71,16 @@ def shorten(c: Column, length: int = 100) -> Column:
 
 
 def matches_pii(c: Column, pii_type: str, pattern: str) -> Column:
-    """Pattern search, with a cheap literal test first where one must be present."""
+    """Pattern search, after a cheap test for what every match must contain."""
     text = c.cast("string")
     found = text.rlike(pattern)
     literal = fixed.PII_REQUIRED_LITERAL.get(pii_type)
-    return (text.contains(literal) & found) if literal else found
+    digits = fixed.PII_REQUIRED_DIGITS.get(pii_type)
+    if literal:
+        return text.contains(literal) & found
+    if digits and not pattern.startswith("(?U)"):
+        return text.rlike(rf"\d{{{digits}}}") & found
+    return found
 
 
 def plain_number(c: Column) -> Column:

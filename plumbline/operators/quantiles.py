@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUFFERED_ROWS = 50_000
+BUFFERED_ROWS = 200_000
 KEPT_VALUES = 20_000
 SKETCH_SIZE = 16_000
 RANK_ERROR = 0.0005
