@@ -21,8 +21,8 @@ def _number_row(c, data_type, source):
     return f"""
     SELECT '{c}' AS "column", '{data_type}' AS data_type, 'Numeric' AS semantic_type, count(*) AS row_count, count(*) - count({c}) AS null_count,
       round_even((count(*) - count({c})) * 100.0 / count(*), 1) AS null_pct, NULL::BIGINT AS distinct_count,
-      min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 2) AS mean, round(quantile_cont({c}::DOUBLE, 0.5), 2) AS median,
-      round(stddev_samp({c}), 2) AS std_dev, round(quantile_cont({c}::DOUBLE, 0.25), 2) AS p25, round(quantile_cont({c}::DOUBLE, 0.75), 2) AS p75,
+      min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 2) AS mean, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS median,
+      round(stddev_samp({c}), 2) AS std_dev, round(quantile_cont({c}::DOUBLE, 0.25), 4) AS p25, round(quantile_cont({c}::DOUBLE, 0.75), 4) AS p75,
       (SELECT count(*) FROM {source} WHERE {c} < (SELECT quantile_cont({c}::DOUBLE, 0.25) - 1.5 * (quantile_cont({c}::DOUBLE, 0.75) - quantile_cont({c}::DOUBLE, 0.25)) FROM {source})
                                  OR {c} > (SELECT quantile_cont({c}::DOUBLE, 0.75) + 1.5 * (quantile_cont({c}::DOUBLE, 0.75) - quantile_cont({c}::DOUBLE, 0.25)) FROM {source})) AS outlier_count,
       NULL::VARCHAR AS earliest, NULL::VARCHAR AS latest, NULL::BIGINT AS span_days, NULL::DOUBLE AS entropy FROM {source}"""
@@ -56,7 +56,7 @@ _PROFILE_ORDERS = " UNION ALL ".join(
 def _shown(columns):
     form = "yyyy-MM-dd HH:mm:ss"
     return rounded(columns.drop("dataset", "variance").withColumns(
-        {c: F.date_format(c, form) for c in ("earliest", "latest")}), 2, entropy=3)
+        {c: F.date_format(c, form) for c in ("earliest", "latest")}), 2, entropy=3, median=4, p25=4, p75=4)
 
 
 @query("c1_column_profile", _PROFILE_LINEITEM)
