@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules, stats
-from plumbline.functions.columns import col, kind_of
+from plumbline.functions.columns import kind_of
 from plumbline.operators import fills, issues, quantiles
 from plumbline.operators.cleaning import cleaning_score
 from plumbline.operators.facts import column_facts, number, present
-from plumbline.operators.layout import key_columns
 from plumbline.operators.neighbors import knn_fill
 from plumbline.params import NullParams
 from plumbline.sources.state import as_local, small_table

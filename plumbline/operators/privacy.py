@@ -7,8 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import fixed, rules, text
-from plumbline.functions.columns import col, columns_of, sensitive_table
+from plumbline.functions import rules, text
+from plumbline.functions.columns import columns_of, sensitive_table
 from plumbline.operators import issues
 from plumbline.operators.layout import aggregate_rows, written_form
 from plumbline.operators.sampling import first_non_null

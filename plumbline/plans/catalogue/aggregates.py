@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
-from plumbline.operators import checks, duplicates, frequencies, issues, outliers, privacy, profile, readiness, schema_drift, types
+from plumbline.operators import (
+    duplicates, frequencies, issues, outliers, privacy, profile, readiness, schema_drift, types,
+)
 from plumbline.operators.facts import column_facts, local_facts, table_counts
 from plumbline.operators.scores import mean_scores, union_all
 from plumbline.params import OutlierParams

@@ -7,14 +7,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks, drift, governance, nulls, outliers, privacy, profile, readiness, schema_drift, types
-from plumbline.operators.scores import union_all
 from plumbline.params import (
-    CheckRules, DriftParams, NullParams, OutlierParams, ProfileParams, ReadinessParams, RiskParams, SchemaDriftParams, TypeParams,
+    CheckRules, DriftParams, NullParams, OutlierParams, ProfileParams, ReadinessParams, TypeParams,
 )
 from plumbline.plans import workflows
 from plumbline.plans.catalogue.aggregates import _PII, risk_points_sql
 from plumbline.plans.catalogue.distances import BOTH, _KS_P, _PAIRS, _changed, _ks_sql, _sides
-from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view, with_size
+from plumbline.plans.catalogue.registry import query, rounded, table, view, with_size
 
 
 def _number_row(c, data_type, source):

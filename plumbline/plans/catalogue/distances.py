@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import stats
-from plumbline.operators import drift, frequencies, privacy, profile, schema_drift
+from plumbline.operators import drift, frequencies, privacy, schema_drift
 from plumbline.operators.facts import column_facts, local_facts
-from plumbline.params import DriftParams, SchemaDriftParams
 from plumbline.plans.catalogue.aggregates import risk_points_sql
 from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view, with_size
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed, text
-from plumbline.functions.columns import missing_columns, sensitive_table
+from plumbline.functions.columns import sensitive_table
 from plumbline.operators import checks, drift, frequencies, governance, issues, outliers, privacy, types
 from plumbline.operators.facts import column_facts, local_facts, present
-from plumbline.params import CheckRules, DriftParams, GovernanceParams, OutlierParams
+from plumbline.params import CheckRules, DriftParams, OutlierParams
 from plumbline.plans.catalogue.aggregates import _PII
-from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view, with_size
-from plumbline.sources.state import small_table
+from plumbline.plans.catalogue.registry import query, table, union_sql, view, with_size
 
 
 @query("f1_null_cells", "SELECT o_orderkey FROM orders_nulls WHERE o_totalprice IS NULL", ["orders_nulls"])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import rules, stats, text
-from plumbline.operators import drift, issues, nulls, outliers, profile, schema_drift, types
-from plumbline.operators.facts import column_facts, local_facts, number
+from plumbline.functions import rules, text
+from plumbline.operators import nulls, outliers, types
+from plumbline.operators.facts import column_facts
 from plumbline.params import OutlierParams
 from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
 

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from plumbline.functions import text
 from plumbline.functions.columns import columns_of
 from plumbline.operators import duplicates, fills, frequencies, issues, master, nulls, outliers, sampling, schema_drift
-from plumbline.operators.facts import column_facts, local_facts, table_counts
+from plumbline.operators.facts import column_facts, table_counts
 from plumbline.operators.layout import melt_numbers, with_row_id
 from plumbline.operators.scores import side_by_side, union_all
 from plumbline.params import OutlierParams
-from plumbline.plans.catalogue.registry import _TABLES, query, rounded, table, union_sql, view, with_size
+from plumbline.plans.catalogue.registry import query, table, union_sql, view, with_size
 from plumbline.plans.workflows import over_tables
 from plumbline.sources import readers, writers
-from plumbline.sources.state import small_table
 
 
 @query("s1_csv_scan", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from typing import Callable, NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline
 from plumbline.operators import drift as drift_ops
-from plumbline.operators import issues, master, privacy
+from plumbline.operators import master, privacy
 from plumbline.operators import profile as profile_ops
 from plumbline.operators import readiness as readiness_ops
 from plumbline.operators.scores import side_by_side, union_all

@@ -7,7 +7,7 @@ from plumbline.functions import text
 from plumbline.functions.columns import sensitive_term, tracks_consent
 from plumbline.operators import checks, governance, issues, privacy, profile, readiness
 from plumbline.operators.facts import column_facts
-from plumbline.params import CheckRules, GovernanceParams, ProfileParams, ReadinessParams, RiskParams
+from plumbline.params import CheckRules, GovernanceParams, ReadinessParams, RiskParams
 
 
 @pytest.fixture(scope="module")
