@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, quality, sharding
+from plumbline.llm import exact_dedup, html, language, line_dedup, mixing, near_dedup, quality, sharding, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +44,52 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_line_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    done = line_dedup.deduplicate_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+
+
+@query("op4_near_dedup", """
+    WITH RECURSIVE t AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM t),
+    u AS (SELECT doc_id, unnest(g) AS x FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT p.a, p.b FROM p JOIN s sa ON sa.doc_id = p.a JOIN s sb ON sb.doc_id = p.b
+          WHERE 100 * n >= 85 * (len(sa.g) + len(sb.g) - n)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+    m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+    SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+    FROM s JOIN m USING (doc_id)""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, folder, "documents"))
+
+
+@query("op6_pii_surrogates")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    done = surrogates.replaced(_table(spark, folder, "documents").select("doc_id", "text"), b"catalogue key")
+    return done.select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
+
+
+@query("op7_mixing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    done = mixing.mix(_table(spark, folder, "documents"))
+    return done.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_table(spark, folder, "pages"))
