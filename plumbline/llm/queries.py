@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, html, language, line_dedup, mixing, near_dedup, quality, sharding, surrogates
+from plumbline.llm import bpe, exact_dedup, html, language, line_dedup, mixing, near_dedup, quality, sharding, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_html_extraction")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(_table(spark, folder, "pages"))
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    done = bpe.decode(bpe.encode(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN))
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bpe.packed(F.col("ids")), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
