@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.support import attach, map_steps, stored
+from plumbline.llm.support import attach, map_steps, stored, unused
 
 DIVISOR = 3
 MIN_LINES = 2
@@ -123,25 +123,31 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     return stored(later.groupBy("_id", "_mark").agg(F.collect_set("chunk").alias("gone")), "line-gone")
 
 
-def deduplicate_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """The table with repeated chunks taken out of ``text``, and the columns ``_n_lines`` and ``_n_removed``."""
-    gone = repeated_chunks(docs, divisor).select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumn("_mark", F.xxhash64("text"))
-    joined = keyed.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m")), "left").drop("_i", "_m", "_mark")
-    schema = joined.drop("_gone").schema.add("_n_lines", "long").add("_n_removed", "long")
+def deduplicate_lines(docs: DataFrame, divisor: int = DIVISOR, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The table with repeated chunks taken out of ``text``, and two columns with the number of lines and of removed lines.
+
+    Columns of the table that have the names of the two are replaced.
+    """
+    docs = docs.drop(*counts)
+    own, id_, mark, gone = unused(docs, "own", "id", "mark", "gone")
+    found = repeated_chunks(docs, divisor).select(F.col("_id").alias(id_), F.col("_mark").alias(mark), F.col("gone").alias(gone))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(mark))
+    joined = keyed.join(found, same, "left").drop(own, id_, mark)
+    schema = joined.drop(gone).schema.add(counts[0], "long").add(counts[1], "long")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, gone_ = batch.column("text").to_pylist(), batch.column("_gone").to_pylist()
+        texts, gone_ = batch.column("text").to_pylist(), batch.column(gone).to_pylist()
         n = [t.count("\n") + 1 if t is not None else 0 for t in texts]
         done = [_rest(t, g, divisor) if g else (t, 0) for t, g in zip(texts, gone_)]
         columns = []
         for name in batch.schema.names:
             if name == "text":
                 columns.append(pa.array([t for t, _ in done], batch.schema.field("text").type))
-            elif name != "_gone":
+            elif name != gone:
                 columns.append(batch.column(name))
-        names = [x for x in batch.schema.names if x != "_gone"]
+        names = [x for x in batch.schema.names if x != gone]
         return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array([k for _, k in done], pa.int64())],
-                                          names=[*names, "_n_lines", "_n_removed"])
+                                          names=[*names, *counts])
 
     return map_steps(joined, run, schema)

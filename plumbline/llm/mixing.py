@@ -17,11 +17,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.support import stored
+from plumbline.llm.support import columns_of, stored, unused
 from plumbline.sources.state import small_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,13 +90,18 @@ def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     return [t + m for t, m in zip(take, more)]
 
 
+def _draw(seed: int) -> Column:
+    """A seeded number for a document, by its id and text."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")))
+
+
 def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Each document with its size, its source's size and target, and the words that the mix takes of it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.encode(text, "UTF-8"))).alias("_draw"),
+        _draw(seed).alias("_draw"),
     ).withColumn("_slice", F.pmod("_draw", F.lit(SPREAD)).cast("int"))
     rows = stored(rows, "mix-sizes")
     spark = docs.sparkSession
@@ -136,3 +141,16 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, m
     return ranked.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("bigint").alias("taken"),
         copies.cast("int").alias("copies"), "_draw")
+
+
+def mixture(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: the documents with all their columns, each as often as the mix takes it."""
+    id_, draw, copies, n_rows, own, turn, time = unused(docs, "id", "draw", "copies", "n_rows", "own", "turn", "time")
+    taken = mix(docs, seed, weights, share, most).groupBy(F.col("doc_id").alias(id_), F.col("_draw").alias(draw)).agg(
+        F.sum("copies").alias(copies), F.count(F.lit(1)).alias(n_rows)).where(F.col(copies) > 0)
+    # Rows with one id, text and source share a draw: what the mix takes of them is dealt out among them.
+    equal = Window.partitionBy("doc_id", own).orderBy(F.lit(0))
+    drawn = docs.withColumn(own, _draw(seed)).withColumn(turn, F.row_number().over(equal))
+    found = drawn.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(draw)))
+    times = F.floor((F.col(copies) + F.col(n_rows) - F.col(turn)) / F.col(n_rows)).cast("int")
+    return found.withColumn(time, F.explode(F.array_repeat(F.lit(0), times))).select(*columns_of(docs))

@@ -9,7 +9,7 @@ Texts with equal sets are one class from the start. In a band's bucket every mem
 member. What this leaves in different components is compared in blocks of bounded size, and only pairs between components
 that may reach the limit leave a block. So no bucket is cut short and no list of all pairs within a bucket is made.
 
-Shingles are compared by a 64-bit hash. With BANDS bands of ROWS registers, a pair at the limit is missed with probability
+Shingles are compared by a 64-bit hash. With 20 bands of 5 registers, a pair at 0.85 is missed with probability
 (1 - 0.85**5)**20 = 8e-6, a more similar one more rarely.
 
 Defined cases. A null or empty text, or one without words, has an empty set and is linked with nothing. Rows that
@@ -21,6 +21,7 @@ result. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +29,31 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm.components import components
-from plumbline.llm.support import attach, codes_of, map_steps, mixed, stored, words_of
+from plumbline.llm.support import attach, codes_of, columns_of, map_steps, mixed, stored, unused, words_of
 
 REGISTERS = 160
-BANDS, ROWS = 20, 5
 # SetSketch parameters: base and rate of the scale, and its largest value.
 BASE, RATE, TOP = 1.001, 20.0, 65535
-# Links need 100 * intersection >= PERCENT * union; candidates need an estimate within SLACK of that.
-PERCENT = 85
+# Candidates need an estimate within SLACK of the limit; blocks of candidates hold about BLOCK sketches.
 SLACK = 0.13
 BLOCK = 512
-WIDTH = 3
+
+
+class Limits(NamedTuple):
+    """Links need 100 * intersection >= percent * union of the sets of shingles of ``width`` words."""
+
+    width: int = 3
+    percent: int = 85
+    bands: int = 20
+    rows: int = 5
+
+    @property
+    def likely(self) -> float:
+        return self.percent / 100 - SLACK
+
 
 _random = np.random.default_rng(20240131)
 _FACTORS = _random.integers(0, 2**63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,7 +61,7 @@ _OFFSETS = _random.integers(0, 2**63, REGISTERS, np.uint64)
 _PLACES = _random.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(text: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+def shingle_sets(text: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of ``width`` words; a shorter text is one shingle."""
     flat, counts = words_of(pc.ascii_lower(pc.fill_null(text, "")))
     codes, values = codes_of(flat)
@@ -108,66 +121,72 @@ def estimate_counts(more: np.ndarray, fewer: np.ndarray, n_a: np.ndarray, n_b: n
     return (low + high) / 2
 
 
-def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = shingle_sets(batch.column("text"))
-    return pa.RecordBatch.from_arrays([
-        batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-        pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-    ], names=["doc_id", "n_shingles", "set_digest", "sketch"])
+def _sketch(width: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column("text"), width)
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+            pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+        ], names=["doc_id", "mark", "n_shingles", "set_digest", "sketch"])
+    return run
 
 
 def _table(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
 
 
-def _buckets(batches):
+def _buckets(limits: Limits):
     """(bucket, node): a row for each band of each sketch."""
-    for batch in batches:
-        sketches = _table(batch.column("sketch"))[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sketches.shape[:2]) * _PLACES[15]
-        for k in range(ROWS):
-            key = key + (sketches[:, :, k] + np.uint64(1)) * _PLACES[k]
-        raw = mixed(mixed(key.ravel()) + key.ravel()).tobytes()
-        yield pa.RecordBatch.from_arrays([
-            pa.array([raw[i:i + 8] for i in range(0, len(raw), 8)], pa.binary()),
-            batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))),
-        ], names=["bucket", "node"])
-
-
-def _likely(batches):
+    def run(batches):
+        for batch in batches:
+            bands = _table(batch.column("sketch"))[:, :limits.bands * limits.rows].reshape(-1, limits.bands, limits.rows).astype(np.uint64)
+            key = np.broadcast_to(np.arange(1, limits.bands + 1, dtype=np.uint64), bands.shape[:2]) * _PLACES[15]
+            for k in range(limits.rows):
+                key = key + (bands[:, :, k] + np.uint64(1)) * _PLACES[k]
+            raw = mixed(key.ravel()).tobytes()
+            yield pa.RecordBatch.from_arrays([
+                pa.array([raw[i:i + 8] for i in range(0, len(raw), 8)], pa.binary()),
+                batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), limits.bands))),
+            ], names=["bucket", "node"])
+    return run
+
+
+def _likely(limits: Limits):
     """The pairs whose estimate may reach the limit."""
-    for batch in batches:
-        if batch.num_rows:
-            sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("n_a", "n_b")]
-            j = estimate(_table(batch.column("sketch_a")), _table(batch.column("sketch_b")), *sizes)
-            yield batch.select(["a", "b"]).filter(pa.array(j >= PERCENT / 100 - SLACK))
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("n_a", "n_b")]
+                j = estimate(_table(batch.column("sketch_a")), _table(batch.column("sketch_b")), *sizes)
+                yield batch.select(["a", "b"]).filter(pa.array(j >= limits.likely))
+    return run
 
 
-def _confirmed(percent: int, width: int):
+def _confirmed(limits: Limits):
     def run(batches):
         for whole in batches:
             # Rows come in order of a: its text is shingled once per run.
             for start in range(0, whole.num_rows, 64):
                 batch = whole.slice(start, 64)
                 a = batch.column("text_a").dictionary_encode()
-                left = shingle_sets(a.dictionary, width)
-                right = shingle_sets(batch.column("text_b"), width)
+                left = shingle_sets(a.dictionary, limits.width)
+                right = shingle_sets(batch.column("text_b"), limits.width)
                 keep = []
                 for i, other in zip(a.indices.to_pylist(), right):
                     both = np.intersect1d(left[i], other, assume_unique=True).size
-                    keep.append(both > 0 and 100 * both >= percent * (len(left[i]) + len(other) - both))
+                    keep.append(both > 0 and 100 * both >= limits.percent * (len(left[i]) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
     """The pairs (a, b) whose full sets reach the limit. docs: node, text."""
     used = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-used")
     texts = docs.join(used, "node", "left_semi")
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(percent, width), "a bigint, b bigint").distinct()
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(limits), "a bigint, b bigint").distinct()
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -176,28 +195,28 @@ def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
-def _between(key: tuple, table: pa.Table) -> pa.Table:
+def _between(limits: Limits):
     """Pairs of one block between different components that may reach the limit."""
-    left = table.filter(pc.field("side") == 0)
-    right = table.filter(pc.field("side") == 1)
-    if right.num_rows == 0:
-        right = left
-    found = {"a": [], "b": []}
-    sides = [(_table(t.column("sketch").combine_chunks()), t.column("n_shingles").to_numpy().astype(np.float64),
-              t.column("node").to_numpy(), t.column("component").to_numpy()) for t in (left, right)]
-    (s, n, node, comp), (s2, n2, node2, comp2) = sides
-    for i in range(len(s)):
-        other = np.flatnonzero(comp2 != comp[i])
-        if len(other):
-            j = estimate(s[i], s2[other], np.full(len(other), n[i]), n2[other])
-            hit = other[j >= PERCENT / 100 - SLACK]
-            found["a"].append(np.minimum(node[i], node2[hit]))
-            found["b"].append(np.maximum(node[i], node2[hit]))
-    pairs = [np.unique(np.stack([np.concatenate(found["a"]), np.concatenate(found["b"])]), axis=1)] if found["a"] else [np.zeros((2, 0), np.int64)]
-    return pa.table({"a": pa.array(pairs[0][0], pa.int64()), "b": pa.array(pairs[0][1], pa.int64())})
-
-
-def _rest(members: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
+    def facts(table: pa.Table):
+        return (_table(table.column("sketch").combine_chunks()), table.column("n_shingles").to_numpy().astype(np.float64),
+                table.column("node").to_numpy(), table.column("component").to_numpy())
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = table.filter(pc.field("side") == 0), table.filter(pc.field("side") == 1)
+        sketch, size, node, component = facts(left)
+        sketch2, size2, node2, component2 = facts(right if right.num_rows else left)
+        found = [np.zeros((2, 0), np.int64)]
+        for i in range(len(node)):
+            other = np.flatnonzero(component2 != component[i])
+            j = estimate(sketch[i], sketch2[other], np.full(len(other), size[i]), size2[other])
+            hit = node2[other[j >= limits.likely]]
+            found.append(np.stack([np.minimum(node[i], hit), np.maximum(node[i], hit)]))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def _rest(members: DataFrame, known: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
     """Likely pairs between different components within buckets. members: bucket, node, without each bucket's leader."""
     placed = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -221,35 +240,51 @@ def _rest(members: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame
     blocks = rows.select("bucket", "node", "component", F.explode(
         F.when(F.col("is_main"), as_main).otherwise(F.concat(as_left, as_right))).alias("at")).select("bucket", "node", "component", "at.*")
     full = blocks.join(classes.select("node", "n_shingles", "sketch"), "node")
-    return full.groupBy("bucket", "x", "y").applyInArrow(_between, "a bigint, b bigint").distinct()
+    return full.groupBy("bucket", "x", "y").applyInArrow(_between(limits), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Each document with its set size and the least doc_id of its component."""
+def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Each document with its set size and the least doc_id of its component; ``mark`` is a hash of its text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = stored(map_steps(rows, _sketch, "doc_id bigint, n_shingles bigint, set_digest binary, sketch binary"), "near-sketches")
-    total = sketches.count()
+    sketches = stored(map_steps(rows.withColumn("mark", F.xxhash64("text")), _sketch(limits.width),
+                                "doc_id bigint, mark bigint, n_shingles bigint, set_digest binary, sketch binary"), "near-sketches")
     groups = stored(sketches.where(F.col("set_digest").isNotNull()).groupBy("set_digest").agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"),
         F.first("sketch").alias("sketch")), "near-classes")
     # A doc_id with several texts is one node that may stand for several classes.
     classes = groups.where(F.col("node").isNotNull()).select("node", "n_shingles", "sketch")
-    members = stored(classes.mapInArrow(_buckets, "bucket binary, node bigint").distinct(), "near-buckets")
+    members = stored(classes.mapInArrow(_buckets(limits), "bucket binary, node bigint").distinct(), "near-buckets")
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     led = attach(members, leaders, "bucket", "size", members.count(), F.col("node")).where(
         F.col("leader").isNotNull() & (F.col("node") != F.col("leader")))
     led = stored(led.select("bucket", "node", "leader"), "near-led")
     texts = rows.withColumnRenamed("doc_id", "node")
     stars = _sketched(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes)
-    stars = stored(stars.mapInArrow(_likely, "a bigint, b bigint").distinct(), "near-stars")
-    links = stored(confirm(stars, texts), "near-links")
+    stars = stored(stars.mapInArrow(_likely(limits), "a bigint, b bigint").distinct(), "near-stars")
+    links = stored(confirm(stars, texts, limits), "near-links")
     known = stored(components(links), "near-known")
-    rest = stored(_rest(led.select("bucket", "node"), known, classes), "near-rest")
-    tested = rest.join(stars, ["a", "b"], "left_anti")
-    more = confirm(tested, texts)
+    rest = stored(_rest(led.select("bucket", "node"), known, classes, limits), "near-rest")
+    more = confirm(rest.join(stars, ["a", "b"], "left_anti"), texts, limits)
     whole = components(links.union(more))
     found = groups.join(whole, "node", "left").select("set_digest", "size", F.coalesce("component", "node").alias("component"))
-    out = attach(sketches.select("doc_id", "n_shingles", "set_digest"), found, "set_digest", "size", total, F.col("doc_id"))
+    out = attach(sketches.drop("sketch"), found, "set_digest", "size", sketches.count(), F.col("doc_id"))
     component = F.coalesce(F.col("component"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, limits: Limits) -> DataFrame:
+    """One document of each component, with all its columns: the one with the least doc_id.
+
+    Of several rows with that id one stays. Rows without a doc_id stay if no row with an id is in their component.
+    """
+    id_, mark, own, nth = unused(docs, "id", "mark", "own", "nth")
+    verdicts = near_duplicates(docs, limits)
+    stay = verdicts.where(F.col("kept") | F.col("component_id").isNull()).select(
+        F.col("doc_id").alias(id_), F.col("mark").alias(mark)).distinct()
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    found = marked.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(mark)))
+    # A row's group is its doc_id; rows without one are groups of their own.
+    group = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    first = found.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", group).orderBy(own)))
+    return first.where(F.col(nth) == 1).select(*columns_of(docs))

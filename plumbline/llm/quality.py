@@ -144,31 +144,51 @@ def _references(facts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     ]
 
 
+def _verdicts(facts: pa.RecordBatch, references: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Base figures, verdicts and distances of a batch of facts."""
+    def table(name: str, width: int) -> np.ndarray:
+        return facts.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+    classes, common = table("classes", CLASSES), table("common", len(WORD_LIST) + 1)
+    class_distance, word_distance = np.zeros(facts.num_rows), np.zeros(facts.num_rows)
+    if references and facts.num_rows:
+        class_distance = np.min([js_distance(classes, a) for a, _ in references], axis=0)
+        word_distance = np.min([js_distance(common, w) for _, w in references], axis=0)
+    words, repeated = (facts.column(c).to_numpy(zero_copy_only=False) for c in ("n_words", "n_repeat_words"))
+    failed = (words < 10) | (100 * repeated > 20 * words)
+    far = ((classes.sum(axis=1) >= MIN_CHARS) & (class_distance > MAX_CLASS_DISTANCE)) | (
+        (words >= MIN_WORDS) & (word_distance > MAX_WORD_DISTANCE))
+    figures = [facts.column(i) for i in range(6)]
+    return pa.RecordBatch.from_arrays(
+        [*figures, pa.array(failed), pa.array(~failed & ~far), pa.array(class_distance), pa.array(word_distance)],
+        names=[*facts.schema.names[:6], "base_failed", "kept", "class_distance", "word_distance"])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), lang.alias("lang"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Base figures and verdict of each document."""
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), lang.alias("lang"))
-    facts = stored(map_steps(rows, _facts, _FACTS), "quality-facts")
+    facts = stored(map_steps(_rows(docs), _facts, _FACTS), "quality-facts")
     references = _references(facts)
 
-    def distances(batches):
+    def run(batches):
         for batch in batches:
-            def table(name: str, width: int) -> np.ndarray:
-                return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-            classes, common = table("classes", CLASSES), table("common", len(WORD_LIST) + 1)
-            near = [np.zeros(batch.num_rows), np.zeros(batch.num_rows)]
-            if references:
-                near = [np.min([js_distance(classes, a) for a, _ in references], axis=0),
-                        np.min([js_distance(common, w) for _, w in references], axis=0)]
-            kept = [batch.column(i) for i in range(6)]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(near[0]), pa.array(near[1]), pa.array(classes.sum(axis=1).astype(np.int64))],
-                names=[*batch.schema.names[:6], "class_distance", "word_distance", "n_classed"])
+            yield _verdicts(batch, references)
 
     head = ", ".join(_FACTS.split(", ")[:6])
-    scored = facts.mapInArrow(distances, f"{head}, class_distance double, word_distance double, n_classed bigint")
-    far = ((F.col("n_classed") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
-        (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), (~base_failed() & ~far).alias("kept"), "class_distance", "word_distance")
+    return facts.mapInArrow(run, f"{head}, base_failed boolean, kept boolean, class_distance double, word_distance double")
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with all their columns. The texts are read twice, and nothing is shuffled but sums."""
+    references = _references(map_steps(_rows(docs), _facts, _FACTS))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang = pa.nulls(batch.num_rows, pa.string())
+        own = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lang], names=["doc_id", "text", "lang"])
+        return batch.filter(_verdicts(_facts(own), references).column("kept"))
+
+    return map_steps(docs, run, docs.schema)

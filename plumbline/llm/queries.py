@@ -53,8 +53,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_line_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    done = line_dedup.deduplicate_lines(_table(spark, folder, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+    return line_dedup.deduplicate_lines(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query("op4_near_dedup", """
@@ -75,13 +74,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
     FROM s JOIN m USING (doc_id)""")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, folder, "documents"))
+    return near_dedup.near_duplicates(_table(spark, folder, "documents")).drop("mark")
 
 
 @query("op6_pii_surrogates")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    done = surrogates.replaced(_table(spark, folder, "documents").select("doc_id", "text"), b"catalogue key")
-    return done.select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
+    return surrogates.replaced(_table(spark, folder, "documents").select("doc_id", "text"), b"catalogue key")
 
 
 @query("op7_mixing")

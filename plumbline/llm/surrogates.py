@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.support import attach, map_steps, stored
+from plumbline.llm.support import attach, map_steps, stored, unused
 
 # Given names by gender and script, for titles that tell the gender.
 GIVEN = {
@@ -220,8 +220,13 @@ def distinct_surrogates(values: DataFrame, key: bytes) -> DataFrame:
             return settled.select("kind", "value", "surrogate")
 
 
-def replaced(docs: DataFrame, key: bytes) -> DataFrame:
-    """The table with surrogates for the entities in ``text``, and the column ``_n_entities``."""
+def replaced(docs: DataFrame, key: bytes, count: str = "n_entities") -> DataFrame:
+    """The table with surrogates for the entities in ``text``, and a column with their number.
+
+    A column of the table that has the name of that one is replaced.
+    """
+    docs = docs.drop(count)
+    own, id_, mark, map_ = unused(docs, "own", "id", "mark", "map")
     texts = docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_mark"), F.col("text").alias("_text"))
     found = stored(map_steps(texts, _found, "_id bigint, _mark bigint, kind string, value string", "_text"), "surrogate-found")
@@ -230,11 +235,12 @@ def replaced(docs: DataFrame, key: bytes) -> DataFrame:
     chosen = distinct_surrogates(counts.select("kind", "value"), key)
     chosen = counts.join(chosen, ["kind", "value"]).select("entity", "size", "surrogate")
     pairs = attach(found, chosen, "entity", "size", found.count(), F.struct("_id", "entity"))
-    maps = pairs.groupBy(F.col("_id").alias("_i"), F.col("_mark").alias("_m")).agg(
-        F.collect_set(F.struct("kind", "value", "surrogate")).alias("_map"))
-    keyed = docs.withColumn("_mark", F.xxhash64("text"))
-    joined = keyed.join(maps, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m")), "left").drop("_i", "_m", "_mark")
-    schema = joined.drop("_map").schema.add("_n_entities", "long")
+    maps = pairs.groupBy(F.col("_id").alias(id_), F.col("_mark").alias(mark)).agg(
+        F.collect_set(F.struct("kind", "value", "surrogate")).alias(map_))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(mark))
+    joined = keyed.join(maps, same, "left").drop(own, id_, mark)
+    schema = joined.drop(map_).schema.add(count, "long")
 
     def rewrite(text: str, pairs_: list[dict]) -> tuple[str, int]:
         known = {(p["kind"], p["value"]): p["surrogate"] for p in pairs_}
@@ -245,9 +251,9 @@ def replaced(docs: DataFrame, key: bytes) -> DataFrame:
         return "".join([*out, text[at:]]), len(spans)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        done = [rewrite(t, m) if m else (t, 0) for t, m in zip(batch.column("text").to_pylist(), batch.column("_map").to_pylist())]
-        names = [x for x in batch.schema.names if x != "_map"]
+        done = [rewrite(t, m) if m else (t, 0) for t, m in zip(batch.column("text").to_pylist(), batch.column(map_).to_pylist())]
+        names = [x for x in batch.schema.names if x != map_]
         columns = [pa.array([t for t, _ in done], batch.schema.field(x).type) if x == "text" else batch.column(x) for x in names]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int64())], names=[*names, "_n_entities"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int64())], names=[*names, count])
 
     return map_steps(joined, run, schema)
