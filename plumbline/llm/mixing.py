@@ -74,10 +74,15 @@ def _reach(sizes: list[int], counts: list[int], budget: int) -> list[int]:
 
 
 def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size to take, so that their sizes sum to nearly ``budget`` and never exceed it."""
+    """How many documents of each size to take, so that their sizes sum to ``budget``, or nearly so.
+
+    Of a budget over half of all words, the documents to leave are fitted: there are more ways to fill what is small.
+    """
     total = sum(s * c for s, c in zip(sizes, counts))
     if budget >= total:
         return list(counts)
+    if 2 * budget > total:
+        return [c - t for c, t in zip(counts, fit(sizes, counts, total - budget))]
     exact = [c * budget / total for c in counts]
     take = [min(c, int(e)) for c, e in zip(counts, exact)]
     rest = budget - sum(s * t for s, t in zip(sizes, take))

@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
 Each document's histogram of character classes and its histogram of common words are compared with references of the
-languages by Jensen-Shannon distance (base 2, 0 to 1); the nearest language counts. References are summed over all
-documents with a known language that pass the base rules. Texts that are too short for a stable histogram are not judged by it.
+languages by Jensen-Shannon distance (base 2, 0 to 1); the nearest language counts. A reference is the mean histogram of all
+documents with that language that pass the base rules. Texts that are too short for a stable histogram are not judged by it.
 
 Defined cases. A null text has no words: it fails the base rules. Without any reference (no known language) only the base
 rules decide. Each row is judged by itself, so repeated rows get equal verdicts. Only doc_id, text and lang are read.
@@ -29,11 +29,13 @@ WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
 SYMBOLS = b"#*$%&|<>"
 CLASSES = 7  # lower, upper, digit, white space, punctuation, beyond ASCII, symbols
 
-# Limits of the method.
-MIN_CHARS = 50
-MIN_WORDS = 80
+# Limits of the method. A short text's histogram of words is far from any reference by chance, by about 1 / n; so the
+# limit for n words is MAX_WORD_DISTANCE + WORD_ALLOWANCE / n.
+MIN_CHARS = 250
+MIN_WORDS = 60
 MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.28
+MAX_WORD_DISTANCE = 0.18
+WORD_ALLOWANCE = 18
 
 _FACTS = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
           "lang string, classes array<int>, common array<int>")
@@ -132,12 +134,22 @@ def base_failed():
 
 
 def _references(facts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per language the summed histograms: at most one row per language of COMMON_WORDS."""
+    """Per language the summed shares of the documents: at most one row per language of COMMON_WORDS.
+
+    Each document weighs the same, so that a few long ones don't make a reference. Shares are whole millionths, so that the
+    order of summation doesn't show.
+    """
     width = len(WORD_LIST) + 1
     known = facts.where(F.col("lang").isin(list(COMMON_WORDS)) & ~base_failed())
+    classed = F.aggregate("classes", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    known = known.select("lang", "classes", "common", classed.alias("n_classed"), "n_words")
+
+    def share(name: str, i: int, total: str):
+        return F.sum(F.floor(F.col(name)[i].cast("bigint") * 1_000_000 / F.col(total)))
+
     sums = known.groupBy("lang").agg(
-        *[F.sum(F.col("classes")[i]).alias(f"a{i}") for i in range(CLASSES)],
-        *[F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(width)])
+        *[share("classes", i, "n_classed").alias(f"a{i}") for i in range(CLASSES)],
+        *[share("common", i, "n_words").alias(f"w{i}") for i in range(width)])
     return [
         (np.array([float(r[f"a{i}"]) for i in range(CLASSES)]), np.array([float(r[f"w{i}"]) for i in range(width)]))
         for r in sorted(sums.collect(), key=lambda r: r["lang"])
@@ -157,7 +169,7 @@ def _verdicts(facts: pa.RecordBatch, references: list[tuple[np.ndarray, np.ndarr
     words, repeated = (facts.column(c).to_numpy(zero_copy_only=False) for c in ("n_words", "n_repeat_words"))
     failed = (words < 10) | (100 * repeated > 20 * words)
     far = ((classes.sum(axis=1) >= MIN_CHARS) & (class_distance > MAX_CLASS_DISTANCE)) | (
-        (words >= MIN_WORDS) & (word_distance > MAX_WORD_DISTANCE))
+        (words >= MIN_WORDS) & (word_distance > MAX_WORD_DISTANCE + WORD_ALLOWANCE / np.maximum(words, 1)))
     figures = [facts.column(i) for i in range(6)]
     return pa.RecordBatch.from_arrays(
         [*figures, pa.array(failed), pa.array(~failed & ~far), pa.array(class_distance), pa.array(word_distance)],

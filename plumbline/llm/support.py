@@ -83,12 +83,17 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
             start = stop
 
 
-def map_steps(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def map_steps(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema, text: str = "text") -> DataFrame:
     """``function`` over the batches of a table, cut by ``steps``."""
+    names = df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text):
-            yield function(batch)
-    return df.mapInArrow(run, schema)
+        for batch in batches:
+            for step in steps([batch.rename_columns(names)], text):
+                yield function(step)
+
+    # Spark reads a dot in a column's name as the way to a field.
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
