@@ -52,17 +52,21 @@ def outlier_advice_priority(outlier_pct: Column) -> Column:
     return F.when(outlier_pct > 20, "high").when(outlier_pct > 5, "medium").otherwise("low")
 
 
-def alert_category(message: Column) -> Column:
-    """Category of an alert from its text; earlier words win."""
-    text = F.lower(message)
-    return (
-        F.when(text.contains("null") | text.contains("missing"), "data_completeness")
-        .when(text.contains("outlier"), "data_quality")
-        .when(text.contains("unique value") | text.contains("constant"), "data_variance")
-        .when(text.contains("variance"), "statistical_anomaly")
-        .when(text.contains("empty"), "data_availability")
-        .otherwise("general")
-    )
+# The category of each type of alert.
+ALERT_CATEGORIES = {
+    "missing_values": "data_completeness",
+    "only_nulls": "data_completeness",
+    "outliers": "data_quality",
+    "constant": "data_variance",
+    "low_variance": "statistical_anomaly",
+    "empty_table": "data_availability",
+}
+
+
+def alert_category(alert_type: Column) -> Column:
+    """Category of an alert by its type."""
+    known = F.create_map(*[F.lit(x) for pair in ALERT_CATEGORIES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, alert_type), F.lit("general"))
 
 
 def type_compatibility(old: Column, new: Column) -> Column:

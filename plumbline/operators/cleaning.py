@@ -22,6 +22,23 @@ def cleaning_score(
     return score_counts(counts, operator, weights, thresholds, statuses, dataset)
 
 
+def cleaning_findings(scores: DataFrame, operator: str, dataset: str = "table") -> DataFrame:
+    """What a cleaning left over, and a score below the expected band."""
+    score = {c: F.max(F.when(F.col("component") == c, F.col("score"))) for c in ("remaining", "overall")}
+    row = scores.agg(score["remaining"].alias("remaining"), score["overall"].alias("overall"), F.max("status").alias("status"))
+    low = F.col("status").startswith("Needs More")
+    made = F.array_compact(F.array(
+        F.when(F.col("remaining") > 0, F.struct(
+            F.lit("warning").alias("severity"), F.lit("remaining_after_cleaning").alias("type"),
+            F.concat(F.col("remaining").cast("bigint").cast("string"), F.lit(f" {operator} remain")).alias("message"))),
+        F.when(low, F.struct(
+            F.lit("critical").alias("severity"), F.lit("low_cleaning_score").alias("type"),
+            F.concat(F.lit("cleaning score "), F.col("overall").cast("string")).alias("message")))))
+    return row.select(F.explode(made).alias("f")).select(
+        F.lit(dataset).alias("dataset"), F.lit(None).cast("string").alias("column"), "f.severity",
+        F.lit("cleaning").alias("category"), "f.type", "f.message")
+
+
 def score_counts(
     counts: DataFrame, operator: str, weights: tuple, thresholds: tuple, statuses: tuple, dataset: str = "table"
 ) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.functions.columns import col, kind_of
 from plumbline.operators import frequencies, issues, quantiles
 from plumbline.operators.facts import local_facts, number
-from plumbline.operators.layout import lookup, melt, melt_numbers
+from plumbline.operators.layout import lookup, melt
 from plumbline.operators.scores import union_all
 from plumbline.params import DriftParams
 from plumbline.sources.state import as_local, small_table
@@ -47,22 +47,11 @@ def comparable_columns(baseline: DataFrame, current: DataFrame) -> tuple[list[st
     return numeric, [c for c in common if c not in numeric]
 
 
-def _splits(df: DataFrame, columns: list[str], rows: int, rows_per_range: int) -> dict[str, list[float]]:
-    """Cut points per column so that a range holds few distinct values."""
-    ranges = min(10_000, -(-rows // rows_per_range))
-    shares = [i / ranges for i in range(1, ranges)] or [0.5]
-    row = df.agg(*[
-        F.percentile_approx(number(df, c), shares, 100 * ranges).alias(f"s{i}")
-        for i, c in enumerate(columns)
-    ]).first()
-    return {c: sorted(set(row[f"s{i}"] or [])) for i, c in enumerate(columns)}
-
-
 def ks_statistics(
     baseline: DataFrame,
     current: DataFrame,
     columns: list[str],
-    p_value_method: str = "auto",
+    p_value_method: str = "asymptotic",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and p-value per numeric column.
@@ -73,17 +62,9 @@ def ks_statistics(
     """
     sides = ((baseline, 1, 0), (current, 0, 1))
     rows = baseline.count() + current.count()
-    if rows <= rows_per_range:
-        counts = _value_sides(sides, lambda df: melt_numbers(df, columns), ["column", "value"])
-        order, whole = Window.partitionBy("column").orderBy("value"), Window.partitionBy("column")
-        running = counts.select(
-            "column",
-            F.sum("b").over(order).alias("cum_b"), F.sum("c").over(order).alias("cum_c"),
-            F.sum("b").over(whole).alias("n1"), F.sum("c").over(whole).alias("n2"))
-    else:
-        splits = _splits(sides, columns, rows, rows_per_range)
-        counts = _value_sides(sides, lambda df: _with_ranges(df, columns, splits), ["column", "range", "value"])
-        running = _ranged_running(counts)
+    splits = _splits(sides, columns, rows, rows_per_range)
+    counts = _value_sides(sides, lambda df: _with_ranges(df, columns, splits), ["column", "range", "value"])
+    running = _ranged_running(counts)
     d = running.filter((F.col("n1") > 0) & (F.col("n2") > 0)).groupBy("column", "n1", "n2").agg(
         F.max(F.abs(F.col("cum_b") / F.col("n1") - F.col("cum_c") / F.col("n2"))).alias("ks_statistic"))
     return with_ks_p_value(d, p_value_method)
@@ -97,7 +78,7 @@ def _value_sides(sides, to_long, by: list[str]) -> DataFrame:
 
 def _splits(sides, columns: list[str], rows: int, rows_per_range: int) -> dict[str, list[float]]:
     """Cut points per column, so that a range holds a bounded number of values."""
-    ranges = min(10_000, -(-rows // rows_per_range))
+    ranges = max(1, -(-rows // rows_per_range))
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
     numbers = [df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]) for df, _, _ in sides]
     row = union_all(numbers).agg(*[
@@ -147,15 +128,17 @@ def running_shares(df: DataFrame, columns: list[str], rows_per_range: int = ROWS
     return _ranged_running(counts).select("column", "value", (F.col("cum_b") / F.col("n1")).alias("share"))
 
 
-def with_ks_p_value(d: DataFrame, method: str = "auto") -> DataFrame:
-    """Exact p-value for samples up to 10,000 rows, else the asymptotic series."""
-    asymptotic = stats.ks_p_value(F.col("ks_statistic"), F.col("n1"), F.col("n2"))
+def with_ks_p_value(d: DataFrame, method: str = "asymptotic") -> DataFrame:
+    """The p-value by one formula for samples of any size.
+
+    ``asymptotic`` is the limiting series with the small-sample correction. ``exact`` counts lattice paths; its time grows
+    with the product of the sample sizes, so it is for small samples.
+    """
     if method == "asymptotic":
-        return d.withColumn("p_value", asymptotic)
-    small = (F.col("n1") <= 10_000) & (F.col("n2") <= 10_000)
-    exact = d.filter(small).withColumn(
-        "p_value", stats.exact_ks_p_value("ks_statistic", "n1", "n2"))
-    return exact.unionByName(d.filter(~small).withColumn("p_value", asymptotic))
+        return d.withColumn("p_value", stats.ks_p_value(F.col("ks_statistic"), F.col("n1"), F.col("n2")))
+    if method == "exact":
+        return d.withColumn("p_value", stats.exact_ks_p_value("ks_statistic", "n1", "n2"))
+    raise ValueError(f"unknown p-value method {method!r}")
 
 
 def categorical_drift(pairs: DataFrame, p: DriftParams = DriftParams()) -> DataFrame:
@@ -194,7 +177,7 @@ def with_chi_square_p_value(drift: DataFrame) -> DataFrame:
 def category_changes(pairs: DataFrame) -> DataFrame:
     """Categories that one of the two tables does not have."""
     return pairs.filter((F.col("baseline_count") == 0) | (F.col("current_count") == 0)).select(
-        "column", "value", "digest",
+        "column", "value",
         F.when(F.col("baseline_count") == 0, "new").otherwise("missing").alias("change"),
         F.greatest("baseline_count", "current_count").alias("rows"))
 
@@ -217,48 +200,42 @@ def numeric_drift_rules(current: DataFrame, baseline_facts: DataFrame, columns:
     return made
 
 
+def _cell_digest() -> Column:
+    return F.sha2(F.concat_ws("\u0000", "column", "value"), 256)
+
+
 def rows_with_new_categories(current: DataFrame, pairs: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
     """Every (row, column) whose category the baseline does not have."""
-    new = category_changes(pairs).filter(F.col("change") == "new").select(
-        F.sha2(F.concat_ws("\u0000", "column", "value", F.coalesce("digest", F.lit(""))), 256).alias("cell"))
-    long = frequencies.bounded_keys(melt(current, columns, key).filter(F.col("value").isNotNull()))
-    tagged = long.withColumn(
-        "cell", F.sha2(F.concat_ws("\u0000", "column", "value", F.coalesce("digest", F.lit(""))), 256))
-    return lookup(tagged, new, "cell", "left_semi").drop("cell", "digest")
+    new = category_changes(pairs).filter(F.col("change") == "new").select(_cell_digest().alias("cell"), "rows")
+    long = melt(current, columns, key).filter(F.col("value").isNotNull())
+    return lookup(long.withColumn("cell", _cell_digest()), new, "cell", hot_by="rows").drop("cell", "rows")
 
 
 def new_category_issues(
-    current: DataFrame, pairs: DataFrame, columns: list[str], key: list[str],
-    p: DriftParams = DriftParams(), dataset: str = "table",
+    current: DataFrame, pairs: DataFrame, columns: list[str], key: list[str], dataset: str = "table",
 ) -> DataFrame:
-    """First rows of the first new categories per column.
-
-    Only ``categories_listed`` values per column are looked up, a bounded list.
-    """
-    order = Window.partitionBy("column").orderBy(F.desc("rows"), "value", "digest")
-    chosen = as_local(
-        category_changes(pairs).filter((F.col("change") == "new") & F.col("column").isin(columns))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= p.categories_listed)
-        .select("column", "value", "digest"))
-    long = frequencies.bounded_keys(melt(current, columns, key).filter(F.col("value").isNotNull()))
-    w = chosen.select(F.col("column").alias("c"), F.col("value").alias("v"), F.col("digest").alias("d"))
-    hit = long.join(
-        F.broadcast(w),
-        (F.col("column") == F.col("c")) & (F.col("value") == F.col("v")) & F.col("digest").eqNullSafe(F.col("d")),
-        "left_semi")
+    """An issue for every row of every new category."""
     keys = [f"key_{i}" for i in range(len(key))]
-    rank = Window.partitionBy("column", "value", "digest").orderBy(*keys)
-    first = hit.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= p.rows_per_category)
-    row_id = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return first.select(
-        F.lit(dataset).alias("dataset"), row_id.alias("row_id"),
+    return rows_with_new_categories(current, pairs, columns, key).select(
+        F.lit(dataset).alias("dataset"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("row_id"),
         F.struct(*[F.col(k).alias(n) for k, n in zip(keys, key)]).alias("row_key"),
         "column", F.lit("new_category").alias("issue_type"), F.lit(None).cast("string").alias("pii_type"),
         F.lit("warning").alias("severity"), "value",
         F.concat(F.lit("New category in column '"), "column", F.lit("'")).alias("message"))
 
 
+def first_of_new_categories(cells: DataFrame, pairs: DataFrame, p: DriftParams = DriftParams()) -> DataFrame:
+    """The first ``rows_per_category`` issues of the ``categories_listed`` most frequent new categories per column."""
+    order = Window.partitionBy("column").orderBy(F.desc("rows"), "value")
+    chosen = as_local(
+        category_changes(pairs).filter(F.col("change") == "new")
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.categories_listed)
+        .select(F.col("column").alias("c"), F.col("value").alias("v")))
+    hit = cells.join(F.broadcast(chosen), (F.col("column") == F.col("c")) & (F.col("value") == F.col("v")), "left_semi")
+    rank = Window.partitionBy("column", "value").orderBy("row_key")
+    return hit.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= p.rows_per_category).drop("_rank")
+
+
 def numeric_shift(baseline_facts: DataFrame, current_facts: DataFrame) -> DataFrame:
     """Mean and deviation shift per numeric column, with the direction."""
     b, c = _paired(baseline_facts, current_facts, ["mean", "std_dev"])
@@ -296,10 +273,14 @@ def date_range_shift(baseline_facts: DataFrame, current_facts: DataFrame) -> Dat
         (F.col("latest_current") > F.col("latest_baseline")).alias("new_latest"))
 
 
+_BELOW_A_DAY = ("HOUR", "MINUTE", "SECOND")
+
+
 def period_counts(df: DataFrame, column: str, period: str = "DAY") -> DataFrame:
-    return df.filter(col(column).isNotNull()).groupBy(
-        F.date_trunc(period, col(column)).cast("date").alias("period")
-    ).agg(F.count("*").alias("n"))
+    """Rows per period: its first day, or its first moment for periods below a day."""
+    start = F.date_trunc(period, col(column))
+    start = start if period.upper() in _BELOW_A_DAY else start.cast("date")
+    return df.filter(col(column).isNotNull()).groupBy(start.alias("period")).agg(F.count("*").alias("n"))
 
 
 def date_gaps(df: DataFrame, column: str, period: str = "DAY") -> DataFrame:
@@ -312,9 +293,11 @@ def date_gaps(df: DataFrame, column: str, period: str = "DAY") -> DataFrame:
 
 
 def frequency_change(baseline: DataFrame, current: DataFrame, column: str, unit: str = "DAYOFWEEK") -> DataFrame:
-    """Mean events per period on both sides, by day of week, hour or month."""
+    """Mean events per slot on both sides: per day by day of week or month, per hour by hour of the day."""
+    period = unit.upper() if unit.upper() in _BELOW_A_DAY else "DAY"
+
     def side(df, label):
-        return period_counts(df, column).groupBy(
+        return period_counts(df, column, period).groupBy(
             F.date_part(F.lit(unit), F.col("period")).cast("int").alias("slot")
         ).agg(F.avg("n").alias(label))
 
@@ -423,17 +406,17 @@ def detect_drift(
         found.append(cells.select(*issues.FIELDS))
         listed.append(issues.first_per_kind(cells, p.rows_listed))
     if moved:
-        cells = new_category_issues(current, pairs, moved, key, p, dataset)
+        cells = new_category_issues(current, pairs, moved, key, dataset)
         found.append(cells.select(*issues.FIELDS))
-        listed.append(cells)
+        listed.append(first_of_new_categories(cells, pairs.filter(F.col("column").isin(moved)), p))
     every = union_all(found) if found else issues.empty_issues(current)
     first = union_all(listed) if listed else issues.empty_issues(current)
     status = drift.agg(F.count_if(F.col("severity") == "critical").alias("critical")).select(
         F.lit(dataset).alias("dataset"),
         F.when(F.col("critical") > 0, "Needs Review").otherwise("Ready").alias("status"))
-    categories = category_changes(pairs).drop("digest") if pairs is not None else (
+    categories = category_changes(pairs) if pairs is not None else (
         small_table(current.sparkSession, [], "column string, value string, change string, rows bigint"))
-    return Drift(drift, categories, drift_findings(drift, dataset), issues.reported(first),
+    return Drift(drift, categories, drift_findings(drift, dataset), issues.reported(first, p.issues_listed),
                  issues.issue_summary(every), status)
 
 

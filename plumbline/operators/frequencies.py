@@ -12,7 +12,10 @@ from plumbline.sources.state import as_local
 
 
 def bounded_keys(long: DataFrame) -> DataFrame:
-    """Group keys of bounded size: long text is kept as its start and a digest."""
+    """Group keys of bounded size: long text is kept as its start and a digest.
+
+    For counts that need no text back; ``whole_values`` finds the text of a few of them.
+    """
     long_text = F.length("value") > LONG_TEXT
     return long.withColumns(
         {
@@ -23,15 +26,34 @@ def bounded_keys(long: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value, digest, count) of the non-null values.
+    """(column, value, count) of the non-null values, each value whole."""
+    long = melt(df, columns).filter(F.col("value").isNotNull())
+    return long.groupBy("column", "value").agg(F.count("*").alias("count"))
 
-    Values over 100 characters show their first 100; ``digest`` tells apart
-    those that start alike.
-    """
+
+def digest_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, value, digest, count), where a long value is its start and a digest: no long text is shuffled."""
     long = melt(df, columns).filter(F.col("value").isNotNull())
     return bounded_keys(long).groupBy("column", "value", "digest").agg(F.count("*").alias("count"))
 
 
+def whole_values(df: DataFrame, found: DataFrame) -> DataFrame:
+    """The whole text of cut values. ``found``: a few (column, value, digest, ...) rows, such as top values.
+
+    The table is read again only if some value is cut.
+    """
+    found = as_local(found)
+    cut = [r["column"] for r in found.filter(F.col("digest").isNotNull()).select("column").distinct().collect()]
+    if not cut:
+        return found.drop("digest")
+    long = melt(df, cut).filter(F.length("value") > LONG_TEXT).withColumn("digest", F.sha2("value", 256))
+    wanted = found.filter(F.col("digest").isNotNull()).select("column", "digest")
+    texts = long.join(F.broadcast(wanted), ["column", "digest"]).groupBy("column", "digest").agg(
+        F.any_value("value").alias("_whole"))
+    joined = found.join(F.broadcast(as_local(texts)), ["column", "digest"], "left")
+    return joined.withColumn("value", F.coalesce("_whole", "value")).select(*[c for c in found.columns if c != "digest"])
+
+
 def paired_counts(baseline: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """Value counts of two tables side by side; an absent value counts 0.
 
@@ -43,11 +65,7 @@ def paired_counts(baseline: DataFrame, current: DataFrame, columns: list[str]) -
         return long.select("column", "value", F.lit(b).alias("b"), F.lit(c).alias("c"))
 
     both = side(baseline, 1, 0).unionByName(side(current, 0, 1))
-    return (
-        bounded_keys(both)
-        .groupBy("column", "value", "digest")
-        .agg(F.sum("b").alias("baseline_count"), F.sum("c").alias("current_count"))
-    )
+    return both.groupBy("column", "value").agg(F.sum("b").alias("baseline_count"), F.sum("c").alias("current_count"))
 
 
 def distribution(counts: DataFrame) -> DataFrame:
@@ -61,16 +79,17 @@ def distribution(counts: DataFrame) -> DataFrame:
 
 def top_values(counts: DataFrame, n: int = 10) -> DataFrame:
     """The n most frequent values per column; ties go to the smaller value."""
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "value", "digest")
+    digest = [c for c in ("digest",) if c in counts.columns]
+    order = Window.partitionBy("column").orderBy(F.desc("count"), "value", *digest)
     return (
         counts.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
-        .select("column", "rank", "value", "count")
+        .select("column", "rank", "value", "count", *digest)
     )
 
 
 def spread_and_top(counts: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """``distribution`` and ``top_values`` from one query, so that the counts are shuffled once.
+    """``distribution`` and ``top_values`` of ``digest_counts`` from one query, so that the counts are shuffled once.
 
     Both results are small: a row per column, and n rows per column.
     """
@@ -80,7 +99,7 @@ def spread_and_top(counts: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame
     ]))
     return (
         both.filter(F.col("part") == "spread").select("column", "distinct_count", "total", "entropy"),
-        both.filter(F.col("part") == "top").select("column", "rank", "value", "count"),
+        both.filter(F.col("part") == "top").select("column", "rank", "value", "count", "digest"),
     )
 
 
@@ -88,7 +107,7 @@ def relative_frequencies(counts: DataFrame) -> DataFrame:
     """Value counts as shares of the column's non-null values."""
     totals = counts.groupBy("column").agg(F.sum("count").alias("total"))
     return counts.join(F.broadcast(totals), "column").select(
-        "column", "value", "digest", "count", (F.col("count") / F.col("total")).alias("share")
+        "column", "value", "count", (F.col("count") / F.col("total")).alias("share")
     )
 
 

@@ -224,6 +224,6 @@ def governance(
     return Governance(
         governance_scores(findings, facts, p, dataset),
         findings.drop("area"),
-        issues.reported(listed),
+        issues.reported(listed, p.issues_listed),
         issues.issue_summary(found),
     )

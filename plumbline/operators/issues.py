@@ -136,8 +136,3 @@ def severity_counts(findings: DataFrame) -> DataFrame:
         F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in levels]
     )
 
-
-def outlier_rule(df: DataFrame, name: str, low: float, high: float, **options) -> CellRule:
-    value = col(name).cast("double")
-    return CellRule(name, "outlier", "warning", (value < low) | (value > high), value=col(name),
-                    message=F.lit(f"Outlier detected in column '{name}'"), **options)

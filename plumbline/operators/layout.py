@@ -13,8 +13,8 @@ from plumbline.functions.columns import col, columns_of
 from plumbline.functions.text import plain_number
 from plumbline.sources.state import as_local, durable, small_table
 
-BROADCAST_ROWS = 100_000
-HOT_KEYS = 1_000
+# A key is hot from 1/HOT_SHARE of the rows on, so at most HOT_SHARE keys are.
+HOT_SHARE = 1_000
 LONG_TEXT = 100
 
 
@@ -126,22 +126,21 @@ def lookup(
 ) -> DataFrame:
     """Join to a right side that has one row per key, safe for hot left keys.
 
-    The right side is written once (unless ``stored``) and counted: at most
-    ``BROADCAST_ROWS`` rows are broadcast.  Beyond that the ``HOT_KEYS`` most
-    frequent left keys (a fixed number, whatever the data) are looked up by
-    broadcast and only the others are shuffled, so no task gets all rows of a
-    frequent key.  ``hot_by`` names a right column that already holds the key
-    frequencies.  Left rows without a key never match and are not shuffled.
+    Keys with at least 1/``HOT_SHARE`` of the left rows, so at most that many
+    keys, are looked up by broadcast; the others are shuffled, where Spark still
+    turns to a broadcast if the right side is small in bytes.  So no task gets
+    all rows of a frequent key, however many there are.  ``hot_by`` names a right
+    column that already holds the key frequencies.  The right side is written
+    once (unless ``stored``).  Left rows without a key never match and are not
+    shuffled.
     """
     right = right if stored else durable(right)
-    if right.count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), on, how)
     if hot_by:
         ranked = right.select(on, F.col(hot_by).alias("_frequency"))
     else:
         ranked = left.groupBy(on).agg(F.count("*").alias("_frequency"))
     ranked = ranked.filter(col(on).isNotNull())
-    hot = as_local(ranked.orderBy(F.desc("_frequency"), on).limit(HOT_KEYS).select(on))
+    hot = _hot_keys(ranked, on)
     keyed = left.filter(col(on).isNotNull())
     hot_right = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
     found = keyed.join(F.broadcast(hot), on, "left_semi").join(hot_right, on, how)
@@ -152,6 +151,12 @@ def lookup(
     return found
 
 
+def _hot_keys(ranked: DataFrame, on: str) -> DataFrame:
+    """Keys with their share of the rows, as literal rows: at most ``HOT_SHARE``."""
+    found = ranked.agg(F.sum("_frequency")).first()[0] or 0
+    return as_local(ranked.filter(F.col("_frequency") * HOT_SHARE >= F.lit(found)).select(on))
+
+
 def range_buckets(df: DataFrame, order: list[Column], buckets: int | None = None) -> DataFrame:
     """Split a table into ordered ranges and name each row's range ``_bucket``.
 

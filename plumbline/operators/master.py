@@ -26,6 +26,11 @@ def tag_source(df: DataFrame, source_system: str = "UNKNOWN_SYSTEM", tagged_at:
     return df.withColumns({n: c for n, c in wanted.items() if n not in df.columns})
 
 
+def key_digest(c: Column, kind: str = "text") -> Column:
+    """A 32-byte digest of a key's comparable form, so that no long text is shuffled; null where nothing is left."""
+    return F.unhex(F.sha2(match_key(c, kind), 256))
+
+
 def match_key(c: Column, kind: str = "text") -> Column:
     """A key in comparable form; null where nothing is left."""
     text = c.cast("string")
@@ -38,7 +43,7 @@ def resolve_by_key(df: DataFrame, key: str, record_id: str, kind: str = "text")
 
     A row without a key is an entity of its own.
     """
-    keyed = df.withColumn("_match", match_key(col(key), kind))
+    keyed = df.withColumn("_match", key_digest(col(key), kind))
     smallest = keyed.filter(F.col("_match").isNotNull()).groupBy("_match").agg(
         F.min(col(record_id)).alias("_entity"), F.count("*").alias("_n"))
     shared = smallest.filter(F.col("_n") > 1)
@@ -85,8 +90,8 @@ def resolve_entities(df: DataFrame, keys: dict[str, str], record_id: str) -> Dat
         return resolve_by_key(df, key, record_id, kind)
     links = None
     for i, (key, kind) in enumerate(keys.items()):
-        value = match_key(col(key), kind)
-        part = df.select(col(record_id).alias("node"), F.concat(F.lit(f"{i}:"), value).alias("link"))
+        digest = F.unhex(F.sha2(F.concat(F.lit(f"{i}:"), match_key(col(key), kind)), 256))
+        part = df.select(col(record_id).alias("node"), digest.alias("link"))
         part = part.filter(F.col("link").isNotNull())
         links = part if links is None else links.unionByName(part)
     roots = durable(components(links))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import rules, stats
 from plumbline.functions.columns import kind_of
 from plumbline.operators import fills, issues, quantiles
-from plumbline.operators.cleaning import cleaning_score
+from plumbline.operators.cleaning import cleaning_findings, cleaning_score
 from plumbline.operators.facts import column_facts, number, present
 from plumbline.operators.neighbors import knn_fill
 from plumbline.params import NullParams
@@ -22,6 +22,7 @@ class HandledNulls(NamedTuple):
     analysis: DataFrame
     actions: DataFrame
     scores: DataFrame
+    findings: DataFrame
     issues: DataFrame
     issue_summary: DataFrame
 
@@ -149,4 +150,5 @@ def handle_nulls(df: DataFrame, key: str | list[str], p: NullParams = NullParams
         (p.excellent_threshold, p.good_threshold),
         ("Fully Cleaned", "Well Cleaned", "Needs More Cleaning"), dataset)
     cells = issues.null_issues(df, key, list(has_nulls), "warning", dataset=dataset) if has_nulls else issues.empty_issues(df)
-    return HandledNulls(table, analysis, actions, scores, issues.reported(cells), issues.issue_summary(cells))
+    return HandledNulls(table, analysis, actions, scores, cleaning_findings(scores, "nulls", dataset),
+                        issues.reported(cells, p.issues_listed), issues.issue_summary(cells))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import rules, stats
 from plumbline.functions.columns import col, columns_of
 from plumbline.operators import issues, quantiles
-from plumbline.operators.cleaning import cleaning_score
+from plumbline.operators.cleaning import cleaning_findings, cleaning_score
 from plumbline.operators.facts import number
 from plumbline.operators.layout import aggregate_rows
 from plumbline.params import OutlierParams
@@ -25,6 +25,7 @@ class Outliers(NamedTuple):
     summary: DataFrame
     actions: DataFrame
     scores: DataFrame
+    findings: DataFrame
     issues: DataFrame
     issue_summary: DataFrame
 
@@ -166,4 +167,5 @@ def handle_outliers(df: DataFrame, key: str | list[str], p: OutlierParams = Outl
         F.lit(dataset).alias("dataset"), "column", F.lit(p.strategy).alias("strategy"),
         F.col("outlier_count").alias("cells_changed"), fill_value.alias("fill_value"))
     listed = (issues.first_per_kind(found, p.rows_listed, ("column",)) if "row_key" in found.columns else found)
-    return Outliers(table, summary, actions, scores, issues.reported(listed), issues.issue_summary(found))
+    return Outliers(table, summary, actions, scores, cleaning_findings(scores, "outliers", dataset),
+                    issues.reported(listed, p.issues_listed), issues.issue_summary(found))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules, text
-from plumbline.functions.columns import columns_of, sensitive_table
+from plumbline.functions.columns import sensitive_table
 from plumbline.operators import issues
 from plumbline.operators.layout import aggregate_rows, written_form
 from plumbline.operators.sampling import first_non_null
@@ -188,14 +188,14 @@ def risk(df: DataFrame, key: str | list[str], p: RiskParams = RiskParams(), data
         risks.select(F.lit(dataset).alias("dataset"), *risks.columns),
         risk_scores(risks, p, dataset),
         risk_findings(risks, dataset),
-        issues.reported(union_all([listed, by_column])),
+        issues.reported(union_all([listed, by_column]), p.issues_listed),
         issues.issue_summary(found.select(*issues.FIELDS).unionByName(by_column)),
     )
 
 
 def tag_compliance(df: DataFrame, columns: list[str] | None = None, p: RiskParams = RiskParams()) -> DataFrame:
-    """The rows with ``pii_types`` found in them and ``contains_pii``."""
-    names = columns or columns_of(df, "text")
+    """The rows with ``pii_types`` found in them and ``contains_pii``. All columns are searched, numbers in written form."""
+    names = columns or df.columns
     patterns = text.risk_patterns(p.strict_ip, p.unicode_classes)
     hits = [
         F.when(

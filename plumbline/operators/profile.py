@@ -56,7 +56,7 @@ def column_profile(
         facts = local_facts(df, ("range", "moments", "quartiles", "dates"))
     listed = columns_of(df, "text", "boolean", "other")
     if spread is None and listed:
-        spread = frequencies.distribution(frequencies.value_counts(df, listed))
+        spread = frequencies.distribution(frequencies.digest_counts(df, listed))
     if spread is None:
         spread = small_table(df.sparkSession, [], "column string, distinct_count bigint, entropy double")
     spread = spread.select("column", "distinct_count", "entropy")
@@ -109,30 +109,25 @@ def profile_alerts(profile: DataFrame, top: DataFrame, p: ProfileParams = Profil
     percent_text = F.format_string("%.1f", F.col("null_pct"))
     ratio_text = F.format_string("%.1f", F.bround(ratio * 100, 1))
 
-    def alert(condition, severity, message):
-        return F.when(
-            condition, F.struct(F.lit(severity).alias("severity"), message.alias("message"))
-        )
+    def alert(condition, kind, severity, message):
+        return F.when(condition, F.struct(
+            F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), message.alias("message")))
 
     raised = F.array_compact(
         F.array(
-            alert(F.col("null_pct") > p.null_alert_threshold, "warning",
-                  F.concat(F.lit("High null percentage: "), percent_text,
-                           F.lit("% of values are missing."))),
-            alert(F.col("semantic_type") == "Unknown", "warning",
-                  F.lit("Column contains only null values.")),
-            alert((F.col("variance") > 0) & (F.col("variance") < 0.01), "info",
-                  F.concat(F.lit("Low variance detected: "), F.col("variance").cast("string"),
-                           F.lit(". Values are very similar."))),
-            alert(ratio > p.outlier_alert_threshold, "warning",
-                  F.concat(F.lit("High outlier count: "), F.col("outlier_count").cast("string"),
-                           F.lit(" outliers detected ("), ratio_text,
-                           F.lit("% of non-null values)."))),
-            alert((F.col("distinct_count") == 1) & (F.col("semantic_type") == "Categorical"), "info",
-                  F.concat(F.lit("Column has only one unique value: '"), F.col("top_value"),
-                           F.lit("'. Consider removing this constant column."))),
-            alert((F.col("distinct_count") == 1) & (F.col("semantic_type") == "Free Text"), "info",
-                  F.lit("Column has only one unique value. Consider removing this constant column.")),
+            alert(F.col("null_pct") > p.null_alert_threshold, "missing_values", "warning",
+                  F.concat(percent_text, F.lit(" % of the rows have no value here"))),
+            alert(F.col("semantic_type") == "Unknown", "only_nulls", "warning",
+                  F.lit("no row has a value here")),
+            alert((F.col("variance") > 0) & (F.col("variance") < 0.01), "low_variance", "info",
+                  F.concat(F.lit("nearly constant, variance "), F.col("variance").cast("string"))),
+            alert(ratio > p.outlier_alert_threshold, "outliers", "warning",
+                  F.concat(F.col("outlier_count").cast("string"), F.lit(" values beyond the fences, "), ratio_text,
+                           F.lit(" % of all values"))),
+            alert((F.col("distinct_count") == 1) & (F.col("semantic_type") == "Categorical"), "constant", "info",
+                  F.concat(F.lit("always '"), F.col("top_value"), F.lit("'"))),
+            alert((F.col("distinct_count") == 1) & (F.col("semantic_type") == "Free Text"), "constant", "info",
+                  F.lit("always the same text")),
         )
     )
     found = base.withColumn("alert", F.explode(raised))
@@ -140,7 +135,7 @@ def profile_alerts(profile: DataFrame, top: DataFrame, p: ProfileParams = Profil
         "dataset",
         "column",
         F.col("alert.severity").alias("severity"),
-        rules.alert_category(F.col("alert.message")).alias("category"),
+        rules.alert_category(F.col("alert.kind")).alias("category"),
         F.lit("profile_alert").alias("type"),
         F.col("alert.message").alias("message"),
         "data_type",
@@ -183,7 +178,7 @@ def constant_issues(profile: DataFrame, top: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("pii_type"),
         F.lit("info").alias("severity"),
         "value",
-        F.concat(F.lit("Column '"), F.col("column"), F.lit("' has only one unique value")).alias("message"),
+        F.concat(F.lit("constant column "), F.col("column")).alias("message"),
     )
 
 
@@ -211,10 +206,9 @@ def routing(findings: DataFrame, row_count: int, dataset: str = "table") -> Data
     return serious.select(
         F.lit(dataset).alias("dataset"),
         F.when((F.col("serious") > 0) | empty, "Needs Review").otherwise("Ready").alias("status"),
-        F.when(empty, "Dataset is empty.")
-        .when(F.col("serious") > 0,
-              "Data quality issues detected (high nulls, outliers, or empty dataset).")
-        .otherwise("No significant data quality issues detected.")
+        F.when(empty, "the table has no rows")
+        .when(F.col("serious") > 0, F.concat(F.col("serious").cast("string"), F.lit(" findings of severity warning or critical")))
+        .otherwise("no finding of severity warning or critical")
         .alias("reason"),
     )
 
@@ -226,12 +220,16 @@ def profile(
     facts = local_facts(df, ("range", "moments", "quartiles", "dates"))
     listed = columns_of(df, "text", "boolean", "other")
     spread, top = None, small_table(
-        df.sparkSession, [], "column string, rank int, value string, count bigint")
+        df.sparkSession, [], "column string, rank int, value string, count bigint, digest string")
     if listed:
-        spread, top = frequencies.spread_and_top(frequencies.value_counts(df, listed), p.top_n_values)
+        spread, top = frequencies.spread_and_top(frequencies.digest_counts(df, listed), p.top_n_values)
     columns = as_local(column_profile(df, p, dataset, facts, spread))
-    kept = columns.filter(F.col("semantic_type").isin("Categorical", "Free Text")).select("column")
-    top = top.join(F.broadcast(kept), "column", "left_semi")
+    # Values are shown whole, but for the most frequent texts of a free-text column.
+    whole = (F.col("semantic_type") == "Categorical") | (F.col("distinct_count") == 1)
+    kept = columns.filter(F.col("semantic_type").isin("Categorical", "Free Text")).select("column", whole.alias("_whole"))
+    top = top.join(F.broadcast(kept), "column")
+    shown = frequencies.whole_values(df, top.filter("_whole").drop("_whole"))
+    top = as_local(shown.unionByName(top.filter("not _whole").drop("_whole", "digest")))
     findings = profile_alerts(columns, top, p)
     cells = profile_issues(df, key, facts, p, dataset)
     groups = duplicate_issues(df, key, dataset)
@@ -246,7 +244,7 @@ def profile(
     return Profile(
         columns.select(*PROFILE_FIELDS),
         top.select(F.lit(dataset).alias("dataset"), "column", "rank", "value", "count"),
-        issues.reported(every),
+        issues.reported(every, p.issues_listed),
         issues.issue_summary(full),
         findings,
         routing(findings, row_count, dataset),

@@ -182,5 +182,5 @@ def readiness(
     full = (
         nulls.select(*issues.FIELDS).unionByName(groups.select(*issues.FIELDS)).unionByName(constant)
     )
-    return Readiness(result, lines, readiness_findings(result, lines), issues.reported(listed),
+    return Readiness(result, lines, readiness_findings(result, lines), issues.reported(listed, p.issues_listed),
                      issues.issue_summary(full))

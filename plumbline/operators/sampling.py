@@ -19,7 +19,3 @@ def first_non_null(df: DataFrame, columns: list[str], n: int, order_by: list[str
         .filter(F.col("position") <= n)
         .select("column", "position", "value")
     )
-
-
-def first_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
-    return df.orderBy(*[col(c) for c in order_by]).limit(n)

@@ -25,7 +25,7 @@ class SchemaDrift(NamedTuple):
 def schema_facts(df: DataFrame) -> DataFrame:
     """Type, nullability, distinct count and constraints per column, from the data."""
     facts = column_facts(df, ("range", "lengths"))
-    distinct = frequencies.value_counts(df).groupBy("column").agg(F.count("*").alias("distinct_count"))
+    distinct = frequencies.digest_counts(df).groupBy("column").agg(F.count("*").alias("distinct_count"))
     return facts.join(F.broadcast(distinct), "column", "left").select(
         "position", "column", "data_type",
         (F.col("null_count") > 0).alias("nullable"),

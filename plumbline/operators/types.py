@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import stats, text
 from plumbline.functions.columns import col, columns_of, kind_of
 from plumbline.operators import issues
-from plumbline.operators.cleaning import cleaning_score
+from plumbline.operators.cleaning import cleaning_findings, cleaning_score
 from plumbline.operators.facts import local_facts, number
 from plumbline.params import TypeParams
 from plumbline.sources.state import small_table
@@ -21,7 +21,9 @@ class FixedTypes(NamedTuple):
     actions: DataFrame
     scores: DataFrame
     type_issues: DataFrame
+    findings: DataFrame
     issues: DataFrame
+    issue_summary: DataFrame
 
 
 def type_shares(facts: DataFrame, threshold: float = 70.0) -> DataFrame:
@@ -45,9 +47,9 @@ def type_shares(facts: DataFrame, threshold: float = 70.0) -> DataFrame:
 
 def type_issues(shares: DataFrame) -> DataFrame:
     issue = (
-        F.when(F.col("suggested_type") == "numeric", "Should be numeric type")
-        .when(F.col("suggested_type") == "datetime", "Should be datetime type")
-        .otherwise("Float column contains only integer values"))
+        F.when(F.col("suggested_type") == "numeric", "text that holds numbers")
+        .when(F.col("suggested_type") == "datetime", "text that holds dates")
+        .otherwise("fractions that are all whole"))
     return shares.filter(F.col("suggested_type").isNotNull()).select(
         "column", F.col("data_type").alias("current_type"), "suggested_type", issue.alias("issue"),
         F.concat(F.lit("convert_to_"), "suggested_type").alias("action"), F.lit("medium").alias("priority"))
@@ -77,7 +79,7 @@ def numeric_text_issues(df: DataFrame, key: str | list[str], dataset: str = "tab
     """Cells of text columns that hold a number."""
     return issues.cell_issues(df, key, [
         issues.CellRule(n, "mixed_type", "warning", text.is_numeric_text(col(n)), value=col(n),
-                        message=f"Numeric value stored as text in column '{n}'")
+                        message=f"a number written as text in {n}")
         for n in columns_of(df, "text")], dataset)
 
 
@@ -108,8 +110,9 @@ def fix_types(df: DataFrame, key: str | list[str], p: TypeParams = TypeParams(),
         (p.issue_reduction_weight, p.data_retention_weight, p.column_retention_weight),
         (p.excellent_threshold, p.good_threshold),
         ("Types Fixed", "Well Fixed", "Needs More Fixing"), dataset)
-    return FixedTypes(table, actions, scores, type_issues(before),
-                      issues.reported(numeric_text_issues(df, key, dataset)))
+    cells = numeric_text_issues(df, key, dataset)
+    return FixedTypes(table, actions, scores, type_issues(before), cleaning_findings(scores, "types", dataset),
+                      issues.reported(cells, p.issues_listed), issues.issue_summary(cells))
 
 
 def _without_lossy_integers(df: DataFrame, fixes: dict[str, str], known_whole: set[str]) -> dict[str, str]:

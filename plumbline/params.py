@@ -1,4 +1,7 @@
-"""Operator parameters: one frozen dataclass per operator, with its defaults."""
+"""Operator parameters: one frozen dataclass per operator, with its defaults.
+
+``issues_listed`` bounds the listed issues; summaries always count all of them.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +22,7 @@ class ProfileParams:
     null_rows_listed: int = 20
     outlier_rows_listed: int = 20
     duplicate_groups_listed: int = 10
+    issues_listed: int = 100
 
 
 @dataclass(frozen=True)
@@ -29,6 +33,9 @@ class ReadinessParams:
     consistency_weight: float = 0.4
     schema_health_weight: float = 0.2
     sample_rows: int | None = None
+    issues_listed: int = 100
+    null_rows_listed: int = 20
+    duplicate_rows_listed: int = 10
 
 
 @dataclass(frozen=True)
@@ -45,6 +52,7 @@ class RiskParams:
     strict_ip: bool = False
     unicode_classes: bool = False
     rows_listed: int = 10
+    issues_listed: int = 100
 
 
 @dataclass(frozen=True)
@@ -63,6 +71,7 @@ class GovernanceParams:
     lineage_null_threshold: float = 5
     rows_listed: int = 20
     pii_rows_listed: int = 10
+    issues_listed: int = 100
 
 
 @dataclass(frozen=True)
@@ -77,6 +86,7 @@ class CheckRules:
     format_weight: float = 0.3
     excellent_threshold: float = 90
     good_threshold: float = 75
+    issues_listed: int = 100
 
 
 @dataclass(frozen=True)
@@ -86,10 +96,11 @@ class DriftParams:
     psi_critical: float = 0.25
     zero_share: float = 0.0001
     z_threshold: float = 2.0
-    p_value_method: str = "auto"
+    p_value_method: str = "asymptotic"
     categories_listed: int = 10
     rows_per_category: int = 5
     rows_listed: int = 20
+    issues_listed: int = 100
 
 
 @dataclass(frozen=True)
@@ -117,6 +128,7 @@ class NullParams:
     column_retention_weight: float = 0.2
     excellent_threshold: float = 90
     good_threshold: float = 75
+    issues_listed: int = 100
 
 
 @dataclass(frozen=True)
@@ -134,6 +146,7 @@ class OutlierParams:
     column_retention_weight: float = 0.2
     excellent_threshold: float = 90
     good_threshold: float = 75
+    issues_listed: int = 100
 
 
 @dataclass(frozen=True)
@@ -146,6 +159,7 @@ class TypeParams:
     column_retention_weight: float = 0.1
     excellent_threshold: float = 90
     good_threshold: float = 75
+    issues_listed: int = 100
 
 
 def effective(params) -> dict:

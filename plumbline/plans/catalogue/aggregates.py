@@ -88,7 +88,18 @@ _COUNTS = """
 
 @query("a7_value_counts", _COUNTS)
 def _(spark, d):
-    return frequencies.value_counts(table(spark, d, "documents"), ["lang", "source"]).drop("digest")
+    return frequencies.value_counts(table(spark, d, "documents"), ["lang", "source"])
+
+
+@query("a7_long_value_counts", """SELECT 'text' AS "column", text AS value, count(*) AS count FROM documents WHERE text IS NOT NULL GROUP BY 2""")
+def _(spark, d):
+    return frequencies.value_counts(table(spark, d, "documents"), ["text"])
+
+
+@query("a16_long_mode", """
+    SELECT 'text' AS "column", text AS mode, count(*) AS count FROM documents WHERE text IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1""")
+def _(spark, d):
+    return frequencies.modes(frequencies.value_counts(table(spark, d, "documents"), ["text"]))
 
 
 @query("a8_relative_frequencies", f"""

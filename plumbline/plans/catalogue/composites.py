@@ -13,7 +13,7 @@ from plumbline.params import (
 from plumbline.plans import workflows
 from plumbline.plans.catalogue.aggregates import _PII, risk_points_sql
 from plumbline.plans.catalogue.distances import BOTH, _KS_P, _PAIRS, _changed, _ks_sql, _sides
-from plumbline.plans.catalogue.registry import query, rounded, table, view, with_size
+from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
 
 
 def _number_row(c, data_type, source):
@@ -78,9 +78,9 @@ def _(spark, d):
 
 @query("c1_findings", """
     SELECT 'price' AS "column", 'warning' AS severity, 'data_completeness' AS category,
-           concat('High null percentage: ', printf('%.1f', round_even((count(*) - count(price)) * 100.0 / count(*), 1)), '% of values are missing.') AS message
+           concat(printf('%.1f', round_even((count(*) - count(price)) * 100.0 / count(*), 1)), ' % of the rows have no value here') AS message
     FROM orders_mixed
-    UNION ALL SELECT 'origin', 'info', 'data_variance', concat('Column has only one unique value: ''', min(origin), '''. Consider removing this constant column.') FROM orders_mixed""",
+    UNION ALL SELECT 'origin', 'info', 'data_variance', concat('always ''', min(origin), '''') FROM orders_mixed""",
        ["orders_mixed"])
 def _(spark, d):
     found = profile.profile(view(spark, d, "orders_mixed"), "o_orderkey").findings
@@ -138,16 +138,6 @@ def _(spark, d):
     return readiness.readiness(view(spark, d, "orders_mixed"), "o_orderkey").deductions.drop("dataset")
 
 
-@query("c2_readiness_sampled", _READINESS.replace("85.0 AS c", "90.0 AS c") + """
-    SELECT 'overall' AS component, round_even(0.4 * a + 0.4 * b + 0.2 * c, 0)::DOUBLE AS score FROM s
-    UNION ALL SELECT 'schema_health', round_even(c, 0) FROM s""", ["orders_mixed"])
-def _(spark, d):
-    p = ReadinessParams(sample_rows=1)
-    facts = readiness.readiness_facts(view(spark, d, "orders_mixed"), p, ["o_orderkey"])
-    scores = readiness.readiness_scores(facts, p)
-    return scores.filter("component in ('overall', 'schema_health')").select("component", "score")
-
-
 _RISK_SQL = risk_points_sql(["doc_id", "text", "lang", "source", "n_chars"], "documents")
 
 
@@ -160,13 +150,13 @@ def _(spark, d):
 
 
 @query("c3_sensitive_column_risks", """
-    SELECT c AS "column", points AS risk_score, level AS risk_level, gap AS governance_gap, (SELECT count(*) FROM customer_sensitive) AS row_count FROM (VALUES
+    SELECT c AS "column", points AS risk_score, level AS risk_level, gap AS governance_gap FROM (VALUES
       ('c_custkey', 0, 'low', false), ('full_name', 0, 'low', false), ('salary_amount', 35, 'medium', true), ('marketing_opt_in', 0, 'low', false),
       ('api_key_hint', 35, 'medium', true), ('tax_id', 35, 'medium', true)) AS t(c, points, level, gap)""", ["customer_sensitive"])
 def _(spark, d):
     df = view(spark, d, "customer_sensitive")
     risks = privacy.column_risks(df).select("column", "risk_score", "risk_level", "governance_gap")
-    return with_size(risks, df)
+    return risks
 
 
 @query("c3_risk_status", f"""
@@ -220,13 +210,19 @@ def _(spark, d):
     return drift.detect_drift(base.drop("ts", "props"), cur.drop("ts", "props"), ["event_id"]).status
 
 
+_NEW_ROWS = """SELECT '$c' AS key, count(*) AS count FROM events_cur WHERE $c IS NOT NULL AND CAST($c AS VARCHAR) NOT IN (
+      SELECT CAST($c AS VARCHAR) FROM events_base WHERE $c IS NOT NULL) HAVING count(*) > 0"""
+
+
 @query("c4_drift_issue_summary", """
     WITH m AS (SELECT avg(event_id) AS em, stddev_samp(event_id) AS es, avg(value) AS vm, stddev_samp(value) AS vs FROM events_base)
     SELECT 'event_id' AS key, count(*) AS count FROM events_cur, m WHERE abs((event_id - em) / es) > 2
-    UNION ALL SELECT 'value', count(*) FROM events_cur, m WHERE abs((value - vm) / vs) > 2""", BOTH)
+    UNION ALL SELECT 'value', count(*) FROM events_cur, m WHERE abs((value - vm) / vs) > 2 UNION ALL """
+    + union_sql(["ts", "event_type", "props"], _NEW_ROWS), BOTH)
 def _(spark, d):
     base, cur = _sides(spark, d)
-    found = drift.detect_drift(base.select("event_id", "value"), cur.select("event_id", "value"), ["event_id"])
+    # The user ids do not drift; all other columns do.
+    found = drift.detect_drift(base.drop("user_id"), cur.drop("user_id"), ["event_id"])
     return found.issue_summary.filter("dimension = 'column'").select("key", "count")
 
 
@@ -349,12 +345,11 @@ def _(spark, d):
 
 
 @query("c7_recommendations", """
-    SELECT c AS "column", priority, category, (SELECT count(*) FROM events_cur) > 0 AS compared FROM (VALUES
+    SELECT c AS "column", priority, category FROM (VALUES
       ('props', 'critical', 'breaking_change'), ('channel', 'medium', 'enhancement'), ('user_id', 'low', 'optimization')) AS t(c, priority, category)""", BOTH)
 def _(spark, d):
     base, cur = _changed(spark, d)
-    found = schema_drift.schema_drift(base, cur).recommendations.select("column", "priority", "category")
-    return with_size(found, cur).withColumn("compared", F.col("row_count") > 0).drop("row_count")
+    return schema_drift.schema_drift(base, cur).recommendations.select("column", "priority", "category")
 
 
 _AUTO_FILL = """
@@ -385,6 +380,14 @@ def _(spark, d):
     return result.scores.filter("component = 'overall'").select("score", "status")
 
 
+@query("c8_findings", """
+    SELECT 'warning' AS severity, 'remaining_after_cleaning' AS type, concat(count(*) - count(o_totalprice), ' nulls remain') AS message FROM orders_nulls HAVING count(*) > count(o_totalprice)""", ["orders_nulls"])
+def _(spark, d):
+    p = NullParams(strategies={"o_orderpriority": "drop_column"})
+    found = nulls.handle_nulls(view(spark, d, "orders_nulls"), "o_orderkey", p).findings
+    return found.filter("type = 'remaining_after_cleaning'").select("severity", "type", "message")
+
+
 @query("c8_drop_column_score", """
     WITH f AS (SELECT count(*) - count(o_totalprice) AS a, count(*) - count(o_orderpriority) AS b FROM orders_nulls),
          s AS (SELECT 0.5 * b * 100.0 / (a + b) + 30 + 20 * 5.0 / 6 AS s FROM f)
@@ -414,6 +417,13 @@ def _(spark, d):
         F.max(F.when(F.col("component") == "found", F.col("score"))).alias("found"))
 
 
+@query("c9_findings", _FENCED + """
+    SELECT 'critical' AS severity, 'low_cleaning_score' AS type FROM q, k WHERE 50 + 30.0 * kept / n + 20 < 100""", ["lineitem_outliers"])
+def _(spark, d):
+    p = OutlierParams(excellent_threshold=100.5, good_threshold=100)
+    return outliers.handle_outliers(_priced(spark, d), ["l_orderkey", "l_linenumber", "l_partkey"], p).findings.select("severity", "type")
+
+
 @query("c9_outlier_actions", _FENCED + """
     SELECT 'l_extendedprice' AS "column", 'impute_mean' AS strategy, n - kept AS cells_changed FROM q, k""", ["lineitem_outliers"])
 def _(spark, d):
@@ -431,12 +441,29 @@ def _(spark, d):
 
 
 @query("c10_type_issues", """
-    SELECT 'cust_text' AS "column", 'numeric' AS suggested_type, count(*) AS row_count FROM orders_text
-    UNION ALL SELECT 'date_text', 'datetime', count(*) FROM orders_text UNION ALL SELECT 'cust_float', 'integer', count(*) FROM orders_text""", ["orders_text"])
+    SELECT 'cust_text' AS "column", 'numeric' AS suggested_type FROM orders_text HAVING count(try_cast(cust_text AS DOUBLE)) > 0.7 * count(cust_text)
+    UNION ALL SELECT 'date_text', 'datetime' FROM orders_text HAVING count(try_cast(date_text AS DATE)) > 0.7 * count(date_text)
+    UNION ALL SELECT 'cust_float', 'integer' FROM orders_text HAVING bool_and(cust_float = floor(cust_float))
+    UNION ALL SELECT 'o_totalprice', 'integer' FROM orders_text HAVING bool_and(o_totalprice = floor(o_totalprice))""", ["orders_text"])
+def _(spark, d):
+    return types.fix_types(view(spark, d, "orders_text"), "o_orderkey").type_issues.select("column", "suggested_type")
+
+
+@query("c10_findings", """
+    SELECT 'warning' AS severity, 'remaining_after_cleaning' AS type FROM orders_text HAVING count(try_cast(date_text AS DATE)) > 0.7 * count(date_text)
+    UNION ALL SELECT 'critical', 'low_cleaning_score' FROM orders_text HAVING 0.6 * 100.0 / 3 + 30 + 10 < 75 AND count(*) > 0""", ["orders_text"])
+def _(spark, d):
+    p = TypeParams(column_fixes={"cust_float": "integer"})
+    return types.fix_types(view(spark, d, "orders_text"), "o_orderkey", p).findings.select("severity", "type")
+
+
+@query("c10_issue_summary", """
+    SELECT 'total' AS dimension, 'all' AS key, count(*) FILTER (WHERE try_cast(cust_text AS DOUBLE) IS NOT NULL) + count(*) FILTER (WHERE try_cast(date_text AS DOUBLE) IS NOT NULL)
+      + count(*) FILTER (WHERE try_cast(o_orderpriority AS DOUBLE) IS NOT NULL) AS count FROM orders_text
+    UNION ALL SELECT 'column', 'cust_text', count(*) FROM orders_text WHERE try_cast(cust_text AS DOUBLE) IS NOT NULL""", ["orders_text"])
 def _(spark, d):
-    df = view(spark, d, "orders_text")
-    found = types.fix_types(df, "o_orderkey").type_issues.select("column", "suggested_type")
-    return with_size(found, df)
+    summary = types.fix_types(view(spark, d, "orders_text"), "o_orderkey").issue_summary
+    return summary.filter("dimension in ('total', 'column')")
 
 
 @query("c10_type_score", """
@@ -481,10 +508,9 @@ def _(spark, d):
 
 
 @query("c13_run_record", """
-    SELECT 'profile' AS operator, 'lineitem' AS dataset, 11 AS fields, '50' AS categorical_threshold, count(*) AS row_count FROM lineitem""")
+    SELECT 'profile' AS operator, 'lineitem' AS dataset, 11 AS fields, '50' AS categorical_threshold""")
 def _(spark, d):
     df = table(spark, d, "lineitem")
     record = workflows.run_record(spark, "profile", "lineitem", df.columns, ProfileParams(), dt.datetime(2024, 5, 1))
-    shown = record.select("operator", "dataset", F.size("fields").alias("fields"),
+    return record.select("operator", "dataset", F.size("fields").alias("fields"),
                          F.col("parameters")["categorical_threshold"].alias("categorical_threshold"))
-    return with_size(shown, df)

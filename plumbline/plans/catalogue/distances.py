@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import drift, frequencies, privacy, schema_drift
 from plumbline.operators.facts import column_facts, local_facts
 from plumbline.plans.catalogue.aggregates import risk_points_sql
-from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view, with_size
+from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
 
 BOTH = ["events_base", "events_cur"]
 
@@ -45,7 +45,7 @@ def _(spark, d):
 
 @query("j2_aligned_categories", _PAIRS + 'SELECT "column", value, baseline_count, current_count FROM pairs', BOTH)
 def _(spark, d):
-    return frequencies.paired_counts(*_sides(spark, d), ["event_type"]).drop("digest")
+    return frequencies.paired_counts(*_sides(spark, d), ["event_type"])
 
 
 @query("j3_new_and_missing_categories", _PAIRS + """
@@ -53,7 +53,17 @@ def _(spark, d):
     FROM pairs WHERE baseline_count = 0 OR current_count = 0""", BOTH)
 def _(spark, d):
     pairs = frequencies.paired_counts(*_sides(spark, d), ["event_type"])
-    return drift.category_changes(pairs).drop("digest")
+    return drift.category_changes(pairs)
+
+
+@query("j3_long_new_categories", """
+    WITH b AS (SELECT text, count(*) AS n FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL GROUP BY 1),
+         c AS (SELECT text, count(*) AS n FROM documents WHERE doc_id % 2 = 1 AND text IS NOT NULL GROUP BY 1)
+    SELECT 'text' AS "column", coalesce(b.text, c.text) AS value, CASE WHEN b.n IS NULL THEN 'new' ELSE 'missing' END AS change,
+           coalesce(b.n, c.n) AS rows FROM b FULL OUTER JOIN c ON b.text = c.text WHERE b.n IS NULL OR c.n IS NULL""")
+def _(spark, d):
+    df = table(spark, d, "documents")
+    return drift.category_changes(frequencies.paired_counts(df.filter("doc_id % 2 = 0"), df.filter("doc_id % 2 = 1"), ["text"]))
 
 
 @query("j4_catalog_drift", """
@@ -138,7 +148,14 @@ def _(spark, d):
     return rounded(_categories(spark, d).select("column", "dof", "chi_square"))
 
 
-@query("t5_chi_square_p_value")
+# The upper tail of the chi-square distribution, one less the series of the lower incomplete gamma function.
+@query("t5_chi_square_p_value", _PAIRS + """,
+    k AS (SELECT "column", count(*) - 1 AS dof, sum(pow(baseline_count - eb, 2) / eb + pow(current_count - ec, 2) / ec) AS chi_square
+      FROM (SELECT *, (baseline_count + current_count) * nb / (nb + nc) AS eb, (baseline_count + current_count) * nc / (nb + nc) AS ec FROM shares) GROUP BY 1),
+    x AS (SELECT *, dof / 2.0 AS a, greatest(chi_square / 2, 1e-12) AS h FROM k),
+    t AS (SELECT "column", sum(exp(a * ln(h) - h + n * ln(h) - lgamma(a + 1 + n))) AS lower_tail FROM x, range(0, 600) AS r(n) GROUP BY 1)
+    SELECT k."column", dof, round(chi_square, 6) AS chi_square,
+           round(CASE WHEN chi_square > 400 THEN 0 ELSE greatest(0, 1 - lower_tail) END, 6)::DOUBLE AS chi_square_p FROM k JOIN t ON k."column" = t."column" """, BOTH)
 def _(spark, d):
     return rounded(drift.with_chi_square_p_value(_categories(spark, d)).select("column", "chi_square", "dof", "chi_square_p"))
 
@@ -214,13 +231,31 @@ def _(spark, d):
     return rounded(drift.frequency_change(*_sides(spark, d), "ts").drop("change"))
 
 
+@query("t11_hour_gaps", """
+    WITH e AS (SELECT date_trunc('hour', ts) AS h FROM events_base WHERE event_id % 5 = 0)
+    SELECT strftime(h, '%Y-%m-%d %H:%M') AS period FROM (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM e)
+    WHERE h NOT IN (SELECT h FROM e)""", ["events_base"])
+def _(spark, d):
+    found = drift.date_gaps(view(spark, d, "events_base").filter("event_id % 5 = 0"), "ts", "HOUR")
+    return found.select(F.date_format("period", "yyyy-MM-dd HH:mm").alias("period"))
+
+
+@query("t12_frequency_change_by_hour", """
+    SELECT coalesce(b.slot, c.slot) AS slot, round(coalesce(b.m, 0), 6) AS baseline_mean, round(coalesce(c.m, 0), 6) AS current_mean,
+           CASE WHEN coalesce(c.m, 0) > coalesce(b.m, 0) THEN 'increase' WHEN coalesce(c.m, 0) < coalesce(b.m, 0) THEN 'decrease' ELSE 'none' END AS direction
+    FROM (SELECT CAST(hour(h) AS INTEGER) AS slot, avg(n) AS m FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events_base GROUP BY 1) GROUP BY 1) b
+    FULL OUTER JOIN (SELECT CAST(hour(h) AS INTEGER) AS slot, avg(n) AS m FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events_cur GROUP BY 1) GROUP BY 1) c
+    ON b.slot = c.slot""", BOTH)
+def _(spark, d):
+    return rounded(drift.frequency_change(*_sides(spark, d), "ts", "HOUR").drop("change"))
+
+
 @query("t13_rename_candidates", """
-    SELECT 'c_mktsegment' AS dropped, 'c_market_segment' AS added, round(1 - levenshtein('c_mktsegment', 'c_market_segment') / 16.0, 6) AS similarity,
-           (SELECT count(*) FROM customer) AS row_count""")
+    SELECT 'c_mktsegment' AS dropped, 'c_market_segment' AS added, round(1 - levenshtein('c_mktsegment', 'c_market_segment') / 16.0, 6) AS similarity""")
 def _(spark, d):
     df = table(spark, d, "customer")
     renamed = df.withColumnRenamed("c_mktsegment", "c_market_segment").withColumn("zz", F.lit(1))
-    return rounded(with_size(drift.rename_candidates(df, renamed), df))
+    return rounded(drift.rename_candidates(df, renamed))
 
 
 def _flags_source(spark, d):

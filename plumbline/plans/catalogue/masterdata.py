@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import duplicates, master, neighbors, privacy
 from plumbline.plans import workflows
 from plumbline.plans.catalogue.aggregates import _PII
-from plumbline.plans.catalogue.registry import VIEWS, query, rounded, table, view, with_size
+from plumbline.plans.catalogue.registry import VIEWS, query, rounded, table, view
 
 
 @query("j6_rows_of_duplicate_groups", """
@@ -100,17 +100,28 @@ def _(spark, d):
     return privacy.tag_compliance(table(spark, d, "documents"), ["text"]).select("doc_id", "pii_types", "contains_pii")
 
 
-@query("m4_column_tags", """
-    SELECT 'api_key_hint' AS "column", 'confidential' AS suggested_classification, count(*) AS row_count FROM customer_sensitive
-    UNION ALL SELECT 'salary_amount', 'confidential', count(*) FROM customer_sensitive
-    UNION ALL SELECT 'tax_id', 'confidential', count(*) FROM customer_sensitive
-    UNION ALL SELECT 'c_custkey', 'internal', count(*) FROM customer_sensitive
-    UNION ALL SELECT 'full_name', 'internal', count(*) FROM customer_sensitive
-    UNION ALL SELECT 'marketing_opt_in', 'internal', count(*) FROM customer_sensitive""", ["customer_sensitive"])
+def _any_pii(column: str) -> str:
+    tests = " OR ".join(f"regexp_matches(CAST({column} AS VARCHAR), '{p}')" for p in _PII.values())
+    return f"coalesce({tests}, false)"
+
+
+_TERMS = {"c_custkey": "", "full_name": "", "salary_amount": "salary", "marketing_opt_in": "", "api_key_hint": "api_key", "tax_id": "tax_id"}
+
+
+@query("m4_column_tags", " UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", CASE WHEN {'true' if term else 'false'} AND bool_or({_any_pii(c)}) THEN 'restricted'
+           WHEN {'true' if term else 'false'} OR bool_or({_any_pii(c)}) THEN 'confidential' ELSE 'internal' END AS suggested_classification
+    FROM customer_sensitive""" for c, term in _TERMS.items()), ["customer_sensitive"])
+def _(spark, d):
+    risks = privacy.column_risks(view(spark, d, "customer_sensitive"))
+    return privacy.column_tags(risks).select("column", "suggested_classification")
+
+
+@query("m4_numeric_columns", f"""
+    SELECT o_orderkey, {_any_pii("phone")} AS contains_pii FROM (SELECT o_orderkey, 2025550000 + o_custkey AS phone FROM orders)""")
 def _(spark, d):
-    df = view(spark, d, "customer_sensitive")
-    tags = privacy.column_tags(privacy.column_risks(df)).select("column", "suggested_classification")
-    return with_size(tags, df)
+    df = table(spark, d, "orders").select("o_orderkey", (F.lit(2025550000) + F.col("o_custkey")).alias("phone"))
+    return privacy.tag_compliance(df, ["phone"]).select("o_orderkey", "contains_pii")
 
 
 @query("m5_master_report", f"""

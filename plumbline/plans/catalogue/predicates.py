@@ -10,7 +10,7 @@ from plumbline.operators import checks, drift, frequencies, governance, issues,
 from plumbline.operators.facts import column_facts, local_facts, present
 from plumbline.params import CheckRules, DriftParams, OutlierParams
 from plumbline.plans.catalogue.aggregates import _PII
-from plumbline.plans.catalogue.registry import query, table, union_sql, view, with_size
+from plumbline.plans.catalogue.registry import query, table, union_sql, view
 
 
 @query("f1_null_cells", "SELECT o_orderkey FROM orders_nulls WHERE o_totalprice IS NULL", ["orders_nulls"])
@@ -84,13 +84,6 @@ def _(spark, d):
     return privacy.pii_matches(table(spark, d, "documents"), text.risk_patterns(), ["text", "source"])
 
 
-@query("f8_pii_search_sampled", " UNION ALL ".join(
-    f"SELECT 'text' AS \"column\", '{t}' AS pii_type, count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS matches FROM first_documents"
-    for t, p in _PII.items()).join(["WITH first_documents AS (SELECT text FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 100) ", ""]))
-def _(spark, d):
-    return privacy.pii_matches(table(spark, d, "documents"), text.risk_patterns(), ["text"], 100, ["doc_id"])
-
-
 @query("f9_governance_pii_search", _pii_sql(["contact", "c_name", "source_system"], "customer_governed", {
     "email": _PII["email"], "phone": r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "ssn": _PII["ssn"]}), ["customer_governed"])
 def _(spark, d):
@@ -117,12 +110,12 @@ def _(spark, d):
 
 
 @query("f12_missing_columns", """
-    SELECT area, c AS "column", (SELECT count(*) FROM customer_governed) AS row_count FROM (VALUES
+    SELECT area, c AS "column" FROM (VALUES
       ('lineage', 'modified_date'), ('consent', 'data_subject_id'), ('classification', 'sensitivity_level'),
       ('classification', 'retention_period')) AS t(area, c)""", ["customer_governed"])
 def _(spark, d):
     df = view(spark, d, "customer_governed")
-    return with_size(governance.missing_fields(df), df)
+    return governance.missing_fields(df)
 
 
 def _outlier_rows(spark, d, p):
@@ -199,7 +192,8 @@ def _(spark, d):
 def _(spark, d):
     base, cur = view(spark, d, "events_base"), view(spark, d, "events_cur")
     pairs = frequencies.paired_counts(base, cur, ["event_type"])
-    return drift.new_category_issues(cur, pairs, ["event_type"], ["event_id"]).select("row_id", "value")
+    cells = drift.new_category_issues(cur, pairs, ["event_type"], ["event_id"])
+    return drift.first_of_new_categories(cells, pairs).select("row_id", "value")
 
 
 @query("f19_pii_in_public_rows", f"""

@@ -129,11 +129,6 @@ def rounded(df: DataFrame, digits: int = 6, **by_column: int) -> DataFrame:
     return df.select(*out)
 
 
-def with_size(result: DataFrame, source: DataFrame, name: str = "row_count") -> DataFrame:
-    """The result with the row count of a table it describes."""
-    return result.withColumn(name, F.lit(source.count()).cast("bigint"))
-
-
 def union_sql(columns: list[str], template: str) -> str:
     """One SELECT per column, joined by UNION ALL."""
     return " UNION ALL ".join(template.replace("$c", c) for c in columns)

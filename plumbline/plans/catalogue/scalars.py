@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules, text
-from plumbline.operators import nulls, outliers, types
+from plumbline.operators import nulls, outliers, profile, types
 from plumbline.operators.facts import column_facts
 from plumbline.params import OutlierParams
 from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
@@ -151,15 +151,12 @@ def _(spark, d):
 
 
 @query("x12_alert_categories", """
-    SELECT category, count(*) AS n FROM (
-      SELECT CASE doc_id % 6 WHEN 0 THEN 'data_completeness' WHEN 1 THEN 'data_quality' WHEN 2 THEN 'data_variance'
-             WHEN 3 THEN 'statistical_anomaly' WHEN 4 THEN 'data_availability' ELSE 'general' END AS category FROM documents) GROUP BY 1""")
-def _(spark, d):
-    message = F.element_at(F.array(*[F.lit(m) for m in (
-        "High null percentage", "3 Outliers", "only one unique value", "Low variance", "Dataset is empty", "fine")]),
-        (F.col("doc_id") % 6 + 1).cast("int"))
-    df = table(spark, d, "documents").select(rules.alert_category(message).alias("category"))
-    return df.groupBy("category").agg(F.count("*").alias("n"))
+    SELECT 'price' AS "column", 'data_completeness' AS category FROM orders_mixed HAVING count(price) < 0.8 * count(*)
+    UNION ALL SELECT 'priority', 'data_completeness' FROM orders_mixed HAVING count(priority) < 0.8 * count(*)
+    UNION ALL SELECT 'origin', 'data_variance' FROM orders_mixed HAVING count(DISTINCT origin) = 1""", ["orders_mixed"])
+def _(spark, d):
+    found = profile.profile(view(spark, d, "orders_mixed"), "o_orderkey").findings
+    return found.select("column", "category")
 
 
 _NULL_SHARES = """

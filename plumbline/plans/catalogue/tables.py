@@ -14,7 +14,7 @@ from plumbline.operators.facts import column_facts, table_counts
 from plumbline.operators.layout import melt_numbers, with_row_id
 from plumbline.operators.scores import side_by_side, union_all
 from plumbline.params import OutlierParams
-from plumbline.plans.catalogue.registry import query, table, union_sql, view, with_size
+from plumbline.plans.catalogue.registry import query, table, union_sql, view
 from plumbline.plans.workflows import over_tables
 from plumbline.sources import readers, writers
 
@@ -268,9 +268,7 @@ def _(spark, d):
     SELECT "column", CAST(rank AS INTEGER) AS rank, value, count FROM (
       SELECT 'source' AS "column", source AS value, count(*) AS count,
              row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY source
-      UNION ALL SELECT 'text', substring(text, 1, 100), count(*),
-             row_number() OVER (ORDER BY count(*) DESC, substring(text, 1, 100), sha256(text))
-      FROM documents GROUP BY text) WHERE rank <= 10""")
+      UNION ALL SELECT 'text', text, count(*), row_number() OVER (ORDER BY count(*) DESC, text) FROM documents GROUP BY text) WHERE rank <= 10""")
 def _(spark, d):
     return frequencies.top_values(frequencies.value_counts(table(spark, d, "documents"), ["source", "text"]), 10)
 
@@ -332,14 +330,14 @@ def _catalogs(spark, d):
 
 
 @query("u1_column_sets", """
-    SELECT c AS "column", change, (SELECT count(*) FROM customer) AS row_count FROM (VALUES
+    SELECT c AS "column", change FROM (VALUES
       ('c_custkey', 'common'), ('c_nationkey', 'common'), ('c_acctbal', 'common'),
       ('c_mktsegment', 'common'), ('c_name', 'dropped'), ('c_email', 'added')) AS t(c, change)""")
 def _(spark, d):
     from plumbline.operators.drift import column_sets
 
     old, new = _catalogs(spark, d)
-    return with_size(column_sets(old["customer"], new["customer"]), old["customer"])
+    return column_sets(old["customer"], new["customer"])
 
 
 @query("u2_table_sets", """

@@ -80,7 +80,7 @@ def profile_workflow(
     listed = profile_ops.columns_of(df, "text", "boolean", "other")
     spread, top = None, small_table(spark, [], "column string, rank int, value string, count bigint")
     if listed:
-        counts = profile_ops.frequencies.value_counts(df, listed)
+        counts = profile_ops.frequencies.digest_counts(df, listed)
         spread, top = profile_ops.frequencies.spread_and_top(counts, 1)
     columns = as_local(profile_ops.column_profile(df, profile_params, dataset, spread=spread))
     found = found.select(*FINDING_FIELDS).unionByName(

@@ -34,7 +34,7 @@ def test_chi_square_tail_known_values():
 
 def test_exact_and_asymptotic_p_values_agree_for_large_samples(spark):
     d = spark.createDataFrame([(0.02, 9000, 8000), (0.03, 9000, 8000)], "ks_statistic double, n1 bigint, n2 bigint")
-    exact = [r["p_value"] for r in drift.with_ks_p_value(d, "auto").orderBy("ks_statistic").collect()]
+    exact = [r["p_value"] for r in drift.with_ks_p_value(d, "exact").orderBy("ks_statistic").collect()]
     series = [r["p_value"] for r in drift.with_ks_p_value(d, "asymptotic").orderBy("ks_statistic").collect()]
     assert exact == pytest.approx(series, abs=0.002)
 
@@ -134,3 +134,28 @@ def test_catalog_changes(spark):
     found = {(r["table"], r["column"], r["change"]) for r in schema_drift.catalog_changes(old, new).collect()}
     assert found == {("legacy", None, "table_dropped"), ("extra", None, "table_added"),
                      ("orders", "note", "column_dropped"), ("orders", "method", "column_added")}
+
+
+def test_issue_summary_counts_every_row_of_every_new_category(spark):
+    base = spark.range(400).select("id", F.lit("old").alias("c"))
+    cur = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("new"), F.col("id") % 20)).otherwise("old").alias("c"))
+    found = drift.detect_drift(base, cur, ["id"])
+    summary = {(r["dimension"], r["key"]): r["count"] for r in found.issue_summary.collect()}
+    assert summary["column", "c"] == 200
+    assert found.issues.filter("issue_type = 'new_category'").count() == 50
+    assert found.categories.filter("change = 'new'").count() == 10
+
+
+def test_hour_periods(spark):
+    df = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS t UNION ALL SELECT timestamp'2024-01-01 03:50:00' UNION ALL SELECT timestamp'2024-01-02 03:00:00'")
+    assert df.count() == 3
+    slots = {r["slot"]: r["baseline_mean"] for r in drift.frequency_change(df, df, "t", "HOUR").collect()}
+    assert slots == {0: 1.0, 3: 1.0}
+    gaps = drift.date_gaps(df.filter("t < timestamp'2024-01-02'"), "t", "HOUR").collect()
+    assert sorted(str(r["period"]) for r in gaps) == ["2024-01-01 01:00:00", "2024-01-01 02:00:00"]
+
+
+def test_one_p_value_formula_for_all_sizes(spark):
+    d = spark.createDataFrame([(0.018, 10_000, 10_000), (0.018, 10_001, 10_000)], "ks_statistic double, n1 bigint, n2 bigint")
+    small, large = (r["p_value"] for r in drift.with_ks_p_value(d).orderBy("n1").collect())
+    assert small == pytest.approx(large, abs=1e-4)

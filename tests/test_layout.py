@@ -28,13 +28,19 @@ def test_lookup_same_result_for_hot_keys(spark, monkeypatch, how):
     left = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
     right = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     wanted = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
-    monkeypatch.setattr(layout, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(layout, "HOT_KEYS", 2)
+    monkeypatch.setattr(layout, "HOT_SHARE", 10)
     assert sorted(map(tuple, layout.lookup(left, right, "k", how).collect()), key=str) == wanted
 
 
-def test_lookup_keeps_rows_without_key(spark, monkeypatch):
-    monkeypatch.setattr(layout, "BROADCAST_ROWS", 0)
+def test_lookup_with_thousands_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(layout, "HOT_SHARE", 5_000)
+    left = spark.range(20_000).select("id", F.when(F.col("id") < 16_000, F.col("id") % 4_000).otherwise(F.col("id")).alias("k"))
+    right = spark.range(18_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    found = layout.lookup(left, right, "k")
+    assert found.count() == 18_000 and found.filter("v != 2 * k").count() == 0
+
+
+def test_lookup_keeps_rows_without_key(spark):
     left = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, k string")
     right = spark.createDataFrame([("a", 5)], "k string, v int")
     found = {r["id"]: r["v"] for r in layout.lookup(left, right, "k", "left").collect()}
@@ -116,7 +122,11 @@ def test_long_texts_with_the_same_start_are_different_values(spark):
     from plumbline.operators import frequencies
 
     df = spark.createDataFrame([("x" * 150 + "a",), ("x" * 150 + "b",), ("x" * 150 + "a",)], "t string")
-    assert sorted(r["count"] for r in frequencies.value_counts(df).collect()) == [1, 2]
+    counts = frequencies.value_counts(df)
+    assert sorted(r["count"] for r in counts.collect()) == [1, 2]
+    assert frequencies.modes(counts).first()["mode"] == "x" * 150 + "a"
+    top = frequencies.top_values(frequencies.digest_counts(df), 2)
+    assert {r["value"] for r in frequencies.whole_values(df, top).collect()} == {"x" * 150 + "a", "x" * 150 + "b"}
 
 
 def test_constant_column_has_no_entropy_and_counts_add_up(spark):

@@ -32,10 +32,10 @@ def _union_find(links):
     return {node: min(g) for g in groups.values() for node in g}
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+@pytest.mark.parametrize("hot_share", [1_000, 3])
 @pytest.mark.parametrize("shape", ["chain", "random", "hot"])
-def test_entities_equal_connected_components(spark, monkeypatch, shape, broadcast_rows):
-    monkeypatch.setattr(layout, "BROADCAST_ROWS", broadcast_rows)
+def test_entities_equal_connected_components(spark, monkeypatch, shape, hot_share):
+    monkeypatch.setattr(layout, "HOT_SHARE", hot_share)
     rng = random.Random(4)
     if shape == "chain":
         rows = [(i, f"m{i // 2}", f"5{(i + 1) // 2:04d}") for i in range(60)]

@@ -41,8 +41,7 @@ def test_profile_findings_issues_and_status(widgets):
     found = profile.profile(widgets, "id")
     messages = [(r["column"], r["category"], r["severity"]) for r in found.findings.collect()]
     assert ("coupon", "data_completeness", "warning") in messages
-    # The outlier alert names "non-null values", and the text decides the category.
-    assert ("price", "data_completeness", "warning") in messages
+    assert ("price", "data_quality", "warning") in messages
     assert ("sale", "data_variance", "info") in messages
     assert found.status.first()["status"] == "Needs Review"
     kinds = {r["issue_type"] for r in found.issues.collect()}
@@ -215,3 +214,24 @@ def test_issue_summary_of_all_dimensions(spark):
     found = {(r["dimension"], r["key"]): r["count"] for r in issues.issue_summary(issues.cell_issues(df, "id", made)).collect()}
     assert found == {("issue_type", "pii_detected"): 1, ("issue_type", "null_value"): 1, ("severity", "critical"): 1,
                      ("severity", "info"): 1, ("column", "t"): 1, ("column", "x"): 1, ("pii_type", "email"): 1, ("total", "all"): 2}
+
+
+def test_patterns_are_those_of_spark(spark):
+    from plumbline.operators import checks
+
+    assert checks.valid_pattern(spark, r"\p{L}+") and not checks.valid_pattern(spark, "(x") and not checks.valid_pattern(spark, "(?P<x>a)")
+
+
+def test_numbers_are_searched_for_personal_data(spark):
+    df = spark.createDataFrame([(1, 2025550123), (2, 7)], "id int, phone bigint")
+    found = {r["id"]: r["contains_pii"] for r in privacy.tag_compliance(df).collect()}
+    assert found == {1: True, 2: False}
+
+
+def test_row_issues_come_in_key_order(spark):
+    from plumbline.operators import checks
+    from plumbline.params import CheckRules
+
+    df = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(30)], "id int, c string")
+    rules = CheckRules(unique=(), ranges={}, formats={}, critical=("c",), check_duplicates=False, issues_listed=7)
+    assert [r["row_id"] for r in checks.run_checks(df, "id", rules).issues.collect()] == ["1", "3", "5", "7", "9", "11", "13"]
