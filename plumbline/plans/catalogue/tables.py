@@ -26,6 +26,30 @@ def _(spark, d):
     return readers.read_csv(spark, folder)
 
 
+@query("s1_csv_long_integers", """
+    SELECT CAST(c_custkey AS BIGINT) AS c_custkey, 1234567890123450000 + c_custkey AS long_id, concat('98765432109876543210', c_custkey) AS longer_id FROM customer""")
+def _(spark, d):
+    folder = writers.scratch_folder(spark, "csv")
+    table(spark, d, "customer").select(
+        "c_custkey", (F.lit(1234567890123450000) + F.col("c_custkey")).alias("long_id"),
+        F.concat(F.lit("98765432109876543210"), "c_custkey").alias("longer_id")).write.option("header", True).csv(folder)
+    read = readers.read_csv(spark, folder)
+    return read.withColumn("longer_id", F.col("longer_id").cast("string"))
+
+
+@query("s2_tolerant_csv_header_and_breaks", """
+    SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, chr(10), 'second line') ELSE c_name END AS name FROM customer
+    UNION ALL SELECT 'id', 'name' FROM customer WHERE c_custkey = 1""")
+def _(spark, d):
+    folder = writers.scratch_folder(spark, "breaks")
+    df = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("\nsecond line"))).otherwise(F.col("c_name")).alias("name"))
+    header = df.filter("id = '1'").select(F.lit("id").alias("id"), F.lit("name").alias("name"))
+    df.unionByName(header).coalesce(1).write.options(header=True, quoteAll=True).csv(folder)
+    return readers.read_csv_tolerant(spark, folder, multi_line=True)[0]
+
+
 _TOLERANT_LINES = """
     SELECT CASE WHEN c_custkey % 50 = 0 THEN concat(c_custkey, ',', c_name, ',', c_mktsegment, ',spare,more')
                 WHEN c_custkey % 40 = 1 THEN concat(c_custkey, ',', c_name)
@@ -40,7 +64,7 @@ def _tolerant(spark, d):
 
 
 @query("s2_tolerant_csv", """
-    SELECT CAST(c_custkey AS VARCHAR) AS id,
+    SELECT CAST(c_custkey AS BIGINT) AS id,
            CASE WHEN c_custkey % 40 = 1 THEN c_name ELSE concat(c_name, ', Ltd') END AS name,
            CASE WHEN c_custkey % 40 = 1 THEN NULL ELSE c_mktsegment END AS segment
     FROM customer WHERE c_custkey % 50 <> 0""")

@@ -13,6 +13,11 @@ from plumbline.functions import fixed
 from plumbline.functions.columns import col, columns_of
 
 
+# The column that holds the text of records with a wrong number of fields.
+_RAW = "_raw_record"
+_WHOLE = r"^[+-]?\d+$"
+
+
 def normalize_missing(df: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     """Cell texts that stand for a missing value become null; NaN as well."""
     tokens = fixed.MISSING_TOKENS if tokens is None else tokens
@@ -26,9 +31,10 @@ def normalize_missing(df: DataFrame, tokens: list[str] | None = None) -> DataFra
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns whose every value reads as bigint, double or boolean get that type.
+    """Text columns whose every value reads as bigint, decimal, double or boolean get that type.
 
-    One aggregate over all columns decides; dates stay text.
+    Whole numbers beyond bigint become decimal(38, 0), so that no digit is lost. One aggregate over all columns decides; dates
+    stay text.
     """
     names = columns_of(df, "text")
     if not names:
@@ -40,14 +46,16 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, n in enumerate(names):
         text = F.trim(col(n))
         checks += [
-            all_of(F.when(col(n).isNotNull(), text.rlike(r"^[+-]?\d{1,18}$"))).alias(f"i{i}"),
+            all_of(F.when(col(n).isNotNull(), text.rlike(_WHOLE) & text.try_cast("bigint").isNotNull())).alias(f"i{i}"),
+            all_of(F.when(col(n).isNotNull(), text.rlike(_WHOLE) & text.try_cast("decimal(38,0)").isNotNull())).alias(f"w{i}"),
             all_of(F.when(col(n).isNotNull(), text.rlike(fixed.NUMERIC_TEXT) & ~text.contains("_"))).alias(f"d{i}"),
             all_of(F.when(col(n).isNotNull(), F.lower(text).isin("true", "false"))).alias(f"b{i}"),
         ]
     row = df.agg(*checks).first()
     made = {}
     for i, n in enumerate(names):
-        target = "bigint" if row[f"i{i}"] else "double" if row[f"d{i}"] else "boolean" if row[f"b{i}"] else None
+        kinds = [("i", "bigint"), ("w", "decimal(38,0)"), ("d", "double"), ("b", "boolean")]
+        target = next((kind for letter, kind in kinds if row[f"{letter}{i}"]), None)
         if target:
             made[n] = F.trim(col(n)).try_cast(target)
     return df.withColumns(made) if made else df
@@ -62,33 +70,40 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_csv_tolerant(
-    spark: SparkSession, path: str, separator: str = ",", columns: list[str] | None = None
+    spark: SparkSession, path: str, separator: str = ",", columns: list[str] | None = None, multi_line: bool = False,
+    infer: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """The rows of a CSV without its over-long lines, and the counts of both.
+    """The rows of a CSV without its over-long records, and the counts of both.
 
-    Short lines are padded with null.  Line-based: values hold no line breaks.
-    The first line names the columns unless ``columns`` does.
+    Short records are padded with null.  Each file's first line names the columns
+    unless ``columns`` does; a later line that equals it is data.  With
+    ``multi_line`` quoted values may hold line breaks, and a file is one task.
+    """
+    reader = spark.read.options(sep=separator, multiLine=multi_line, escape='"')
+    names = columns or reader.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RAW]])
+    read = reader.schema(schema).options(
+        header=columns is None, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW, columnPruning=False).csv(path)
+    # Records with a wrong number of fields come with their text.
+    unquoted = F.regexp_replace(_RAW, '"(?:[^"]|"")*"', "")
+    too_long = F.coalesce(F.size(F.split(unquoted, re.escape(separator))) > len(names), F.lit(False))
+    kept = normalize_missing(read.filter(~too_long).select(*[col(n) for n in names]))
+    # Spark only knows which records are wrong where it reads a value, too.
+    value = col(names[0])
+    report = read.agg((F.count(value) + F.count_if(value.isNull())).alias("lines"), F.count_if(too_long).alias("skipped_lines"))
+    return (infer_types(kept) if infer else kept), report
+
+
+def read_json_records(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool | None = None
+) -> DataFrame:
+    """JSON Lines, which Spark can split, or a JSON array of records, which is one task per file.
+
+    Unless ``lines`` says which, the first character tells.
     """
-    lines = spark.read.text(path)
-    header, names = None, columns
-    if names is None:
-        header = lines.first()["value"]
-        names = [re.sub(r'^"|"$', "", n.strip()) for n in header.split(separator)]
-    unquoted = F.regexp_replace("value", '"[^"]*"', "")
-    fields = F.size(F.split(unquoted, re.escape(separator)))
-    body = lines.filter(F.trim("value") != "")
-    if header is not None:
-        body = body.filter(F.col("value") != header)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    kept = body.filter(fields <= len(names)).select(
-        F.from_csv("value", schema.toDDL(), {"sep": separator}).alias("r"))
-    report = body.agg(
-        F.count("*").alias("lines"), F.count_if(fields > len(names)).alias("skipped_lines"))
-    return normalize_missing(kept.select("r.*")), report
-
-
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
-    """A JSON array of records, or JSON Lines (which Spark can split)."""
+    if lines is None:
+        first = spark.read.text(path).filter(F.trim("value") != "").first()
+        lines = first is None or not first["value"].lstrip().startswith("[")
     reader = spark.read.option("multiLine", not lines)
     return normalize_missing((reader.schema(schema) if schema is not None else reader).json(path))
 

@@ -120,10 +120,24 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
 def test_tolerant_csv_skips_only_long_lines(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,name,city\n1,"a, b",x\n2,c\n3,d,e,f,g\n4,"q",y\n')
     df, report = readers.read_csv_tolerant(spark, str(tmp_path / "t.csv"))
-    assert [tuple(r) for r in df.orderBy("id").collect()] == [("1", "a, b", "x"), ("2", "c", None), ("4", "q", "y")]
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "a, b", "x"), (2, "c", None), (4, "q", "y")]
     assert tuple(report.first()) == (4, 1)
 
 
+def test_tolerant_csv_keeps_lines_equal_to_the_header_and_line_breaks(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,name\n1,a\nid,name\n2,"b\nc"\n3,x,y\n')
+    df, report = readers.read_csv_tolerant(spark, str(tmp_path / "t.csv"), multi_line=True)
+    assert sorted(tuple(r) for r in df.collect()) == [("1", "a"), ("2", "b\nc"), ("id", "name")]
+    assert tuple(report.first()) == (4, 1)
+
+
+def test_long_whole_numbers_keep_their_digits(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1234567890123456789,98765432109876543210\n1234567890123456788,1\n")
+    df = readers.read_csv(spark, str(tmp_path / "t.csv"))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "decimal(38,0)"}
+    assert {int(r["b"]) for r in df.collect()} == {98765432109876543210, 1} and df.select("a").distinct().count() == 2
+
+
 def test_json_array(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([{"id": 1, "mail": "x"}, {"id": 2, "mail": None}, {"id": 3, "mail": ""}]))
     df = readers.read_json_records(spark, str(tmp_path / "t.json"))
