@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import stats
+from plumbline.functions import fixed, stats
 from plumbline.operators import (
     duplicates, frequencies, issues, outliers, privacy, profile, readiness, schema_drift, types,
 )
@@ -258,14 +258,7 @@ def _(spark, d):
         "component", "score", F.col("datasets").cast("int").alias("datasets"))
 
 
-_PII = {
-    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "phone": r"\b(\+\d{1,2}\s?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b",
-    "credit_card": r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b",
-    "ip_address": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-    "passport": r"\b[A-Z]{1,2}\d{6,9}\b",
-}
+_PII = fixed.RISK_PII_PATTERNS
 
 
 def risk_points_sql(columns, source):

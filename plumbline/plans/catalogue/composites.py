@@ -498,6 +498,13 @@ def _(spark, d):
     return workflows.profile_workflow(view(spark, d, "orders_mixed"), ["o_orderkey"]).findings.select("category", "severity", "column")
 
 
+@query("c11_workflow_status", _READINESS + """
+    SELECT round_even(0.4 * a + 0.4 * b + 0.2 * c, 0)::DOUBLE AS readiness_score,
+           CASE WHEN round_even(0.4 * a + 0.4 * b + 0.2 * c, 0) >= 85 THEN 'Ready' WHEN round_even(0.4 * a + 0.4 * b + 0.2 * c, 0) >= 70 THEN 'Needs Review' ELSE 'Not Ready' END AS status FROM s""", ["orders_mixed"])
+def _(spark, d):
+    return workflows.profile_workflow(view(spark, d, "orders_mixed"), ["o_orderkey"]).status.select("readiness_score", "status")
+
+
 @query("c12_findings_digest", _GOVERNED + """
     SELECT CASE WHEN type IN ('missing_lineage_fields', 'missing_consent_fields', 'missing_classification_fields', 'invalid_consent_status',
                               'invalid_data_classification', 'pii_classification_mismatch') THEN 'critical' ELSE 'warning' END AS severity, count(*) AS count

@@ -145,3 +145,14 @@ def _(spark, d):
         table(spark, d, "documents"), "doc_id", {"text": "text"}, "CRAWL", "2024-05-01 00:00:00",
         ["text", "lang", "source", "n_chars"], dataset="documents")
     return result.table.select("doc_id", "source_system", "entity_id")
+
+
+@query("m5_stopped_workflow", """
+    SELECT step, name, CASE WHEN step < 3 THEN 'done' WHEN step = 3 THEN CASE WHEN (SELECT count(DISTINCT text) FROM documents) < (SELECT count(*) FROM documents)
+             THEN 'stopped' ELSE 'done' END ELSE 'skipped' END AS state
+    FROM (VALUES (1, 'tag_source'), (2, 'resolve_entities'), (3, 'deduplicate'), (4, 'tag_compliance')) AS t(step, name)""")
+def _(spark, d):
+    df = table(spark, d, "documents")
+    report = workflows.master_workflow(
+        df, "doc_id", {"text": "text"}, dedup_on=["text"], stop_when={"deduplicate": lambda t: t.count() < df.count()})
+    return report.steps

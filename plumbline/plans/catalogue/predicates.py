@@ -85,7 +85,7 @@ def _(spark, d):
 
 
 @query("f9_governance_pii_search", _pii_sql(["contact", "c_name", "source_system"], "customer_governed", {
-    "email": _PII["email"], "phone": r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "ssn": _PII["ssn"]}), ["customer_governed"])
+    "email": _PII["email"], "phone": fixed.GOVERNANCE_PII_PATTERNS["phone"], "ssn": _PII["ssn"]}), ["customer_governed"])
 def _(spark, d):
     return privacy.pii_matches(view(spark, d, "customer_governed"), fixed.GOVERNANCE_PII_PATTERNS,
                                ["contact", "c_name", "source_system"])

@@ -26,13 +26,15 @@ class ProfileReport(NamedTuple):
     column_profile: DataFrame | None
     drift: DataFrame | None
     findings: DataFrame
+    status: DataFrame
 
 
 class MasterReport(NamedTuple):
     table: DataFrame
     report: DataFrame
-    column_tags: DataFrame
-    findings: DataFrame
+    column_tags: DataFrame | None
+    findings: DataFrame | None
+    steps: DataFrame
 
 
 def over_tables(tables: dict[str, DataFrame], operator: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
@@ -70,13 +72,14 @@ def profile_workflow(
     health = as_local(readiness_ops.health_facts(df))
     facts = as_local(readiness_ops.readiness_facts(df, readiness_params, key, health))
     scores = as_local(readiness_ops.readiness_scores(facts, readiness_params, dataset))
-    overall = scores.filter(F.col("component") == "overall").first()["score"]
+    status = scores.filter(F.col("component") == "overall").select("dataset", "status", F.col("score").alias("readiness_score"))
+    overall = status.first()["readiness_score"]
     steps = [(1, "readiness", "done")]
     found = readiness_ops.readiness_findings(
         scores, readiness_ops.deductions(df, facts, health, dataset))
     if overall < stop_below:
         steps += [(2, "profile", "stopped"), (3, "drift", "stopped")]
-        return ProfileReport(scores, _steps(spark, steps), None, None, found.select(*FINDING_FIELDS))
+        return ProfileReport(scores, _steps(spark, steps), None, None, found.select(*FINDING_FIELDS), status)
     listed = profile_ops.columns_of(df, "text", "boolean", "other")
     spread, top = None, small_table(spark, [], "column string, rank int, value string, count bigint")
     if listed:
@@ -91,7 +94,7 @@ def profile_workflow(
         drift = as_local(drift_ops.drift_table(baseline, df, drift_params))
         found = found.unionByName(drift_ops.drift_findings(drift, dataset).select(*FINDING_FIELDS))
     steps.append((3, "drift", "done" if baseline is not None else "skipped"))
-    return ProfileReport(scores, _steps(spark, steps), columns.select(*profile_ops.PROFILE_FIELDS), drift, found)
+    return ProfileReport(scores, _steps(spark, steps), columns.select(*profile_ops.PROFILE_FIELDS), drift, found, status)
 
 
 def _steps(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -102,17 +105,34 @@ def master_workflow(
     df: DataFrame, record_id: str, keys: dict[str, str], source_system: str = "UNKNOWN_SYSTEM",
     tagged_at: str | None = None, dedup_on: list[str] | None = None,
     risk_params: RiskParams = RiskParams(), dataset: str = "table",
+    stop_when: dict[str, Callable[[DataFrame], bool]] | None = None,
 ) -> MasterReport:
     """Tag the source, resolve entities, deduplicate and tag compliance.
 
     Rows count as duplicates when they agree in ``dedup_on`` (by default in all
-    columns but the record id).
+    columns but the record id).  ``stop_when`` holds conditions by step name
+    (tag_source, resolve_entities, deduplicate, tag_compliance); one that is met
+    by the step's table ends the workflow with that table, and without tags.
     """
     same = dedup_on or [c for c in df.columns if c != record_id]
-    tagged = master.tag_source(df, source_system, tagged_at)
-    resolved = master.resolve_entities(tagged, keys, record_id)
-    unique = master.deduplicate(resolved, same, [record_id])
-    table = privacy.tag_compliance(unique, p=risk_params)
+    plan = [
+        ("tag_source", lambda t: master.tag_source(t, source_system, tagged_at)),
+        ("resolve_entities", lambda t: master.resolve_entities(t, keys, record_id)),
+        ("deduplicate", lambda t: master.deduplicate(t, same, [record_id])),
+        ("tag_compliance", lambda t: privacy.tag_compliance(t, p=risk_params)),
+    ]
+    table, steps = df, []
+    for i, (name, step) in enumerate(plan, 1):
+        if steps and steps[-1][2] != "done":
+            steps.append((i, name, "skipped"))
+            continue
+        table = step(table)
+        stop = (stop_when or {}).get(name)
+        steps.append((i, name, "stopped" if stop is not None and stop(table) else "done"))
+    steps = _steps(df.sparkSession, steps)
+    if "contains_pii" not in table.columns:
+        report = side_by_side([df.agg(F.count("*").alias("original_rows")), table.agg(F.count("*").alias("rows"))])
+        return MasterReport(table, report.select(F.lit(dataset).alias("dataset"), "original_rows", "rows"), None, None, steps)
     risks = as_local(privacy.column_risks(df, risk_params, [record_id]))
     counts = table.agg(
         F.count("*").alias("unique_rows"),
@@ -122,4 +142,4 @@ def master_workflow(
     report = side_by_side([before, counts]).select(
         F.lit(dataset).alias("dataset"), "original_rows", "unique_rows",
         (F.col("original_rows") - F.col("unique_rows")).alias("removed_rows"), "entities", "pii_rows")
-    return MasterReport(table, report, privacy.column_tags(risks), privacy.risk_findings(risks, dataset))
+    return MasterReport(table, report, privacy.column_tags(risks), privacy.risk_findings(risks, dataset), steps)
