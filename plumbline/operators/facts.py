@@ -60,7 +60,7 @@ def present(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
-def _measures(df: DataFrame, name: str, parts: set[str], buffer_quartiles: bool) -> dict[str, Column]:
+def _measures(df: DataFrame, name: str, parts: set[str]) -> dict[str, Column]:
     kind = kind_of(df.schema[name].dataType)
     value = present(df, name)
     counted = F.count(value)
@@ -83,9 +83,6 @@ def _measures(df: DataFrame, name: str, parts: set[str], buffer_quartiles: bool)
             out["skew"] = F.skewness(v)
         if "shapes" in parts:
             out["whole_numbers"] = F.bool_and((v == F.floor(v)) & (F.abs(v) < float("inf")))
-        if buffer_quartiles and "quartiles" in parts:
-            q = quantiles.buffered(v, QUARTILES)
-            out |= {"p25": q[0], "median": q[1], "p75": q[2]}
     elif kind == "text":
         if "dates" in parts:
             dates = text.to_timestamp(value)
@@ -115,7 +112,6 @@ def column_facts(
     df: DataFrame,
     parts: tuple[str, ...] = (),
     columns: list[str] | None = None,
-    exact_limit: int | None = None,
 ) -> DataFrame:
     """One row per column with counts and the facts of the named parts."""
     names = columns or df.columns
@@ -123,8 +119,6 @@ def column_facts(
     fields = ["row_count", "non_null_count", "null_count"]
     for part in parts:
         fields += [f for f in _PARTS[part] if f not in fields]
-    limit = quantiles.BUFFERED_ROWS if exact_limit is None else exact_limit
-    buffer_quartiles = "quartiles" in wanted and df.count() <= limit
     positions = {f.name: i for i, f in enumerate(df.schema.fields)}
 
     def batch(some: list[str]) -> DataFrame:
@@ -135,14 +129,14 @@ def column_facts(
                 "column": name,
                 "data_type": type_name(df, name),
                 "kind": kind_of(df.schema[name].dataType),
-                **_measures(df, name, wanted, buffer_quartiles),
+                **_measures(df, name, wanted),
             })
         types = {f: _TYPES[f] for f in ("position", "column", "data_type", "kind", *fields)}
         return aggregate_rows(df, rows, types)
 
     chunks = [names[i : i + BATCH] for i in range(0, len(names), BATCH)]
     long = reduce(DataFrame.unionByName, [batch(c) for c in chunks])
-    if "quartiles" in wanted and not buffer_quartiles:
+    if "quartiles" in wanted:
         long = _with_narrowed(df, names, long)
     return long
 

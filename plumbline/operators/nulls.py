@@ -40,9 +40,6 @@ def null_analysis(facts: DataFrame) -> DataFrame:
 def medians(df: DataFrame, names: list[str]) -> dict[str, float | None]:
     if not names:
         return {}
-    if df.count() <= quantiles.BUFFERED_ROWS:
-        row = df.agg(*[F.percentile(number(df, n), 0.5).alias(f"m{i}") for i, n in enumerate(names)]).first()
-        return {n: row[f"m{i}"] for i, n in enumerate(names)}
     found = quantiles.narrowed(df, {n: number(df, n) for n in names}, [0.5])
     return {n: found[n][0] for n in names}
 

@@ -30,8 +30,7 @@ class Outliers(NamedTuple):
     issue_summary: DataFrame
 
 
-def bounds(df: DataFrame, p: OutlierParams = OutlierParams(), columns: list[str] | None = None,
-           exact_limit: int | None = None) -> DataFrame:
+def bounds(df: DataFrame, p: OutlierParams = OutlierParams(), columns: list[str] | None = None) -> DataFrame:
     """Fences per numeric column: one row each, evaluated once."""
     names = columns or columns_of(df, "numeric")
     spark = df.sparkSession
@@ -46,20 +45,15 @@ def bounds(df: DataFrame, p: OutlierParams = OutlierParams(), columns: list[str]
         probabilities = [0.5] if p.strategy == "impute_median" else []
     else:
         probabilities = [0.25, 0.75, 0.5]
-    limit = quantiles.BUFFERED_ROWS if exact_limit is None else exact_limit
     aggregates = [F.count("*").alias("rows")]
-    buffered = bool(probabilities) and df.count() <= limit
     for i, n in enumerate(names):
         v = number(df, n)
         aggregates += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
-        if buffered:
-            aggregates.append(quantiles.buffered(v, probabilities).alias(f"q{i}"))
     row = df.agg(*aggregates).first()
-    exact = {} if buffered or not probabilities else quantiles.narrowed(
-        df, {n: number(df, n) for n in names}, probabilities)
+    exact = quantiles.narrowed(df, {n: number(df, n) for n in names}, probabilities) if probabilities else {}
     rows = []
     for i, n in enumerate(names):
-        q = (row[f"q{i}"] if buffered else exact.get(n)) or [None] * len(probabilities)
+        q = exact.get(n) or [None] * len(probabilities)
         count, mean, std = row[f"n{i}"], row[f"m{i}"], row[f"s{i}"]
         low = high = extreme_low = extreme_high = None
         if count >= _LEAST_VALUES[p.method]:

@@ -1,10 +1,9 @@
 """Exact quantiles with linear interpolation, at any size.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer.
-That is the fastest way for small tables and is used up to ``BUFFERED_ROWS``
-rows.  Beyond it the same exact values come from narrowing: sketches bracket
-each wanted rank, counts confirm the bracket, and the scan is repeated inside
-the bracket until few values are left.  Each pass is one map-side aggregate.
+Here the same exact values come from narrowing: sketches bracket each wanted
+rank, counts confirm the bracket, and the scan is repeated inside the bracket
+until few values are left.  Each pass is one map-side aggregate.
 """
 
 from __future__ import annotations
@@ -16,16 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUFFERED_ROWS = 200_000
 KEPT_VALUES = 20_000
 SKETCH_SIZE = 16_000
 RANK_ERROR = 0.0005
 
 
-def buffered(value: Column, probabilities: list[float]) -> Column:
-    return F.percentile(value, [float(p) for p in probabilities])
-
-
 def sketched(value: Column, probabilities: list[float], size: int) -> Column:
     """Approximate quantiles from a mergeable sketch; null without values."""
     sketch = F.kll_sketch_agg_double(value, F.lit(size))

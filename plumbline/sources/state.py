@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+    elif re.fullmatch(r"local(\[.*\])?", context.master):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -170,12 +170,15 @@ def test_null_is_no_outlier_and_stays(spark):
     assert sorted(map(str, (r["x"] for r in outliers.handle_outliers(df, "k").table.collect()))) == ["1.0", "2.0", "3.0", "4.0", "None"]
 
 
-def test_bounds_agree_above_the_buffer_limit(spark):
-    df = _series(spark, [float((i * 37) % 1001) for i in range(2500)])
-    for method in ("iqr", "percentile"):
-        p = OutlierParams(method=method)
-        a, b = outliers.bounds(df, p).first(), outliers.bounds(df, p, exact_limit=5).first()
-        assert (a["low"], a["high"]) == pytest.approx((b["low"], b["high"]))
+def test_bounds_are_exact_quantiles(spark):
+    values = [float((i * 37) % 1001) for i in range(2500)]
+    df = _series(spark, values)
+    row = df.selectExpr("percentile(x, array(0.01D, 0.25D, 0.75D, 0.99D)) AS q").first()["q"]
+    found = outliers.bounds(df, OutlierParams(method="percentile")).first()
+    assert (found["low"], found["high"]) == pytest.approx((row[0], row[3]))
+    found = outliers.bounds(df, OutlierParams(method="iqr")).first()
+    spread = row[2] - row[1]
+    assert (found["low"], found["high"]) == pytest.approx((row[1] - 1.5 * spread, row[2] + 1.5 * spread))
 
 
 def test_type_suggestions_and_auto_fix(spark):
