@@ -96,6 +96,5 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    done = bpe.decode(bpe.encode(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN))
-    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bpe.packed(F.col("ids")), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = bpe.encode(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(tokens, ranks))
