@@ -56,6 +56,12 @@ def _finder() -> re.Pattern:
     return re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 
 
+# What the numbers of the large card brands start with, and their lengths.
+CARD_BRANDS = re.compile(
+    r"(4)(?=\d{12}$|\d{15}$|\d{18}$)|(5[1-5])(?=\d{14}$)|(222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)(?=\d{12}$)|(3[47])(?=\d{13}$)"
+    r"|(3(?:0[0-5]|[68]\d))(?=\d{11}$)|(35(?:2[89]|[3-8]\d))(?=\d{12}$)|(6011|64[4-9]\d|65\d\d)(?=\d{12}$)")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -75,7 +81,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         at = max(end, found.start() + 1)
         if kind == "card":
             digits = re.sub(r"\D", "", value)
-            if not luhn(digits):
+            if not (luhn(digits) and CARD_BRANDS.match(digits)):
                 at = found.start() + 1
                 while at < len(text) and text[at].isdigit():
                     at += 1
@@ -140,7 +146,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
         return value[:4] + "".join(alphabet[draws.below(32)] for _ in value[4:])
     if kind == "card":
-        body = value[0] + "".join(str(draws.below(10)) for _ in value[1:-1])
+        brand = CARD_BRANDS.match(value)
+        start = brand[0] if brand else value[0]
+        body = start + "".join(str(draws.below(10)) for _ in value[len(start):-1])
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
     if kind == "ssn":
         return f"{1 + draws.below(665):03d}-{1 + draws.below(99):02d}-{1 + draws.below(9999):04d}"
@@ -239,7 +247,7 @@ def replaced(docs: DataFrame, key: bytes, count: str = "n_entities") -> DataFram
         F.collect_set(F.struct("kind", "value", "surrogate")).alias(map_))
     keyed = docs.withColumn(own, F.xxhash64("text"))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(mark))
-    joined = keyed.join(maps, same, "left").drop(own, id_, mark)
+    joined = keyed.join(maps.hint("merge"), same, "left").drop(own, id_, mark)
     schema = joined.drop(map_).schema.add(count, "long")
 
     def rewrite(text: str, pairs_: list[dict]) -> tuple[str, int]:

@@ -86,6 +86,14 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert done[0].n_entities == len(surrogates.entities(TEXT))
 
 
+def test_cards_are_those_of_a_brand():
+    found = [v for _, _, k, v in surrogates.entities("4111111111111111 9656005089711094 1232810148878564 5555 5555 5555 4444 378282246310005 4111111111111112")]
+    assert found == ["4111111111111111", "5555555555554444", "378282246310005"]
+    for value in found:
+        drawn = surrogates.surrogate(b"k", "card", value)
+        assert drawn != value and len(drawn) == len(value) and surrogates.luhn(drawn) and surrogates.CARD_BRANDS.match(drawn)
+
+
 def test_surrogates_are_distinct(spark):
     rng = random.Random(3)
     values = sorted({("surname", "".join(rng.choice("ABC") for _ in range(1)) + rng.choice("abcdefgh")) for _ in range(200)}
