@@ -115,10 +115,10 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
     named = wanted.select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), "wanted")
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m"))
-    found = texts.join(named, same).select("_id", "_mark", "_text", "wanted")
+    found = texts.join(named.hint("merge"), same).select("_id", "_mark", "_text", "wanted")
     pieces = stored(map_steps(found, _nominated(divisor), "_id bigint, _mark bigint, chunk int, piece string", "_text").distinct(), "line-pieces")
     # Grouping by the piece itself compares bytes.
-    firsts = pieces.groupBy("piece").agg(F.min(place).alias("first")).withColumnRenamed("piece", "_piece")
+    firsts = stored(pieces.groupBy("piece").agg(F.min(place).alias("first")), "line-firsts").withColumnRenamed("piece", "_piece")
     later = pieces.join(firsts, F.col("piece") == F.col("_piece")).where(~place.eqNullSafe(F.col("first")))
     return stored(later.groupBy("_id", "_mark").agg(F.collect_set("chunk").alias("gone")), "line-gone")
 
@@ -133,7 +133,7 @@ def deduplicate_lines(docs: DataFrame, divisor: int = DIVISOR, counts: tuple[str
     found = repeated_chunks(docs, divisor).select(F.col("_id").alias(id_), F.col("_mark").alias(mark), F.col("gone").alias(gone))
     keyed = docs.withColumn(own, F.xxhash64("text"))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(mark))
-    joined = keyed.join(found, same, "left").drop(own, id_, mark)
+    joined = keyed.join(found.hint("merge"), same, "left").drop(own, id_, mark)
     schema = joined.drop(gone).schema.add(counts[0], "long").add(counts[1], "long")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
