@@ -6,8 +6,9 @@ are likely for similar sets. Bands of register values give candidates, the joint
 registers estimates the Jaccard similarity of a candidate pair, and what may reach the limit is confirmed on the full sets.
 
 Texts with equal sets are one class from the start. In a band's bucket every member is compared with the bucket's least
-member. What this leaves in different components is compared in blocks of bounded size, and only pairs between components
-that may reach the limit leave a block. So no bucket is cut short and no list of all pairs within a bucket is made.
+member. What this leaves in different components is compared in blocks of bounded size, first by the sketches and then by the
+sets' SAMPLE smallest hashes, which are the whole set of most texts. Only pairs between components that may reach the limit
+leave a block, and each pair is looked at in the first of its common buckets only. So no bucket is cut short and no list of all pairs within a bucket is made.
 
 Shingles are compared by a 64-bit hash. With 20 bands of 5 registers, a pair at 0.85 is missed with probability
 (1 - 0.85**5)**20 = 8e-6, a more similar one more rarely.
@@ -40,6 +41,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 # Candidates need an estimate within SLACK of the limit; blocks of candidates hold about BLOCK sketches.
 SLACK = 0.13
 BLOCK = 512
+# Smallest hashes kept of a set; an estimate from that many is off by 0.016 or so, SAMPLE_SLACK is four times that.
+SAMPLE = 512
+SAMPLE_SLACK = 0.064
+NO_HASH = np.uint32(2**32 - 1)
 
 
 class Limits(NamedTuple):
@@ -93,11 +98,39 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def sample(hashes: np.ndarray) -> np.ndarray:
+    """The upper halves of a set's smallest hashes, in order."""
+    return np.minimum((hashes[:SAMPLE] >> np.uint64(32)).astype(np.uint32), NO_HASH - 1)
+
+
+def sampled_similarity(one: np.ndarray, others: np.ndarray, full: bool, full_others: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of a set and others by their samples; NO_HASH fills the rows. full: there are more hashes than that."""
+    last = np.where(full_others, np.max(np.where(others == NO_HASH, 0, others), axis=1), NO_HASH - 1)
+    last = np.minimum(last, one[-1] if full else NO_HASH - 1)[:, None]
+    inside = others <= last
+    at = np.minimum(np.searchsorted(one, others), len(one) - 1)
+    both = ((one[at] == others) & inside).sum(axis=1)
+    return both / (np.searchsorted(one, last[:, 0], side="right") + inside.sum(axis=1) - both)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The Jaccard similarity at which the registers of pairs of sets with known sizes are most likely."""
     return estimate_counts((a > b).sum(axis=-1), (a < b).sum(axis=-1), n_a, n_b)
 
 
+def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, limits: Limits) -> np.ndarray:
+    """Which pairs' estimates may reach the limit.
+
+    The estimate is close to the share of equal registers, so the likelihood is only solved for pairs near the limit or above.
+    """
+    near = np.flatnonzero((a == b).sum(axis=-1) >= (limits.likely - 0.05) * REGISTERS)
+    rows = [np.broadcast_to(x, b.shape)[near] for x in (a, b)]
+    sizes = [np.broadcast_to(x, b.shape[:1])[near] for x in (n_a, n_b)]
+    out = np.zeros(len(b), bool)
+    out[near] = estimate(*rows, *sizes) >= limits.likely
+    return out
+
+
 def estimate_counts(more: np.ndarray, fewer: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     u = n_a / (n_a + n_b)
     v = 1 - u
@@ -128,7 +161,8 @@ def _sketch(width: int):
             batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
             pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-        ], names=["doc_id", "mark", "n_shingles", "set_digest", "sketch"])
+            pa.array([sample(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+        ], names=["doc_id", "mark", "n_shingles", "set_digest", "sketch", "sample"])
     return run
 
 
@@ -137,7 +171,7 @@ def _table(column: pa.Array) -> np.ndarray:
 
 
 def _buckets(limits: Limits):
-    """(bucket, node): a row for each band of each sketch."""
+    """(bucket, node): a row for each band of each sketch. A bucket's first byte is its band."""
     def run(batches):
         for batch in batches:
             bands = _table(batch.column("sketch"))[:, :limits.bands * limits.rows].reshape(-1, limits.bands, limits.rows).astype(np.uint64)
@@ -146,7 +180,7 @@ def _buckets(limits: Limits):
                 key = key + (bands[:, :, k] + np.uint64(1)) * _PLACES[k]
             raw = mixed(key.ravel()).tobytes()
             yield pa.RecordBatch.from_arrays([
-                pa.array([raw[i:i + 8] for i in range(0, len(raw), 8)], pa.binary()),
+                pa.array([bytes([i // 8 % limits.bands]) + raw[i:i + 8] for i in range(0, len(raw), 8)], pa.binary()),
                 batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), limits.bands))),
             ], names=["bucket", "node"])
     return run
@@ -158,8 +192,8 @@ def _likely(limits: Limits):
         for batch in batches:
             if batch.num_rows:
                 sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("n_a", "n_b")]
-                j = estimate(_table(batch.column("sketch_a")), _table(batch.column("sketch_b")), *sizes)
-                yield batch.select(["a", "b"]).filter(pa.array(j >= limits.likely))
+                likely = may_reach(_table(batch.column("sketch_a")), _table(batch.column("sketch_b")), *sizes, limits)
+                yield batch.select(["a", "b"]).filter(pa.array(likely))
     return run
 
 
@@ -198,19 +232,32 @@ def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _between(limits: Limits):
     """Pairs of one block between different components that may reach the limit."""
     def facts(table: pa.Table):
-        return (_table(table.column("sketch").combine_chunks()), table.column("n_shingles").to_numpy().astype(np.float64),
-                table.column("node").to_numpy(), table.column("component").to_numpy())
-
-    def run(table: pa.Table) -> pa.Table:
+        samples = [np.frombuffer(x, np.uint32) for x in table.column("sample").to_pylist()]
+        filled = np.full((len(samples), SAMPLE), NO_HASH, np.uint32)
+        for i, x in enumerate(samples):
+            filled[i, :len(x)] = x
+        size = table.column("n_shingles").to_numpy().astype(np.float64)
+        return (_table(table.column("sketch").combine_chunks()), size, table.column("node").to_numpy(),
+                table.column("component").to_numpy(), filled, size > SAMPLE)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        band = key[0].as_py()[0]
         left, right = table.filter(pc.field("side") == 0), table.filter(pc.field("side") == 1)
-        sketch, size, node, component = facts(left)
-        sketch2, size2, node2, component2 = facts(right if right.num_rows else left)
+        sketch, size, node, component, hashes, full = facts(left)
+        sketch2, size2, node2, component2, hashes2, full2 = facts(right if right.num_rows else left)
         found = [np.zeros((2, 0), np.int64)]
+        banded = limits.bands * limits.rows
         for i in range(len(node)):
             other = np.flatnonzero(component2 != component[i])
-            j = estimate(sketch[i], sketch2[other], np.full(len(other), size[i]), size2[other])
-            hit = node2[other[j >= limits.likely]]
-            found.append(np.stack([np.minimum(node[i], hit), np.maximum(node[i], hit)]))
+            same = (sketch2[other, :banded] == sketch[i, :banded]).reshape(-1, limits.bands, limits.rows).all(axis=2)
+            other = other[same.argmax(axis=1) == band]
+            other = other[may_reach(sketch[i], sketch2[other], size[i], size2[other], limits)]
+            if len(other):
+                one = hashes[i][hashes[i] != NO_HASH]
+                near = sampled_similarity(one, hashes2[other], full[i], full2[other])
+                slack = np.where(full[i] | full2[other], SAMPLE_SLACK, 0.005)
+                hit = node2[other[near >= limits.percent / 100 - slack]]
+                found.append(np.stack([np.minimum(node[i], hit), np.maximum(node[i], hit)]))
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
@@ -218,12 +265,13 @@ def _between(limits: Limits):
 
 def _rest(members: DataFrame, known: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
     """Likely pairs between different components within buckets. members: bucket, node, without each bucket's leader."""
-    placed = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.join(known, "node", "left")
+    placed = stored(placed.select("bucket", "node", F.coalesce("component", "node").alias("component")), "near-placed")
     counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed_ = counts.groupBy("bucket").agg(
         F.max_by("component", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"),
         F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
-    rows = placed.join(mixed_, "bucket")
+    rows = attach(placed, mixed_.drop("parts"), "bucket", "n_all", placed.count(), F.col("node")).where(F.col("n_all").isNotNull())
     others = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK)
     mains = F.ceil(F.col("n_main") / BLOCK)
     draw = F.xxhash64(F.lit(7), F.col("node"))
@@ -239,7 +287,7 @@ def _rest(members: DataFrame, known: DataFrame, classes: DataFrame, limits: Limi
     as_main = F.transform(chunks, lambda x: F.struct(x.alias("x"), (-1 - F.col("own")).alias("y"), F.lit(1).alias("side")))
     blocks = rows.select("bucket", "node", "component", F.explode(
         F.when(F.col("is_main"), as_main).otherwise(F.concat(as_left, as_right))).alias("at")).select("bucket", "node", "component", "at.*")
-    full = blocks.join(classes.select("node", "n_shingles", "sketch"), "node")
+    full = blocks.join(classes, "node")
     return full.groupBy("bucket", "x", "y").applyInArrow(_between(limits), "a bigint, b bigint").distinct()
 
 
@@ -247,13 +295,13 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Each document with its set size and the least doc_id of its component; ``mark`` is a hash of its text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = stored(map_steps(rows.withColumn("mark", F.xxhash64("text")), _sketch(limits.width),
-                                "doc_id bigint, mark bigint, n_shingles bigint, set_digest binary, sketch binary"), "near-sketches")
+                                "doc_id bigint, mark bigint, n_shingles bigint, set_digest binary, sketch binary, sample binary"), "near-sketches")
     groups = stored(sketches.where(F.col("set_digest").isNotNull()).groupBy("set_digest").agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"),
-        F.first("sketch").alias("sketch")), "near-classes")
+        F.first("sketch").alias("sketch"), F.first("sample").alias("sample")), "near-classes")
     # A doc_id with several texts is one node that may stand for several classes.
-    classes = groups.where(F.col("node").isNotNull()).select("node", "n_shingles", "sketch")
-    members = stored(classes.mapInArrow(_buckets(limits), "bucket binary, node bigint").distinct(), "near-buckets")
+    classes = groups.where(F.col("node").isNotNull()).select("node", "n_shingles", "sketch", "sample")
+    members = stored(classes.select("node", "sketch").mapInArrow(_buckets(limits), "bucket binary, node bigint").distinct(), "near-buckets")
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     led = attach(members, leaders, "bucket", "size", members.count(), F.col("node")).where(
         F.col("leader").isNotNull() & (F.col("node") != F.col("leader")))
@@ -267,7 +315,7 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     more = confirm(rest.join(stars, ["a", "b"], "left_anti"), texts, limits)
     whole = components(links.union(more))
     found = groups.join(whole, "node", "left").select("set_digest", "size", F.coalesce("component", "node").alias("component"))
-    out = attach(sketches.drop("sketch"), found, "set_digest", "size", sketches.count(), F.col("doc_id"))
+    out = attach(sketches.drop("sketch", "sample"), found, "set_digest", "size", sketches.count(), F.col("doc_id"))
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

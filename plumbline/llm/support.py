@@ -61,6 +61,10 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     values = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) * HOT_SHARE >= total).select(
         F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in values])
+    # With a key that no row has, the plan is the same whether there are hot keys or not.
+    none = groups.sparkSession.range(1).select(
+        F.lit(b"\x00none").alias("_hot_key"), *[F.lit(None).cast(groups.schema[c].dataType).alias(f"_hot_{c}") for c in values])
+    hot = hot.unionByName(none)
     cold = groups.where(F.col(size) * HOT_SHARE < total).select(F.col(key).alias("_cold_key"), *values)
     own = F.concat(F.lit(b"\x00spread"), F.encode(F.hex(F.xxhash64(spread)), "UTF-8"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
