@@ -41,9 +41,9 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 # Candidates need an estimate within SLACK of the limit; blocks of candidates hold about BLOCK sketches.
 SLACK = 0.13
 BLOCK = 512
-# Smallest hashes kept of a set; an estimate from that many is off by 0.016 or so, SAMPLE_SLACK is four times that.
-SAMPLE = 512
-SAMPLE_SLACK = 0.064
+# Smallest hashes kept of a set; an estimate from that many is off by 0.022 or so, SAMPLE_SLACK is four times that.
+SAMPLE = 256
+SAMPLE_SLACK = 0.09
 NO_HASH = np.uint32(2**32 - 1)
 
 
