@@ -1,6 +1,13 @@
-"""Line deduplication by content-defined chunks.
+"""Line deduplication: every repeated run of lines, and the rarer content-defined chunks.
 
-A text's lines are hashed, and a rolling hash over neighbouring line hashes chooses where a chunk ends. So the same run of
+``deduplicate_runs`` nominates every window of two neighbouring lines of which one has a word, and, where two or more lines without
+a word follow one another, the window from the line with a word before them to the one after. A window that stands at an
+earlier place of the table, by doc_id and line, loses its lines, unless it overlaps its first occurrence in the same text. So a
+run of two or more lines that stands earlier loses all its lines with a word, however it is surrounded. Each removed
+line still stands at an earlier place; its neighbours there may have gone as part of another run. Hashes only nominate: a window
+goes only if all windows of its 128-bit hash are equal byte by byte (with two texts of one hash, both would stay).
+
+``deduplicate_lines`` takes whole chunks only, and so leaves most short runs and the ends of longer ones. A text's lines are hashed, and a rolling hash over neighbouring line hashes chooses where a chunk ends. So the same run of
 lines is cut at the same places wherever it stands, also after lines were put in before it. A chunk of several lines that
 is found more than once in the whole table stays where it comes first, by doc_id and place; elsewhere it is removed.
 Hashes only nominate chunks: what is removed was equal byte by byte.
@@ -8,13 +15,15 @@ Hashes only nominate chunks: what is removed was equal byte by byte.
 A boundary follows a line if the rolling hash over it and the line before is divisible by DIVISOR, and only if the chunk has
 two lines or more by then; what a text's last boundary leaves is its last chunk.
 
-Defined cases. A null text has no lines and stays null. Chunks of one line, or without a word, are never removed. Rows that
+Defined cases. A null text has no lines and stays null. Single lines, and chunks or windows without a word, are never removed. Rows that
 repeat a doc_id with an equal text are one document and are cut alike. A row without a doc_id comes before all others. A
 text that loses all its lines becomes empty. An empty table gives an empty result. Other columns are kept as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -129,8 +138,88 @@ def deduplicate_lines(docs: DataFrame, divisor: int = DIVISOR, counts: tuple[str
     Columns of the table that have the names of the two are replaced.
     """
     docs = docs.drop(*counts)
+    return _without(docs, repeated_chunks(docs, divisor), lambda text, gone: _rest(text, gone, divisor), counts)
+
+
+def windows(lines: list[str]) -> list[tuple[int, int]]:
+    """The (first, past last) line numbers of the runs that are compared."""
+    word = [bool(x) and not x.isspace() for x in lines]
+    out = [(a, a + MIN_LINES) for a in range(len(lines) - MIN_LINES + 1) if any(word[a:a + MIN_LINES])]
+    full = [k for k, w in enumerate(word) if w]
+    return out + [(a, b + 1) for a, b in zip(full, full[1:]) if b - a > MIN_LINES]
+
+
+_WINDOW = "_id bigint, _mark bigint, line int, span int, key binary"
+
+
+def _windows(wanted: bool):
+    """The windows of each text; if wanted, only those that start at a wanted line, with their bytes."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, starts, spans, keys, pieces = [], [], [], [], []
+        chosen = batch.column("wanted").to_pylist() if wanted else None
+        for i, text in enumerate(batch.column("_text").to_pylist()):
+            lines = text.split("\n")
+            at = set(chosen[i]) if wanted else None
+            for a, b in windows(lines):
+                if wanted and a not in at:
+                    continue
+                piece = "\n".join(lines[a:b])
+                rows.append(i)
+                starts.append(a)
+                spans.append(b - a)
+                keys.append(xxhash.xxh3_128_digest(piece))
+                if wanted:
+                    pieces.append(piece)
+        at = pa.array(rows, pa.int64())
+        columns = [batch.column("_id").take(at), batch.column("_mark").take(at), pa.array(starts, pa.int32()), pa.array(spans, pa.int32()), pa.array(keys, pa.binary())]
+        names = ["_id", "_mark", "line", "span", "key"]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.string())] if wanted else columns, names=[*names, "piece"] if wanted else names)
+    return run
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(_id, _mark, gone): per document, by its id and a hash of its text, the (line, span) of the windows to remove."""
+    texts = docs.where(F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_mark"), F.col("text").alias("_text"))
+    place = F.struct("_id", "_mark", "line")
+    marks = stored(map_steps(texts, _windows(False), _WINDOW, "_text"), "line-windows")
+    groups = marks.groupBy("key").agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("size")
+    ).where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "size", F.lit(True).alias("again"))
+    spread = F.struct("_id", "_mark", "line")
+    wanted = attach(marks, groups, "key", "size", marks.count(), spread).where("again")
+    wanted = stored(wanted.groupBy("_id", "_mark").agg(F.collect_set("line").alias("wanted")), "line-wanted")
+
+    named = wanted.select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), "wanted")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m"))
+    found = texts.join(named.hint("merge"), same).select("_id", "_mark", "_text", "wanted")
+    pieces = stored(map_steps(found, _windows(True), f"{_WINDOW}, piece string", "_text"), "line-pieces")
+    # Grouping by the piece itself compares bytes.
+    equal = pieces.groupBy("key", "piece").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"))
+    firsts = equal.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.sum("size").alias("size"))
+    firsts = stored(firsts.where("texts = 1").select("key", "size", "first"), "line-firsts")
+    placed = attach(pieces.drop("piece"), firsts, "key", "size", pieces.count(), spread).where(F.col("first").isNotNull())
+    within = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_mark") == F.col("first._mark"))
+    later = placed.where(~within | (F.col("line") >= F.col("first.line") + F.col("span")))
+    return stored(later.groupBy("_id", "_mark").agg(F.collect_set(F.struct("line", "span")).alias("gone")), "line-gone")
+
+
+def _rest_of_runs(text: str, gone: list[dict]) -> tuple[str, int]:
+    """The text without the lines of the given windows, and how many lines went."""
+    away = {k for w in gone for k in range(w["line"], w["line"] + w["span"])}
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in away), len(away)
+
+
+def deduplicate_runs(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The table with repeated runs of lines taken out of ``text``, and two columns as by ``deduplicate_lines``."""
+    docs = docs.drop(*counts)
+    return _without(docs, repeated_runs(docs), _rest_of_runs, counts)
+
+
+def _without(docs: DataFrame, repeated: DataFrame, rest: Callable, counts: tuple[str, str]) -> DataFrame:
+    """The table with each text's ``rest`` after what is repeated, and the two counts."""
     own, id_, mark, gone = unused(docs, "own", "id", "mark", "gone")
-    found = repeated_chunks(docs, divisor).select(F.col("_id").alias(id_), F.col("_mark").alias(mark), F.col("gone").alias(gone))
+    found = repeated.select(F.col("_id").alias(id_), F.col("_mark").alias(mark), F.col("gone").alias(gone))
     keyed = docs.withColumn(own, F.xxhash64("text"))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(mark))
     joined = keyed.join(found.hint("merge"), same, "left").drop(own, id_, mark)
@@ -139,7 +228,7 @@ def deduplicate_lines(docs: DataFrame, divisor: int = DIVISOR, counts: tuple[str
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, gone_ = batch.column("text").to_pylist(), batch.column(gone).to_pylist()
         n = [t.count("\n") + 1 if t is not None else 0 for t in texts]
-        done = [_rest(t, g, divisor) if g else (t, 0) for t, g in zip(texts, gone_)]
+        done = [rest(t, g) if g else (t, 0) for t, g in zip(texts, gone_)]
         columns = []
         for name in batch.schema.names:
             if name == "text":

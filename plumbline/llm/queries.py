@@ -53,7 +53,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_line_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.deduplicate_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+    return line_dedup.deduplicate_runs(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query("op4_near_dedup", """

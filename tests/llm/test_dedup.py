@@ -12,6 +12,7 @@ from odd import LONG, ROWS, documents, odd_docs
 from plumbline.llm import exact_dedup, line_dedup, near_dedup
 from plumbline.llm.components import components
 from plumbline.llm.near_dedup import Limits
+from plumbline.llm.queries import QUERIES
 from plumbline.sources.state import small_table
 
 
@@ -115,6 +116,69 @@ def test_lines_on_odd_rows(spark):
     assert line_dedup.deduplicate_lines(odd_docs(spark).limit(0)).collect() == []
 
 
+def runs_gone(texts):
+    """The lines with a word that stand in a run of two or more lines found at an earlier place, by comparing all places; never by chunks()."""
+    places = [(i, k) for i, t in enumerate(texts) if t is not None for k in range(t.count("\n") + 1)]
+    lines = [None if t is None else t.split("\n") for t in texts]
+    by_line = defaultdict(list)
+    for i, k in places:
+        by_line[lines[i][k]].append((i, k))
+    gone = set()
+    for i, k in places:
+        for j, m in by_line[lines[i][k]]:
+            if (j, m) >= (i, k):
+                break
+            n = 0
+            while k + n < len(lines[i]) and m + n < len(lines[j]) and lines[i][k + n] == lines[j][m + n] and (j < i or m + n < k):
+                n += 1
+            if n >= 2 and any(x.strip() for x in lines[i][k:k + n]):
+                gone |= {(i, k + x) for x in range(n) if lines[i][k + x].strip()}
+    return gone
+
+
+def test_runs_recall_against_brute_force(spark):
+    rng = random.Random(9)
+    passages = [[f"passage {p} line {k}" for k in range(2 + p % 5)] for p in range(12)]
+    passages += [["before blanks", "", "", "after blanks"], ["one blank", "", "then more"], ["single line"]]
+    texts = []
+    for i in range(80):
+        text = [f"own {i} {k}" for k in range(rng.randrange(1, 9))]
+        for p in rng.sample(passages, 2):
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = p
+        texts.append("\n".join(text))
+    texts += [None, "", "a\n" * 7 + "a", "x\ny\nx\ny\nx", "t\nt\nt", "\n\n\n"]
+    rows = line_dedup.deduplicate_runs(documents(spark, texts)).collect()
+    gone = runs_gone(texts)
+    kept = {r.doc_id: r.text for r in rows}
+    assert len(rows) == len(texts) and len(gone) > 300
+    for i, t in enumerate(texts):
+        want = None if t is None else [x for k, x in enumerate(t.split("\n")) if (i, k) not in gone and x.strip()]
+        assert (None if t is None else [x for x in kept[i].split("\n") if x.strip()]) == want
+    # The chunks left some of them.
+    chunked = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(documents(spark, texts)).collect()}
+    assert sum(len((t or "").split("\n")) for t in chunked.values()) > sum(len((t or "").split("\n")) for t in kept.values())
+
+
+def test_the_query_removes_runs(spark, tmp_path):
+    passage = ["two lines that", "many texts share"]
+    texts = ["\n".join([f"before {i}", *passage, f"after {i}"]) for i in range(30)]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(i, 2 * (i > 0)) for i in range(30)]
+
+
+def test_runs_on_odd_rows(spark):
+    found = line_dedup.deduplicate_runs(odd_docs(spark))
+    rows = found.collect()
+    assert found.columns == [*odd_docs(spark).columns, "n_lines", "n_removed"] and len(rows) == len(ROWS)
+    # The text of the row without an id comes first; of the two rows with id 13, the one that repeats it loses both lines.
+    assert sorted((r.text or "", r.n_removed) for r in rows if r.doc_id in (None, 13)) == [
+        ("", 0), ("", 2), ("A text without an id.\nIt has two lines.", 0), ("Another text with the same id.", 0)]
+    assert all(r["a.b"] == "x" and r.mark == "m" and r.own == 7 for r in rows)
+    assert line_dedup.deduplicate_runs(odd_docs(spark).limit(0)).collect() == []
+
+
 def brute_near(rows, width=3, percent=85):
     sets = []
     for _, t in rows:
