@@ -6,8 +6,8 @@ letters become letters, digits digits, separators stay, addresses stay valid, ca
 and given names keep their gender. Surrogates of all distinct entities are compared with one another and with all entities
 found; of those that clash, all but one draw again, until every entity has a surrogate of its own.
 
-Defined cases. A null text stays null, with no entities. The same entity in several writings (spaces or letter case) shares
-one draw. Overlapping findings go to the earlier, then to the longer one. Repeated rows get equal results. An empty table gives
+Defined cases. A null text stays null, with no entities. The same entity in several writings (spaces, letter case or digits
+of another script) shares one draw. Overlapping findings go to the earlier, then to the longer one. Repeated rows get equal results. An empty table gives
 an empty result. Only doc_id and text are read by ``replaced``; other columns are kept.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from functools import cache
 
 import pyarrow as pa
@@ -70,17 +71,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-_SIGNS = re.compile("[0-9@]")
-# Each match of the patterns has a digit, an at sign, one of these words in any case, or a title.
+_SIGNS = re.compile(r"[\d@]")
+# Each match of the patterns has a digit of any script, an at sign, the start of an access key, a title, or one of these words in
+# any case; folding also covers the letters (long s, Kelvin sign) that the patterns' (?i:) takes for others.
+_STARTS = ("AKIA", "ASIA", *TITLES)
 _WORDS = ("passw", "pwd", "secret", "token", "key")
 
 
 def _may_hold(text: str) -> bool:
     """Whether a text has what every entity has; far cheaper than the patterns."""
-    if _SIGNS.search(text) or any(t in text for t in TITLES):
+    if _SIGNS.search(text) or any(t in text for t in _STARTS):
         return True
-    lower = text.lower()
-    return any(w in lower for w in _WORDS)
+    folded = text.casefold()
+    return any(w in folded for w in _WORDS)
+
+
+def _plain_digits(text: str) -> str:
+    """The text with ASCII digits for those of other scripts."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def _digit_like(c: str, digit: str) -> str:
+    """An ASCII digit in the script of the digit c."""
+    return chr(ord(c) - unicodedata.decimal(c) + int(digit))
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -107,7 +120,7 @@ def _in_line(text: str) -> list[tuple[int, int, str, str]]:
         value = text[start:end]
         at = max(end, found.start() + 1)
         if kind == "card":
-            digits = re.sub(r"\D", "", value)
+            digits = _plain_digits(re.sub(r"\D", "", value))
             if not (luhn(digits) and CARD_BRANDS.match(digits)):
                 at = found.start() + 1
                 while at < len(text) and text[at].isdigit():
@@ -120,7 +133,9 @@ def _in_line(text: str) -> list[tuple[int, int, str, str]]:
                 last = part.end() == len(value)
                 out.append((start + part.start(), start + part.end(), "surname" if last else f"given_{gender}", part.group()))
         elif kind in ("phone", "iban"):
-            out.append((start, end, kind, re.sub(r"[^\dA-Z+]", "", value)))
+            out.append((start, end, kind, _plain_digits(re.sub(r"[^\dA-Z+]", "", value))))
+        elif kind in ("ssn", "ip"):
+            out.append((start, end, kind, _plain_digits(value)))
         else:
             out.append((start, end, kind, value.lower() if kind == "email" else value))
     return out
@@ -141,8 +156,8 @@ class _Draws:
 
     def letter(self, c: str) -> str:
         """A letter of the same script and case, a digit for a digit, other characters as they are."""
-        if c.isdigit() and c.isascii():
-            return str(self.below(10))
+        if c.isdecimal():
+            return _digit_like(c, str(self.below(10)))
         for low, high in (("a", "z"), ("A", "Z"), ("α", "ω"), ("Α", "Ω"), ("а", "я"), ("А", "Я")):
             if low <= c <= high:
                 drawn = chr(ord(low) + self.below(ord(high) - ord(low) + 1))
@@ -205,7 +220,11 @@ def written(canonical: str, kind: str, original: str) -> str:
     """The surrogate in the writing of the place it goes to."""
     if kind in ("card", "phone", "iban"):
         signs = iter(canonical)
-        return "".join(next(signs) if c.isalnum() or c == "+" else c for c in original)
+        drawn = (next(signs) if c.isalnum() or c == "+" else c for c in original)
+        return "".join(_digit_like(c, d) if c.isdecimal() else d for c, d in zip(original, drawn))
+    if kind in ("ssn", "ip") and not original.isascii():
+        script = next(c for c in original if c.isdecimal() and not c.isascii())
+        return "".join(_digit_like(script, d) if d.isdecimal() else d for d in canonical)
     if kind == "email" and original != original.lower():
         return canonical.upper() if original == original.upper() else canonical.capitalize()
     return canonical
