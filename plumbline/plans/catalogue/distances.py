@@ -240,6 +240,17 @@ def _(spark, d):
     return found.select(F.date_format("period", "yyyy-MM-dd HH:mm").alias("period"))
 
 
+@query("t11_hour_gaps_all_rows", """
+    WITH e AS (SELECT date_trunc('hour', ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 20 DAY ELSE INTERVAL 0 DAY END) AS h FROM events_base)
+    SELECT strftime(h, '%Y-%m-%d %H:%M') AS period FROM (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM e)
+    WHERE h NOT IN (SELECT h FROM e)""", ["events_base"])
+def _(spark, d):
+    df = view(spark, d, "events_base").select(
+        F.expr("ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 20 DAY ELSE INTERVAL 0 DAY END").alias("ts"))
+    found = drift.date_gaps(df, "ts", "HOUR")
+    return found.select(F.date_format("period", "yyyy-MM-dd HH:mm").alias("period"))
+
+
 @query("t12_frequency_change_by_hour", """
     SELECT coalesce(b.slot, c.slot) AS slot, round(coalesce(b.m, 0), 6) AS baseline_mean, round(coalesce(c.m, 0), 6) AS current_mean,
            CASE WHEN coalesce(c.m, 0) > coalesce(b.m, 0) THEN 'increase' WHEN coalesce(c.m, 0) < coalesce(b.m, 0) THEN 'decrease' ELSE 'none' END AS direction
