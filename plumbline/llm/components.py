@@ -1,26 +1,35 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links, by alternating large-star and small-star steps.
+
+A node with many links is a hub. Its links look up its least neighbour by ``attach``, so that they need not meet in one task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.support import stored
+from plumbline.llm.support import attach, stored
+
+
+def _with_least(links: DataFrame, node: str, other: str, total: int) -> DataFrame:
+    """The links with ``m``, the least ``other`` of their ``node``."""
+    key = F.encode(F.col(node).cast("string"), "UTF-8")
+    least = links.groupBy(key.alias("mark")).agg(F.min(other).alias("m"), F.count(F.lit(1)).alias("n"))
+    return attach(links.withColumn("mark", key), least, "mark", "n", total, F.col(other))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbourhood."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    out = both.join(least, F.col("u") == F.col("_u")).where(F.col("v") > F.col("u"))
-    return out.select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, "u", "v", 2 * total).where(F.col("v") > F.col("u")).select(
+        F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of them. links: a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "_a")
-    moved = links.join(least, F.col("a") == F.col("_a")).where(F.col("b") > F.col("m"))
-    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("_a"), F.col("m")))
+    found = _with_least(links, "a", "b", total)
+    # A node itself goes with the least neighbour; the others go to that neighbour.
+    return found.select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,4 +42,5 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 now.select(F.col("b"), F.col("b")).distinct())
         before = state
-        now = stored(_small_star(_large_star(now).distinct()).distinct(), "links")
+        larger = stored(_large_star(now, state[0]).distinct(), "links-larger")
+        now = stored(_small_star(larger, larger.count()).distinct(), "links")
