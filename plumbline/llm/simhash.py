@@ -6,8 +6,9 @@ Its leaves are the shards. By the triangle inequality a node inside can only hav
 than REACH within the radius; such nodes visit the shards beyond the boundary as queries, so each pair of nodes that may be linked meets in
 one shard, and the search is exact. Inside a shard the same partition goes on in memory, down to groups that are compared outright.
 
-The upper tree is fitted on at most SAMPLE nodes (chosen by a hash) and has at most LEAVES leaves; every node is put into it. A shard whose nodes no
-vantage point can part, as in a large cluster, is searched in blocks of bounded size. A task gives a spanning forest of the links
+The upper tree is fitted on at most SAMPLE nodes (chosen by a hash); every node is put into it. Its leaves grow with the square
+root of the nodes, up to LEAVES: each more level of shards makes nodes visit two thirds more of them, while levels inside a task cost no shuffle. A
+large shard, also one that no vantage point can part, is searched in blocks of bounded size. A task gives a spanning forest of the links
 it finds, not all pairs, so a cluster of k nodes gives less than k rows a task.
 
 The work grows with about the 1.75th power of the number of distinct fingerprints if these are spread like random ones (a
@@ -34,9 +35,9 @@ from plumbline.llm.components import components
 from plumbline.llm.support import attach, map_steps, mixed, stored
 
 WIDTH, SEED, REACH = 4, 42, 4
-# Bounds of the fitted upper tree; nodes of a shard, and of the blocks that a larger shard is searched in.
-SAMPLE, LEAVES, SHARD = 200_000, 1024, 8192
-BLOCK_HOMES, BLOCK_QUERIES = 1 << 16, 1 << 17
+# Bounds of the fitted upper tree, and of the blocks that a larger shard is searched in.
+SAMPLE, LEAVES = 200_000, 1024
+BLOCK_HOMES, BLOCK_QUERIES = 1 << 16, 1 << 16
 # In a task: groups up to this size are compared outright, so many pairs at a time.
 GROUP, STEP_PAIRS = 128, 1 << 18
 EDGES = 1 << 20
@@ -104,9 +105,12 @@ def split(points: np.ndarray, tries: int = 4) -> tuple[int, int] | None:
     return best[1:] if best else None
 
 
-def plant(sample: np.ndarray, nodes: int, shard: int = SHARD, leaves: int = LEAVES) -> Branch | int:
-    """A tree whose leaves hold about ``shard`` of all the nodes, by their share of the sample."""
-    most = max(min(leaves, -(-nodes // shard)), 1)
+def shards(nodes: int) -> int:
+    return max(1, min(LEAVES, round(nodes ** 0.5 / 16)))
+
+
+def plant(sample: np.ndarray, leaves: int) -> Branch | int:
+    """A tree with at most so many leaves, which hold about as many points of the sample each."""
     ends = 0
 
     def grow(part: np.ndarray, share: int) -> Branch | int:
@@ -119,7 +123,7 @@ def plant(sample: np.ndarray, nodes: int, shard: int = SHARD, leaves: int = LEAV
         left = min(share - 1, max(1, round(share * inside.mean())))
         return Branch(*cut, grow(part[inside], left), grow(part[~inside], share - left))
 
-    return grow(sample, most)
+    return grow(sample, leaves)
 
 
 def route(tree: Branch | int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,7 +222,7 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
 
-def links(codes: DataFrame, shard: int = SHARD, block_homes: int = BLOCK_HOMES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def links(codes: DataFrame, leaves: int | None = None, block_homes: int = BLOCK_HOMES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """Links (a, b) that join the same distinct fingerprints (``code``) as all pairs within REACH bits do."""
     spark = codes.sparkSession
     total = codes.count()
@@ -226,7 +230,7 @@ def links(codes: DataFrame, shard: int = SHARD, block_homes: int = BLOCK_HOMES,
     share = min(1.0, SAMPLE / max(total, 1))
     chosen = codes.where(F.pmod(F.xxhash64(F.lit(11), "code"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
     sample = np.sort(np.array([r[0] for r in chosen.collect()], np.int64)).view(np.uint64)
-    placed = stored(codes.mapInArrow(_routed(plant(sample, total, shard)), "code bigint, leaf int, home boolean"), "simhash-placed")
+    placed = stored(codes.mapInArrow(_routed(plant(sample, leaves or shards(total))), "code bigint, leaf int, home boolean"), "simhash-placed")
     sizes = placed.groupBy("leaf").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("queries")).where("homes > 0").select(
         F.col("leaf"), F.ceil(F.col("homes") / block_homes).alias("hs"), F.ceil(F.col("queries") / block_queries).alias("qs"))
     # At most LEAVES rows.

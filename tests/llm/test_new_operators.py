@@ -148,7 +148,7 @@ def planted(n, seed, families=30, far=True):
 
 def test_routing_brings_near_pairs_together():
     codes = planted(3000, 1)
-    tree = simhash.plant(codes[::3], len(codes), shard=100)
+    tree = simhash.plant(codes[::3], 40)
     at, leaf, home = simhash.route(tree, codes)
     assert len(set(leaf.tolist())) > 15
     homes = dict(zip(at[home].tolist(), leaf[home].tolist()))
@@ -163,7 +163,7 @@ def test_routing_brings_near_pairs_together():
 def test_links_give_the_same_components(spark, block_homes, block_queries):
     codes = planted(3000, 2)
     table = small_table(spark, [(int(x),) for x in codes.view(np.int64)], "code bigint").repartition(3)
-    found = components(simhash.links(table, 200, block_homes, block_queries)).collect()
+    found = components(simhash.links(table, 20, block_homes, block_queries)).collect()
     got = {r.node: r.component for r in found}
     head = brute_components(codes.tolist())
     groups, want = defaultdict(set), defaultdict(set)
