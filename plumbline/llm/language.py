@@ -6,7 +6,8 @@ expectation maximisation: the expected number of each piece over all segmentatio
 A text's score is the sum over its words (runs of letters, in lower case), plus the language's log share of the learned rows.
 
 The fit may use a bounded sample: about ``fit_rows`` rows per language, drawn by a hash of the row; predictions cover
-every whole text. The piece table has at most one row per piece of the vocabulary and language.
+every whole text. All letter pieces of the vocabulary take part, whatever their length. The piece table has at most one row per
+piece and language and goes to every task (0.2 MB a language): fit to tens of languages, not to thousands.
 
 Defined cases. A text that is null or has no letter is ``und`` with score 0. Characters beyond the vocabulary share one
 piece. Runs of over 40 letters are scored in runs of 40. Equal scores go to the first language in order. Without learned
@@ -26,7 +27,6 @@ from plumbline.llm.support import codes_of, group_sums, map_steps, stored
 FIT_ROWS = 1500
 ROUNDS = 3
 LONGEST_RUN = 40
-LONGEST_PIECE = 8
 _START = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,7 +37,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    plain = {p for p in pieces if p.removeprefix(_START).isalpha() and len(p) <= LONGEST_PIECE}
+    plain = {p for p in pieces if p.removeprefix(_START).isalpha()}
     letters = {c for p in plain for c in p}
     return sorted(plain | letters | {_START})
 
@@ -136,7 +136,7 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(5)) == 0
 
 
-def learn(rows: DataFrame, pieces: list[str], fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def learn(rows: DataFrame, lattice: Lattice, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their shares of the rows, and probabilities by piece and language. rows: text, lang, a hash ``_draw``."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # One row per language.
@@ -158,7 +158,6 @@ def learn(rows: DataFrame, pieces: list[str], fit_rows: int = FIT_ROWS, rounds:
 
     words = map_steps(sample, runs, "lang string, word string, n bigint")
     words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    lattice = Lattice(pieces)
     p = np.full((lattice.size, len(langs)), 1 / lattice.size)
 
     for _ in range(rounds):
@@ -190,15 +189,14 @@ def identify(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS, ro
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"), F.coalesce(held_out(), F.lit(False)).alias("held_out"),
         F.xxhash64(F.lit(1), F.col("doc_id")).alias("_draw"))
-    pieces = vocabulary(vocabulary_path)
-    langs, shares, p = learn(rows.where(~F.col("held_out")), pieces, fit_rows, rounds)
+    lattice = Lattice(vocabulary(vocabulary_path))
+    langs, shares, p = learn(rows.where(~F.col("held_out")), lattice, fit_rows, rounds)
 
     def predict(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         flat, counts = letter_runs(batch.column("text"))
         lang, score = np.full(n, -1), np.zeros(n)
         if langs and len(flat):
-            lattice = Lattice(pieces)
             codes, words = codes_of(flat)
             logs = np.zeros((len(words), len(langs)))
             for at, table in matrices(words):

@@ -115,6 +115,23 @@ def test_expected_counts():
         assert abs(2 * slope - got[i]) < 1e-3
 
 
+def test_long_pieces_take_part():
+    """Every letter piece of the vocabulary is in the lattice, also those of over eight letters."""
+    from sentencepiece import SentencePieceProcessor
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = SentencePieceProcessor(model_file=path)
+    whole = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
+    pieces = language.vocabulary(path)
+    assert {p for p in whole if p.removeprefix("▁").isalpha()} <= set(pieces)
+    long = max((p for p in pieces if p[0] == "▁"), key=len)
+    lattice = language.Lattice(pieces)
+    p = np.zeros((lattice.size, 1))
+    p[pieces.index(long)] = 0.25
+    points = np.array([[ord(c) for c in long]], np.uint64)
+    with np.errstate(divide="ignore"):
+        assert len(long) > 9 and np.isclose(np.exp(lattice.forward(points, p))[0, 0], 0.25)
+
+
 def test_language_on_odd_rows(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     found = language.identify(odd_docs(spark), path, rounds=1).collect()
