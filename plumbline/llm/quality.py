@@ -2,7 +2,11 @@
 
 Each document's histogram of character classes and its histogram of common words are compared with references of the
 languages by Jensen-Shannon distance (base 2, 0 to 1); the nearest language counts. A reference is the mean histogram of all
-documents with that language that pass the base rules. Texts that are too short for a stable histogram are not judged by it.
+documents with that language that pass the base rules. A short text's histogram lies far from any reference by chance, so both limits
+widen with the inverse of its length; below MIN_WORDS words only the characters are judged.
+
+The words are those of four languages. A document whose lang names another language has no reference for its words: only its
+characters are judged, against the nearest of the references. Without a lang all references are tried.
 
 Defined cases. A null text has no words: it fails the base rules. Without any reference (no known language) only the base
 rules decide. Each row is judged by itself, so repeated rows get equal verdicts. Only doc_id, text and lang are read.
@@ -29,11 +33,10 @@ WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
 SYMBOLS = b"#*$%&|<>"
 CLASSES = 7  # lower, upper, digit, white space, punctuation, beyond ASCII, symbols
 
-# Limits of the method. A short text's histogram of words is far from any reference by chance, by about 1 / n; so the
-# limit for n words is MAX_WORD_DISTANCE + WORD_ALLOWANCE / n.
-MIN_CHARS = 250
+# Limits of the method: for n characters MAX_CLASS_DISTANCE + CLASS_ALLOWANCE / n, for n words MAX_WORD_DISTANCE + WORD_ALLOWANCE / n.
 MIN_WORDS = 60
 MAX_CLASS_DISTANCE = 0.25
+CLASS_ALLOWANCE = 10
 MAX_WORD_DISTANCE = 0.18
 WORD_ALLOWANCE = 18
 
@@ -133,8 +136,8 @@ def base_failed():
     return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
-def _references(facts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per language the summed shares of the documents: at most one row per language of COMMON_WORDS.
+def _references(facts: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, classes, words): per language the summed shares of the documents: at most one row per language of COMMON_WORDS.
 
     Each document weighs the same, so that a few long ones don't make a reference. Shares are whole millionths, so that the
     order of summation doesn't show.
@@ -151,12 +154,12 @@ def _references(facts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
         *[share("classes", i, "n_classed").alias(f"a{i}") for i in range(CLASSES)],
         *[share("common", i, "n_words").alias(f"w{i}") for i in range(width)])
     return [
-        (np.array([float(r[f"a{i}"]) for i in range(CLASSES)]), np.array([float(r[f"w{i}"]) for i in range(width)]))
+        (r["lang"], np.array([float(r[f"a{i}"]) for i in range(CLASSES)]), np.array([float(r[f"w{i}"]) for i in range(width)]))
         for r in sorted(sums.collect(), key=lambda r: r["lang"])
     ]
 
 
-def _verdicts(facts: pa.RecordBatch, references: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _verdicts(facts: pa.RecordBatch, references: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Base figures, verdicts and distances of a batch of facts."""
     def table(name: str, width: int) -> np.ndarray:
         return facts.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
@@ -164,11 +167,15 @@ def _verdicts(facts: pa.RecordBatch, references: list[tuple[np.ndarray, np.ndarr
     classes, common = table("classes", CLASSES), table("common", len(WORD_LIST) + 1)
     class_distance, word_distance = np.zeros(facts.num_rows), np.zeros(facts.num_rows)
     if references and facts.num_rows:
-        class_distance = np.min([js_distance(classes, a) for a, _ in references], axis=0)
-        word_distance = np.min([js_distance(common, w) for _, w in references], axis=0)
+        class_distance = np.min([js_distance(classes, a) for _, a, _ in references], axis=0)
+        word_distance = np.min([js_distance(common, w) for _, _, w in references], axis=0)
+        known = pa.array([lang for lang, _, _ in references])
+        foreign = pc.and_(pc.is_valid(facts.column("lang")), pc.invert(pc.is_in(facts.column("lang"), known)))
+        word_distance = np.where(foreign.to_numpy(zero_copy_only=False), 0.0, word_distance)
     words, repeated = (facts.column(c).to_numpy(zero_copy_only=False) for c in ("n_words", "n_repeat_words"))
     failed = (words < 10) | (100 * repeated > 20 * words)
-    far = ((classes.sum(axis=1) >= MIN_CHARS) & (class_distance > MAX_CLASS_DISTANCE)) | (
+    chars = classes.sum(axis=1)
+    far = (class_distance > MAX_CLASS_DISTANCE + CLASS_ALLOWANCE / np.maximum(chars, 1)) | (
         (words >= MIN_WORDS) & (word_distance > MAX_WORD_DISTANCE + WORD_ALLOWANCE / np.maximum(words, 1)))
     figures = [facts.column(i) for i in range(6)]
     return pa.RecordBatch.from_arrays(
@@ -199,7 +206,7 @@ def passing(docs: DataFrame) -> DataFrame:
     references = _references(map_steps(_rows(docs), _facts, _FACTS))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang = pa.nulls(batch.num_rows, pa.string())
+        lang = batch.column("lang") if "lang" in batch.schema.names else pa.nulls(batch.num_rows, pa.string())
         own = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lang], names=["doc_id", "text", "lang"])
         return batch.filter(_verdicts(_facts(own), references).column("kept"))
 

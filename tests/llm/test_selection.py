@@ -179,7 +179,7 @@ def test_quality_against_brute_force(spark, prose):
         kinds, words = histograms(text or "")
         near = [naive_distance(kinds, reference[0]) if sum(kinds) else 0, naive_distance(words, reference[1]) if sum(words) else 0]
         assert math.isclose(r.class_distance, near[0], abs_tol=1e-3) and math.isclose(r.word_distance, near[1], abs_tol=1e-3)
-        far = (sum(kinds) >= 250 and near[0] > 0.25) or (b[0] >= 60 and near[1] > 0.18 + 18 / b[0])
+        far = near[0] > 0.25 + 10 / max(sum(kinds), 1) or (b[0] >= 60 and near[1] > 0.18 + 18 / b[0])
         assert r.kept == (not b[5] and not far)
     assert not any(r.kept for r in rows[60:]) and all(r.kept or r.base_failed for r in rows[:60])
     passing = quality.passing(documents(spark, prose))
@@ -194,3 +194,19 @@ def test_quality_on_odd_rows(spark):
     assert quality.judge(odd_docs(spark).limit(0)).collect() == [] and quality.passing(odd_docs(spark).limit(0)).collect() == []
     unknown = quality.judge(odd_docs(spark).drop("lang")).collect()
     assert all(r.kept == (not r.base_failed) for r in unknown)
+
+
+def test_quality_of_short_junk_and_of_other_languages(spark, prose):
+    """Symbol junk below 60 words goes; a language without a reference is not held against foreign words."""
+    junk = " ".join(f"{w} {'%*&#'[i % 4] * (3 + i // 4)}" for i, w in enumerate("house of river stone light walk green was".split()))
+    assert 10 <= len(junk.split()) < 60
+    rng = random.Random(9)
+    polish = "dom rzeka kamień jest zielony spacer światło które tylko bardzo przez oraz swoje wszystko można dzień noc".split()
+    foreign = [" ".join(rng.choice(polish) for _ in range(150)) for _ in range(5)]
+    texts = [*prose, junk, *foreign]
+    lang = ["en"] * (len(prose) + 1) + ["pl"] * 5
+    rows = {r.doc_id: r for r in quality.judge(documents(spark, texts, lang=lang)).collect()}
+    assert not rows[len(prose)].kept and not rows[len(prose)].base_failed
+    assert all(rows[i].kept and rows[i].word_distance == 0 for i in range(len(prose) + 1, len(texts)))
+    held = {r.doc_id for r in quality.passing(documents(spark, texts, lang=lang)).collect()}
+    assert held == {i for i, r in rows.items() if r.kept}
