@@ -5,7 +5,8 @@ neighbours, and what kind of section it stands in; a small decision tree says wh
 tree is trained on LABELLED, a small table of labelled blocks.
 
 Defined cases. Null or empty html gives an empty text. Broken markup never fails: an end tag without its start is ignored,
-an open element ends with its parent, and what cannot be a tag is text. Repeated rows give equal results. Only page_id, url
+an open element ends with its parent, and what cannot be a tag is text. A script, style, title or textarea without an end tag takes
+the rest of the page, as in browsers; another unread element (button, svg) without one, or closed in its tag, takes nothing. Repeated rows give equal results. Only page_id, url
 and html are read.
 """
 
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.support import map_steps
 
-# Element names by their part in the layout.
-UNREAD = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|title|textarea|select|button|xmp|noframes"
+# Element names by their part in the layout. An element of plain text runs to its end tag or to the end of the page.
+PLAIN_TEXT = "script|style|title|textarea"
+UNREAD = frozenset("noscript template svg math iframe object canvas audio video select button xmp noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -32,21 +34,29 @@ SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "t
 ASIDE = frozenset("nav aside footer form menu dialog fieldset head".split())
 HEADER = frozenset(["header", "hgroup"])
 CONTENT = frozenset(["article", "main"])
-# Parts of class names, ids and roles that mark something other than the main text.
+# Class names, ids and roles that mark something other than the main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist "
     "complementary consent contentinfo cookie cookies copyright disqus footer gdpr menu menubar modal nav navbar navigation "
     "newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related "
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags "
     "toolbar widget widgets alert dialog hidden".split())
+# What may stand beside such a name in a compound one, as in site-footer or comment-list.
+BESIDE_MARKS = frozenset(
+    "area article articles bar block body bottom box button buttons container content entry form global group header heading "
+    "holder icons inner item items left link links list main message page panel policy post posts primary right row secondary "
+    "section site slot text title top unit wrap wrapper".split())
+ALONE = frozenset("alert dialog hidden notification overlay skip tags".split())
 CONTENT_MARKS = frozenset("article content entry post story".split())
 KEEPS_MARKED = frozenset(["html", "body", "main"])
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNREAD})\b[^>]*>(?:.*?</\1\s*>|.*)"
+    rf"<!--.*?(?:-->|\Z)|<({PLAIN_TEXT})\b[^>]*>(?:.*?</\1\s*>|.*)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^<>]*>|<[!?][^>]*>|[^<]++|<", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
+_ARTICLE = re.compile(r"<article\b", re.I)
+_TAG_OF = {name: re.compile(rf"<(/?){name}\b[^>]*>", re.I) for name in UNREAD}
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "in_content", "set_aside", "listed")
 # Labelled blocks, as FEATURES and then 1 for main text.
@@ -174,6 +184,20 @@ def _content(attributes: str) -> bool:
                if key.lower() in ("class", "id", "itemprop") for p in _PARTS.findall(a or b or c))
 
 
+def _names_mark(name: str, numbered: bool) -> bool:
+    """Whether a class name, id or role is a mark, alone or in a compound of marks and plain layout words.
+
+    So ``site-footer`` is one, ``no-sidebar`` and ``overflow-hidden`` are not. An id may end in a number (``comment-12``).
+    """
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    if numbered:
+        parts = [p for p in parts if not p.isdigit()]
+    if len(parts) == 1:
+        return parts[0] in MARKS
+    return (all(p in MARKS or p in BESIDE_MARKS for p in parts) and any(p in MARKS for p in parts)
+            and not any(p in ALONE for p in parts))
+
+
 def _marked(attributes: str) -> bool:
     """Whether an element's class, id or role sets it aside, or it is not shown."""
     for key, a, b, c, bare in _ATTRIBUTE.findall(attributes):
@@ -182,16 +206,31 @@ def _marked(attributes: str) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id", "role") and any(p.lower() in MARKS for p in _PARTS.findall(value)):
+        if key in ("class", "id", "role") and any(_names_mark(x, key == "id") for x in value.split()):
             return True
     return False
 
 
+class _Unread:
+    """Where elements that are not read end. One without an end tag, or opened again before it, is passed over alone."""
+
+    def __init__(self, html: str):
+        self.html, self.found = html, {}
+
+    def end(self, name: str, after: int) -> int:
+        tag = self.found.get(name, after)
+        if tag is not None and (isinstance(tag, int) or tag.start() < after):
+            tag = self.found[name] = _TAG_OF[name].search(self.html, after)
+        return tag.end() if tag is not None and tag.group(1) else after
+
+
 def blocks(html: str) -> list[tuple[str, list[float]]]:
     """The flat text blocks of a page, each with its own five facts: words, link density, in_content, set_aside, listed."""
     out: list[tuple[str, list[float]]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, in content, set aside
     links = 0
+    unread, skipped = _Unread(html), 0
+    only_article = len(_ARTICLE.findall(html)) == 1
     text: list[str] = []
     linked: list[str] = []
 
@@ -212,6 +251,8 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
                 return
 
     for token in _TOKEN.finditer(html):
+        if token.start() < skipped:
+            continue
         raw, end, name, attributes = token.group(0), token.group(2), token.group(3), token.group(4)
         if name is None:
             if raw[0] != "<" or raw == "<":
@@ -223,6 +264,11 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
                 text.append(" ")
             continue
         name = name.lower()
+        if name in UNREAD:
+            text.append(" ")
+            if not end and not raw.endswith("/>"):
+                skipped = unread.end(name, token.end())
+            continue
         if name == "a":
             links = 0 if end else 1
             linked.append(" ")
@@ -256,7 +302,11 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
         if name == "body":
             stack.clear()
         inside, aside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        aside = aside or name in ASIDE or marked or (name in HEADER and not inside)
+        if name == "main" or (name == "article" and only_article):
+            # No mark of its own or of a wrapper sets a page's content aside; a menu, form or footer still does.
+            aside = any(s[0] in ASIDE for s in stack)
+        else:
+            aside = aside or name in ASIDE or marked or (name in HEADER and not inside)
         inside = inside or name in CONTENT or (bool(attributes) and name not in KEEPS_MARKED and _content(attributes))
         stack.append((name, inside, aside))
     close()

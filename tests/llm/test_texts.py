@@ -46,6 +46,33 @@ def test_broken_pages(page, text):
     assert html.main_text(page, TREE) == text
 
 
+BODY = "<h1>Title of it</h1><p>A first paragraph with enough words to be one of them.</p><p>A second one, which goes on and on.</p>"
+BODY_TEXT = "Title of it\nA first paragraph with enough words to be one of them.\nA second one, which goes on and on."
+MENU = '<nav><a href="/">Home</a> <a href="/x">News</a></nav>'
+
+
+@pytest.mark.parametrize("page", [
+    f'{MENU}<div class="overflow-hidden"><article>{BODY}</article></div>',
+    f'{MENU}<div class="has-cookie-notice"><article>{BODY}</article></div>',
+    f'{MENU}<div class="share-2024"><article>{BODY}</article></div>',
+    f'{MENU}<article class="no-sidebar">{BODY}</article>',
+    f'{MENU}<article><svg class="i"/>{BODY}</article>',
+    f'{MENU}<article><button>{BODY}</article>',
+    f'{MENU}<article><button><button>Close</button>{BODY}</article>',
+    f'{MENU}<div class="modal"><main>{BODY}</main></div>',
+    f'{MENU}<div class="wrapper content no-sidebar overflow-hidden">{BODY}</div>',
+    f'<article>{BODY}<div class="site-footer">All of it is reserved by someone.</div><div id="comment-12">I liked it very much indeed.</div></article>',
+    f'<article>{BODY}<section class="commentList"><article class="comment">I liked it.</article></section></article>',
+])
+def test_marks_and_unread_elements_lose_no_article(page):
+    assert html.main_text(page, TREE) == BODY_TEXT
+
+
+def test_unread_elements_are_found_in_linear_time():
+    page = "<article><p>kept</p>" + "<button><svg><select>" * 20_000 + "</article>"
+    assert html.main_text(page, TREE) == "kept"
+
+
 def test_long_pages():
     many = "<article>" + "<p>word <i>more" * 30_000 + "</article>"
     assert html.main_text(many, TREE).count("\n") == 29_999
