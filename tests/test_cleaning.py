@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
+from plumbline.functions import kernels, text
 from plumbline.operators import neighbors, nulls, outliers, types
 from plumbline.params import NullParams, OutlierParams, TypeParams
 
@@ -124,6 +124,67 @@ def test_nearest_donors_when_the_axis_has_nulls(spark):
         assert found[i] == pytest.approx(mean if v is None else v)
 
 
+def test_cells_beyond_their_limit_are_searched_in_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, None if i % 4 == 0 else rng.uniform(0, 9), rng.uniform(0, 40), None if i % 3 == 0 else rng.uniform(0, 40)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, y double, x double, z double")
+    filled = neighbors.knn_fill(df, "y", "id", 4, ["y", "x", "z"], block_rows=10, max_cells=3)
+    found = {r["id"]: r["y"] for r in filled.collect()}
+    assert len(found) == 200
+    for i, v in _brute_force(rows, 4).items():
+        assert found[i] == pytest.approx(v)
+
+
+def test_recipients_that_share_no_column_with_near_cells(spark):
+    """Most donors lack x, so a recipient that only has x finds its donors in later rounds."""
+    rng = random.Random(4)
+    rows = [(i, float(i), None if i % 40 else rng.uniform(0, 9), rng.uniform(0, 90)) for i in range(1, 400)]
+    rows += [(1000 + i, None, rng.uniform(0, 9), None) for i in range(10)] + [(2000, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, y double, x double, z double")
+    filled = neighbors.knn_fill(df, "y", "id", 3, ["y", "x", "z"], block_rows=10)
+    found = {r["id"]: r["y"] for r in filled.collect()}
+    mean = np.mean([r[1] for r in rows if r[1] is not None])
+    for i, v in _brute_force(rows, 3).items():
+        assert found[i] == pytest.approx(mean if v is None else v)
+
+
+@pytest.mark.parametrize("null_share", [0.0, 0.3])
+def test_visited_cells_stay_flat_as_donors_grow(spark, null_share):
+    """Cells per recipient with ten times the donors, in cells of the same size."""
+    seen = []
+    for n in (2_000, 20_000):
+        rng = np.random.default_rng(7)
+        grid = rng.random((n + 200, 2))
+        grid[rng.random(grid.shape) < null_share] = np.nan
+        cell = lambda v: None if np.isnan(v) else float(v)
+        rows = [(i, None if i < 200 else 1.0, cell(x), cell(z)) for i, (x, z) in enumerate(grid)]
+        df = spark.createDataFrame(rows, "id int, y double, x double, z double")
+        visits = []
+        near = neighbors.nearest_donors(df, "y", "id", 5, ["y", "x", "z"], block_rows=100, visits=visits)
+        assert near.count() == 5 * sum(any(v is not None for v in r[2:]) for r in rows[:200])
+        seen.append(sum(v.count() for v in visits) / 200)
+    assert seen[1] < 1.6 * seen[0] + 2 and seen[1] < 30
+
+
+def test_bounds_are_never_above_the_least_distance():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        donors, rows = rng.normal(size=(60, 4)).round(1), rng.normal(size=(20, 4)).round(1)
+        donors[rng.random(donors.shape) < 0.3], rows[rng.random(rows.shape) < 0.3] = np.nan, np.nan
+        cells = kernels.Cells(donors[::2], 8, [0, 1, 2], least=2)
+        home = cells.home(donors)
+        parts = [donors[home == c] for c in range(cells.n_cells)]
+        edge = [(np.fmin.reduce(p, axis=0), np.fmax.reduce(p, axis=0)) if len(p) else (np.full(4, np.nan),) * 2 for p in parts]
+        cells.set_boxes(np.array([e[0] for e in edge]), np.array([e[1] for e in edge]),
+                        np.array([(~np.isnan(p)).sum(axis=0) for p in parts]), np.array([len(p) for p in parts]))
+        at, cell, bound = cells.within(rows, np.full(20, np.inf))
+        found = {(i, c): b for i, c, b in zip(at, cell, bound)}
+        for c, p in enumerate(parts):
+            least = kernels.distances(rows, p).min(axis=1) if len(p) else np.full(20, np.inf)
+            for i in range(20):
+                assert found.get((i, c), np.inf) <= least[i] if np.isfinite(least[i]) else (i, c) not in found
+
+
 def test_fewer_donors_than_neighbours(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, 4.0, 2.0), (3, 6.0, 9.0)], "id int, y double, x double")
     assert {r["id"]: r["y"] for r in neighbors.knn_fill(df, "y", "id", 5, ["y", "x"]).collect()}[1] == 5.0
