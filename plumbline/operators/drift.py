@@ -12,12 +12,16 @@ from plumbline.functions import stats
 from plumbline.functions.columns import col, kind_of
 from plumbline.operators import frequencies, issues, quantiles
 from plumbline.operators.facts import local_facts, number
-from plumbline.operators.layout import lookup, melt
+from plumbline.operators.layout import lookup, melt, range_buckets
 from plumbline.operators.scores import union_all
 from plumbline.params import DriftParams
 from plumbline.sources.state import as_local, small_table
 
 ROWS_PER_RANGE = 1_000_000
+# Value ranges per column; the sketch that cuts them is off by about one range.
+RANGES = 2_000
+# Periods that one row is unfolded to at a time.
+PERIODS_AT_ONCE = 10_000
 
 
 class Drift(NamedTuple):
@@ -52,80 +56,131 @@ def ks_statistics(
     current: DataFrame,
     columns: list[str],
     p_value_method: str = "asymptotic",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and p-value per numeric column.
+    """Two-sample Kolmogorov-Smirnov statistic and p-value per numeric column, exact without counting every value.
 
-    Rows are first counted per distinct value (map-side).  The running sums
-    then go over value ranges: each range is summed in its own task and starts
-    from the totals of the ranges before it, so no task sees a whole column.
+    Both tables are counted by value ranges, which gives both distribution functions at the ranges' ends and bounds of
+    their gap inside. Only ranges whose bound exceeds the largest gap at an end can hold the statistic; their values alone
+    are counted one by one and shuffled.
     """
     sides = ((baseline, 1, 0), (current, 0, 1))
-    rows = baseline.count() + current.count()
-    splits = _splits(sides, columns, rows, rows_per_range)
-    counts = _value_sides(sides, lambda df: _with_ranges(df, columns, splits), ["column", "range", "value"])
-    running = _ranged_running(counts)
-    d = running.filter((F.col("n1") > 0) & (F.col("n2") > 0)).groupBy("column", "n1", "n2").agg(
-        F.max(F.abs(F.col("cum_b") / F.col("n1") - F.col("cum_c") / F.col("n2"))).alias("ks_statistic"))
+    splits = _splits(sides, columns, rows_per_range)
+    ranges = _bounded_ranges(sides, columns, splits)
+    at_ends = ranges.groupBy("column", "n1", "n2").agg(F.max("best").alias("gap"))
+    open_ranges: dict[str, list[int]] = {}
+    for r in ranges.filter("open").select("column", "range").collect():
+        open_ranges.setdefault(r["column"], []).append(r["range"])
+    found = at_ends
+    if open_ranges:
+        counts = _value_sides(sides, lambda df: _with_ranges(df, columns, splits, open_ranges), ["column", "range", "value"])
+        inside = _running(counts, ranges)
+        gap = F.abs(F.col("cum_b") / F.col("n1") - F.col("cum_c") / F.col("n2"))
+        found = at_ends.unionByName(inside.groupBy("column", "n1", "n2").agg(F.max(gap).alias("gap")))
+    d = found.groupBy("column", "n1", "n2").agg(F.max("gap").alias("ks_statistic"))
     return with_ks_p_value(d, p_value_method)
 
 
+def ks_work(baseline: DataFrame, current: DataFrame, columns: list[str], rows_per_range: int | None = None) -> DataFrame:
+    """(column, rows, rows_counted, ranges, ranges_counted): what ``ks_statistics`` has to count value by value."""
+    sides = ((baseline, 1, 0), (current, 0, 1))
+    ranges = _bounded_ranges(sides, columns, _splits(sides, columns, rows_per_range))
+    rows = F.col("sb") + F.col("sc")
+    return ranges.groupBy("column").agg(
+        F.sum(rows).alias("rows"), F.sum(F.when(F.col("open"), rows).otherwise(0)).alias("rows_counted"),
+        F.count("*").alias("ranges"), F.count_if("open").alias("ranges_counted"))
+
+
+def _bounded_ranges(sides, columns: list[str], splits: dict[str, list[float]]) -> DataFrame:
+    """Counts of both sides per range with totals before it, the gap at the ends, and whether the gap inside may be larger.
+
+    A table of at most RANGES rows per column, for columns with values on both sides.
+    """
+    sums = _value_sides(sides, lambda df: _with_ranges(df, columns, splits), ["column", "range"]).select(
+        "column", "range", F.col("b").alias("sb"), F.col("c").alias("sc"))
+    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("column")
+    starts = sums.select(
+        "column", "range", "sb", "sc",
+        F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("start_b"),
+        F.coalesce(F.sum("sc").over(before), F.lit(0)).alias("start_c"),
+        F.sum("sb").over(whole).alias("n1"), F.sum("sc").over(whole).alias("n2")).filter("n1 > 0 and n2 > 0")
+
+    def gap(b, c):
+        return F.abs(b / F.col("n1") - c / F.col("n2"))
+
+    b, c = F.col("start_b"), F.col("start_c")
+    end_b, end_c = b + F.col("sb"), c + F.col("sc")
+    bound = F.greatest(gap(end_b, c), gap(b, end_c))
+    return as_local(starts.withColumn("best", F.max(gap(end_b, end_c)).over(whole)).withColumn("open", bound > F.col("best")))
+
+
 def _value_sides(sides, to_long, by: list[str]) -> DataFrame:
     """Counts per distinct value on both sides, absent values as 0."""
     long = [to_long(df).select(*by, F.lit(b).alias("b"), F.lit(c).alias("c")) for df, b, c in sides]
     return union_all(long).groupBy(*by).agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
 
 
-def _splits(sides, columns: list[str], rows: int, rows_per_range: int) -> dict[str, list[float]]:
-    """Cut points per column, so that a range holds a bounded number of values."""
-    ranges = max(1, -(-rows // rows_per_range))
-    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+def _splits(sides, columns: list[str], rows_per_range: int | None) -> dict[str, list[float]]:
+    """Cut points per column from one sketch of both sides: RANGES ranges, or as many as the rows need."""
+    shares = [i / RANGES for i in range(1, RANGES)]
     numbers = [df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]) for df, _, _ in sides]
-    row = union_all(numbers).agg(*[
+    row = union_all(numbers).agg(F.count(F.lit(1)).alias("rows"), *[
         quantiles.sketched(F.col(f"v{i}"), shares, quantiles.SKETCH_SIZE).alias(f"s{i}") for i in range(len(columns))
     ]).first()
-    return {c: sorted(set(row[f"s{i}"] or [])) or [0.0] for i, c in enumerate(columns)}
+    ranges = min(RANGES, max(2, -(-row["rows"] // rows_per_range))) if rows_per_range else RANGES
+    # Every so many of the cut points.
+    chosen = sorted({round(i * RANGES / ranges) - 1 for i in range(1, ranges)})
+    return {c: sorted({row[f"s{i}"][k] for k in chosen}) if row[f"s{i}"] else [0.0] for i, c in enumerate(columns)}
 
 
-def _with_ranges(df: DataFrame, columns: list[str], splits: dict[str, list[float]]) -> DataFrame:
-    """Long form (column, value, range): the range of a value is looked up in its row."""
-    wide = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+def _with_ranges(
+    df: DataFrame, columns: list[str], splits: dict[str, list[float]], only: dict[str, list[int]] | None = None,
+) -> DataFrame:
+    """Long form (column, value, range): the range of a value is looked up in its row. ``only``: the ranges wanted per column."""
+    names = [c for c in columns if only is None or c in only]
+    wide = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(names)])
     ranged = Bucketizer(
-        splitsArray=[[float("-inf"), *splits[c], float("inf")] for c in columns],
-        inputCols=[f"v{i}" for i in range(len(columns))],
-        outputCols=[f"r{i}" for i in range(len(columns))],
+        splitsArray=[[float("-inf"), *splits[c], float("inf")] for c in names],
+        inputCols=[f"v{i}" for i in range(len(names))],
+        outputCols=[f"r{i}" for i in range(len(names))],
         handleInvalid="keep",
     ).transform(wide)
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value"), F.col(f"r{i}").alias("range"))
-        for i, c in enumerate(columns)]
-    return ranged.select(F.explode(F.array(*cells)).alias("x")).select("x.*").filter("value is not null")
 
+    def cell(i: int, c: str):
+        made = F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value"), F.col(f"r{i}").cast("int").alias("range"))
+        return made if only is None else F.when(F.col(f"r{i}").cast("int").isin(only[c]), made)
 
-def _ranged_running(counts: DataFrame) -> DataFrame:
-    """Running sums per column: within a range, plus the total of the ranges before."""
-    sums = counts.groupBy("column", "range").agg(F.sum("b").alias("sb"), F.sum("c").alias("sc"))
-    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("column")
-    starts = as_local(sums.select(
-        "column", "range",
-        F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("start_b"),
-        F.coalesce(F.sum("sc").over(before), F.lit(0)).alias("start_c"),
-        F.sum("sb").over(whole).alias("n1"), F.sum("sc").over(whole).alias("n2")))
+    cells = F.array(*[cell(i, c) for i, c in enumerate(names)])
+    return ranged.select(F.explode(cells).alias("x")).select("x.*").filter("value is not null")
+
+
+def _running(counts: DataFrame, starts: DataFrame) -> DataFrame:
+    """Running sums per column: within a range, plus the total of the ranges before it (a small table)."""
     within = Window.partitionBy("column", "range").orderBy("value")
+    before = F.broadcast(starts.select("column", "range", "start_b", "start_c", "n1", "n2"))
     return (
         counts.withColumns({"in_b": F.sum("b").over(within), "in_c": F.sum("c").over(within)})
-        .join(F.broadcast(starts), ["column", "range"])
+        .join(before, ["column", "range"])
         .select("column", "value", "n1", "n2", (F.col("start_b") + F.col("in_b")).alias("cum_b"),
                 (F.col("start_c") + F.col("in_c")).alias("cum_c")))
 
 
 def running_shares(df: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """(column, value, share): the empirical distribution function per numeric column."""
+    """(column, value, share): the empirical distribution function per numeric column.
+
+    Rows are first counted per distinct value (map-side). Each value range is summed in its own task and starts from the total
+    of the ranges before it, so no task sees a whole column.
+    """
     sides = ((df, 1, 0),)
-    splits = _splits(sides, columns, df.count(), rows_per_range)
+    splits = _splits(sides, columns, rows_per_range)
     counts = _value_sides(sides, lambda t: _with_ranges(t, columns, splits), ["column", "range", "value"])
-    return _ranged_running(counts).select("column", "value", (F.col("cum_b") / F.col("n1")).alias("share"))
+    sums = counts.groupBy("column", "range").agg(F.sum("b").alias("sb"))
+    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = as_local(sums.select(
+        "column", "range", F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("start_b"), F.lit(0).alias("start_c"),
+        F.sum("sb").over(Window.partitionBy("column")).alias("n1"), F.lit(0).alias("n2")))
+    return _running(counts, starts).select("column", "value", (F.col("cum_b") / F.col("n1")).alias("share"))
 
 
 def with_ks_p_value(d: DataFrame, method: str = "asymptotic") -> DataFrame:
@@ -283,13 +338,53 @@ def period_counts(df: DataFrame, column: str, period: str = "DAY") -> DataFrame:
     return df.filter(col(column).isNotNull()).groupBy(start.alias("period")).agg(F.count("*").alias("n"))
 
 
+_SECONDS = {"HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+_MONTHS = {"MONTH": 1, "QUARTER": 3, "YEAR": 12}
+
+
+def _periods_between(start: Column, end: Column, period: str) -> Column:
+    period = period.upper()
+    if period in _SECONDS:
+        return ((F.unix_seconds(end) - F.unix_seconds(start)) / _SECONDS[period]).cast("bigint")
+    if period in _MONTHS:
+        months = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
+        return (months / _MONTHS[period]).cast("bigint")
+    return (F.datediff(end, start) / {"DAY": 1, "WEEK": 7}[period]).cast("bigint")
+
+
+def _periods_later(start: Column, n: Column, period: str) -> Column:
+    moved = F.timestamp_add(period.upper(), n.cast("int"), start)
+    return moved if period.upper() in _BELOW_A_DAY else moved.cast("date")
+
+
+def date_gap_spans(df: DataFrame, column: str, period: str = "DAY", buckets: int | None = None) -> DataFrame:
+    """(gap_start, gap_end, missing): runs of periods between the first and last that hold no row.
+
+    The periods with rows are dealt out by ranges of time. Each looks at the one before it in its range, the first of a range
+    at the last of the range before; so the work follows the rows and not the span, and no calendar is made.
+    """
+    ranged = range_buckets(period_counts(df, column, period).select("period"), [F.col("period")], buckets)
+    # One row per range.
+    lasts = sorted((r["_bucket"], r["last"]) for r in ranged.groupBy("_bucket").agg(F.max("period").alias("last")).collect())
+    schema = f"_bucket int, _before {ranged.schema['period'].dataType.simpleString()}"
+    before = small_table(df.sparkSession, [(b, last) for (b, _), (_, last) in zip(lasts[1:], lasts)], schema)
+    within = Window.partitionBy("_bucket").orderBy("period")
+    at = ranged.withColumn("_lag", F.lag("period").over(within)).join(F.broadcast(before), "_bucket", "left")
+    previous = F.coalesce("_lag", "_before")
+    return at.select(F.col("period"), previous.alias("previous")).filter("previous is not null").withColumn(
+        "missing", _periods_between(F.col("previous"), F.col("period"), period) - 1).filter("missing > 0").select(
+        _periods_later(F.col("previous"), F.lit(1), period).alias("gap_start"),
+        _periods_later(F.col("period"), F.lit(-1), period).alias("gap_end"), "missing")
+
+
 def date_gaps(df: DataFrame, column: str, period: str = "DAY") -> DataFrame:
-    """Periods between the first and last that hold no row."""
-    seen = period_counts(df, column, period)
-    step = F.expr(f"INTERVAL 1 {period}")
-    every = seen.agg(F.min("period").alias("a"), F.max("period").alias("b")).filter("a is not null").select(
-        F.explode(F.sequence("a", "b", step)).alias("period"))
-    return every.join(seen, "period", "left_anti")
+    """Periods between the first and last that hold no row, one by one; a long gap is unfolded in parts."""
+    spans = date_gap_spans(df, column, period)
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("missing") - 1, F.lit(PERIODS_AT_ONCE).cast("bigint"))
+    parts = spans.withColumn("_part", F.explode(starts))
+    last = F.least(F.col("_part") + PERIODS_AT_ONCE, F.col("missing")) - 1
+    return parts.withColumn("_nth", F.explode(F.sequence("_part", last))).select(
+        _periods_later(F.col("gap_start"), F.col("_nth"), period).alias("period"))
 
 
 def frequency_change(baseline: DataFrame, current: DataFrame, column: str, unit: str = "DAYOFWEEK") -> DataFrame:

@@ -12,7 +12,7 @@ from plumbline.params import (
 )
 from plumbline.plans import workflows
 from plumbline.plans.catalogue.aggregates import _PII, risk_points_sql
-from plumbline.plans.catalogue.distances import BOTH, _KS_P, _PAIRS, _changed, _ks_sql, _sides
+from plumbline.plans.catalogue.distances import BOTH, _KS_P, _changed, _ks_sql, _sides
 from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
 
 
@@ -184,13 +184,23 @@ def _(spark, d):
     return privacy.risk(table(spark, d, "documents"), "doc_id").issue_summary.filter("dimension = 'pii_type'")
 
 
+def _measures_sql(c: str) -> str:
+    """PSI and Jensen-Shannon distance of one column's texts in both tables."""
+    return f"""
+      (WITH n AS (SELECT v, sum(b) AS b, sum(c) AS c FROM (
+          SELECT CAST({c} AS VARCHAR) AS v, 1 AS b, 0 AS c FROM events_base WHERE {c} IS NOT NULL
+          UNION ALL SELECT CAST({c} AS VARCHAR), 0, 1 FROM events_cur WHERE {c} IS NOT NULL) GROUP BY 1),
+        s AS (SELECT b / sum(b) OVER () AS p, c / sum(c) OVER () AS q FROM n),
+        m AS (SELECT round(sum((greatest(q, CASE WHEN q = 0 THEN 0.0001 ELSE 0 END) - greatest(p, CASE WHEN p = 0 THEN 0.0001 ELSE 0 END))
+              * ln(greatest(q, CASE WHEN q = 0 THEN 0.0001 ELSE 0 END) / greatest(p, CASE WHEN p = 0 THEN 0.0001 ELSE 0 END))), 6) AS psi,
+            round(sqrt(0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END)), 6) AS js FROM s)
+      SELECT '{c}' AS "column", 'categorical' AS kind, 'psi' AS statistic, psi AS value, psi > 0.1 AS drift_detected,
+             CASE WHEN psi > 0.25 THEN 'critical' WHEN psi > 0.1 THEN 'warning' END AS severity FROM m
+      UNION ALL SELECT '{c}', 'categorical', 'js_distance', js, NULL, NULL FROM m)"""
+
+
 _DRIFT_SQL = (
-    _PAIRS + """, measures AS (SELECT round(sum((greatest(q, CASE WHEN q = 0 THEN 0.0001 ELSE 0 END) - greatest(p, CASE WHEN p = 0 THEN 0.0001 ELSE 0 END))
-        * ln(greatest(q, CASE WHEN q = 0 THEN 0.0001 ELSE 0 END) / greatest(p, CASE WHEN p = 0 THEN 0.0001 ELSE 0 END))), 6) AS psi,
-      round(sqrt(0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END)), 6) AS js FROM shares)
-    SELECT 'props' AS "column", 'dropped' AS kind, 'schema' AS statistic, NULL::DOUBLE AS value, true AS drift_detected, 'critical' AS severity
-    UNION ALL SELECT 'event_type', 'categorical', 'psi', psi, psi > 0.1, CASE WHEN psi > 0.25 THEN 'critical' WHEN psi > 0.1 THEN 'warning' END FROM measures
-    UNION ALL SELECT 'event_type', 'categorical', 'js_distance', js, NULL, NULL FROM measures UNION ALL """
+    " UNION ALL ".join(_measures_sql(c) for c in ("event_type", "ts", "props")) + " UNION ALL "
     + _ks_sql(["event_id", "user_id", "value"], "events_base", "events_cur",
               "'$c', 'numeric', 'ks', round(d, 6), p < 0.05, CASE WHEN p < 0.05 THEN 'critical' END").replace(
         "FROM (\n          SELECT max(abs(cb", "FROM (SELECT d, (" + _KS_P.split("AS \"column\", ")[1].replace(" AS p_value", "") + ") AS p FROM (\n          SELECT max(abs(cb").replace(
@@ -200,14 +210,14 @@ _DRIFT_SQL = (
 @query("c4_drift_table", _DRIFT_SQL, BOTH)
 def _(spark, d):
     base, cur = _sides(spark, d)
-    found = drift.drift_table(base.drop("ts"), cur.drop("ts", "props"), DriftParams(p_value_method="asymptotic"))
+    found = drift.drift_table(base, cur, DriftParams(p_value_method="asymptotic"))
     return rounded(found.drop("p_value"))
 
 
 @query("c4_drift_status", "SELECT 'table' AS dataset, CASE WHEN (SELECT count(*) FROM events_cur) > 0 THEN 'Needs Review' ELSE 'Ready' END AS status", BOTH)
 def _(spark, d):
     base, cur = _sides(spark, d)
-    return drift.detect_drift(base.drop("ts", "props"), cur.drop("ts", "props"), ["event_id"]).status
+    return drift.detect_drift(base, cur, ["event_id"]).status
 
 
 _NEW_ROWS = """SELECT '$c' AS key, count(*) AS count FROM events_cur WHERE $c IS NOT NULL AND CAST($c AS VARCHAR) NOT IN (
@@ -215,14 +225,15 @@ _NEW_ROWS = """SELECT '$c' AS key, count(*) AS count FROM events_cur WHERE $c IS
 
 
 @query("c4_drift_issue_summary", """
-    WITH m AS (SELECT avg(event_id) AS em, stddev_samp(event_id) AS es, avg(value) AS vm, stddev_samp(value) AS vs FROM events_base)
+    WITH m AS (SELECT avg(event_id) AS em, stddev_samp(event_id) AS es, avg(value) AS vm, stddev_samp(value) AS vs,
+                      avg(user_id) AS um, stddev_samp(user_id) AS us FROM events_base)
     SELECT 'event_id' AS key, count(*) AS count FROM events_cur, m WHERE abs((event_id - em) / es) > 2
-    UNION ALL SELECT 'value', count(*) FROM events_cur, m WHERE abs((value - vm) / vs) > 2 UNION ALL """
+    UNION ALL SELECT 'value', count(*) FROM events_cur, m WHERE abs((value - vm) / vs) > 2
+    UNION ALL SELECT 'user_id', count(*) FROM events_cur, m WHERE abs((user_id - um) / us) > 2 HAVING count(*) > 0 UNION ALL """
     + union_sql(["ts", "event_type", "props"], _NEW_ROWS), BOTH)
 def _(spark, d):
     base, cur = _sides(spark, d)
-    # The user ids do not drift; all other columns do.
-    found = drift.detect_drift(base.drop("user_id"), cur.drop("user_id"), ["event_id"])
+    found = drift.detect_drift(base, cur, ["event_id"])
     return found.issue_summary.filter("dimension = 'column'").select("key", "count")
 
 
@@ -353,15 +364,15 @@ def _(spark, d):
 
 
 _AUTO_FILL = """
-    SELECT o_orderkey, o_custkey, o_orderstatus, round(coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM orders_nulls)), 4) AS o_totalprice,
+    SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, round(coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM orders_nulls)), 4) AS o_totalprice,
            coalesce(o_orderpriority, (SELECT o_orderpriority FROM orders_nulls WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderpriority
     FROM orders_nulls"""
 
 
 @query("c8_filled_table", _AUTO_FILL, ["orders_nulls"])
 def _(spark, d):
-    result = nulls.handle_nulls(view(spark, d, "orders_nulls").drop("o_orderdate"), "o_orderkey", NullParams(auto=True))
-    return rounded(result.table, 4)
+    result = nulls.handle_nulls(view(spark, d, "orders_nulls"), "o_orderkey", NullParams(auto=True))
+    return rounded(result.table.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")), 4)
 
 
 @query("c8_actions", """
@@ -398,20 +409,21 @@ def _(spark, d):
     return result.scores.filter("component = 'overall'").select("score", "status")
 
 
+# All numeric columns of the table with their fences, and the rows within all of them.
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 _FENCED = """
-    WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b, count(*) AS n FROM lineitem_outliers),
-         k AS (SELECT count(*) AS kept FROM lineitem_outliers, q WHERE l_extendedprice BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) """
-
-
-def _priced(spark, d):
-    return view(spark, d, "lineitem_outliers").selectExpr(
-        "CAST(l_orderkey AS STRING) AS l_orderkey", "CAST(l_linenumber AS STRING) AS l_linenumber", "CAST(l_partkey AS STRING) AS l_partkey", "l_extendedprice")
+    WITH q AS (SELECT count(*) AS n, """ + ", ".join(
+    f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in _NUMBERS) + """ FROM lineitem_outliers),
+         i AS (SELECT """ + ", ".join(f"{c} BETWEEN a_{c} - 1.5 * (b_{c} - a_{c}) AND b_{c} + 1.5 * (b_{c} - a_{c}) AS {c}" for c in _NUMBERS) + """
+               FROM lineitem_outliers, q),
+         k AS (SELECT count(*) FILTER (WHERE """ + " AND ".join(_NUMBERS) + ") AS kept, " + " + ".join(
+    f"count(*) FILTER (WHERE NOT {c})" for c in _NUMBERS) + """ AS cells FROM i) """
 
 
 @query("c9_outlier_score", _FENCED + """
-    SELECT round_even(50 + 30.0 * kept / n + 20, 1)::DOUBLE AS score, 'Fully Cleaned' AS status, (n - kept)::DOUBLE AS found FROM q, k""", ["lineitem_outliers"])
+    SELECT round_even(50 + 30.0 * kept / n + 20, 1)::DOUBLE AS score, 'Fully Cleaned' AS status, cells::DOUBLE AS found FROM q, k""", ["lineitem_outliers"])
 def _(spark, d):
-    scores = outliers.handle_outliers(_priced(spark, d), ["l_orderkey", "l_linenumber", "l_partkey"]).scores
+    scores = outliers.handle_outliers(view(spark, d, "lineitem_outliers"), ["l_orderkey", "l_linenumber", "l_partkey"]).scores
     return scores.agg(
         F.max(F.when(F.col("component") == "overall", F.col("score"))).alias("score"), F.max("status").alias("status"),
         F.max(F.when(F.col("component") == "found", F.col("score"))).alias("found"))
@@ -421,14 +433,14 @@ def _(spark, d):
     SELECT 'critical' AS severity, 'low_cleaning_score' AS type FROM q, k WHERE 50 + 30.0 * kept / n + 20 < 100""", ["lineitem_outliers"])
 def _(spark, d):
     p = OutlierParams(excellent_threshold=100.5, good_threshold=100)
-    return outliers.handle_outliers(_priced(spark, d), ["l_orderkey", "l_linenumber", "l_partkey"], p).findings.select("severity", "type")
+    return outliers.handle_outliers(view(spark, d, "lineitem_outliers"), ["l_orderkey", "l_linenumber", "l_partkey"], p).findings.select("severity", "type")
 
 
-@query("c9_outlier_actions", _FENCED + """
-    SELECT 'l_extendedprice' AS "column", 'impute_mean' AS strategy, n - kept AS cells_changed FROM q, k""", ["lineitem_outliers"])
+@query("c9_outlier_actions", _FENCED + union_sql(_NUMBERS, """
+    SELECT '$c' AS "column", 'impute_mean' AS strategy, count(*) AS cells_changed FROM i WHERE NOT $c HAVING count(*) > 0"""), ["lineitem_outliers"])
 def _(spark, d):
     p = OutlierParams(strategy="impute_mean")
-    result = outliers.handle_outliers(_priced(spark, d), ["l_orderkey", "l_linenumber", "l_partkey"], p)
+    result = outliers.handle_outliers(view(spark, d, "lineitem_outliers"), ["l_orderkey", "l_linenumber", "l_partkey"], p)
     return result.actions.select("column", "strategy", "cells_changed")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import drift, frequencies, privacy, schema_drift
 from plumbline.operators.facts import column_facts, local_facts
+from plumbline.operators.scores import union_all
 from plumbline.plans.catalogue.aggregates import risk_points_sql
 from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
 
@@ -232,15 +233,6 @@ def _(spark, d):
 
 
 @query("t11_hour_gaps", """
-    WITH e AS (SELECT date_trunc('hour', ts) AS h FROM events_base WHERE event_id % 5 = 0)
-    SELECT strftime(h, '%Y-%m-%d %H:%M') AS period FROM (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM e)
-    WHERE h NOT IN (SELECT h FROM e)""", ["events_base"])
-def _(spark, d):
-    found = drift.date_gaps(view(spark, d, "events_base").filter("event_id % 5 = 0"), "ts", "HOUR")
-    return found.select(F.date_format("period", "yyyy-MM-dd HH:mm").alias("period"))
-
-
-@query("t11_hour_gaps_all_rows", """
     WITH e AS (SELECT date_trunc('hour', ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 20 DAY ELSE INTERVAL 0 DAY END) AS h FROM events_base)
     SELECT strftime(h, '%Y-%m-%d %H:%M') AS period FROM (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM e)
     WHERE h NOT IN (SELECT h FROM e)""", ["events_base"])
@@ -251,6 +243,26 @@ def _(spark, d):
     return found.select(F.date_format("period", "yyyy-MM-dd HH:mm").alias("period"))
 
 
+_SPANS = " UNION ALL ".join(f"""
+    SELECT '{unit}' AS unit, strftime(b + INTERVAL 1 {unit}, '%Y-%m-%d %H:%M:%S') AS gap_start,
+           strftime(p - INTERVAL 1 {unit}, '%Y-%m-%d %H:%M:%S') AS gap_end, CAST(date_diff('{unit}', b, p) - 1 AS BIGINT) AS missing
+    FROM (SELECT p, lag(p) OVER (ORDER BY p) AS b FROM (SELECT DISTINCT CAST(date_trunc('{unit}', ts) AS TIMESTAMP) AS p FROM moved))
+    WHERE date_diff('{unit}', b, p) > 1""" for unit in ("DAY", "HOUR", "SECOND"))
+
+
+@query("t11_gap_intervals", """
+    WITH moved AS (SELECT ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 50 DAY ELSE INTERVAL 0 DAY END AS ts FROM events) """ + _SPANS)
+def _(spark, d):
+    df = table(spark, d, "events").select(
+        F.expr("ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 50 DAY ELSE INTERVAL 0 DAY END").alias("ts"))
+    form = "yyyy-MM-dd HH:mm:ss"
+    return union_all([
+        drift.date_gap_spans(df, "ts", unit).select(
+            F.lit(unit).alias("unit"), F.date_format("gap_start", form).alias("gap_start"),
+            F.date_format("gap_end", form).alias("gap_end"), "missing")
+        for unit in ("DAY", "HOUR", "SECOND")])
+
+
 @query("t12_frequency_change_by_hour", """
     SELECT coalesce(b.slot, c.slot) AS slot, round(coalesce(b.m, 0), 6) AS baseline_mean, round(coalesce(c.m, 0), 6) AS current_mean,
            CASE WHEN coalesce(c.m, 0) > coalesce(b.m, 0) THEN 'increase' WHEN coalesce(c.m, 0) < coalesce(b.m, 0) THEN 'decrease' ELSE 'none' END AS direction

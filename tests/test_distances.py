@@ -159,3 +159,55 @@ def test_one_p_value_formula_for_all_sizes(spark):
     d = spark.createDataFrame([(0.018, 10_000, 10_000), (0.018, 10_001, 10_000)], "ks_statistic double, n1 bigint, n2 bigint")
     small, large = (r["p_value"] for r in drift.with_ks_p_value(d).orderBy("n1").collect())
     assert small == pytest.approx(large, abs=1e-4)
+
+
+def test_ks_counts_few_values_one_by_one(spark):
+    """A shifted column: the bounds leave under a twentieth of the rows to count, and the statistic is exact."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=40_000), rng.normal(0.3, 1.1, size=30_000)
+    b[:6_000] = 1.25  # a value with a fifth of the rows
+    base = spark.createDataFrame([(float(x),) for x in a], "x double")
+    cur = spark.createDataFrame([(float(x),) for x in b], "x double")
+    found = drift.ks_statistics(base, cur, ["x"]).first()
+    grid = np.sort(np.concatenate([a, b]))
+    wanted = np.abs(np.searchsorted(np.sort(a), grid, "right") / len(a) - np.searchsorted(np.sort(b), grid, "right") / len(b)).max()
+    assert found["ks_statistic"] == pytest.approx(wanted, abs=1e-12)
+    work = drift.ks_work(base, cur, ["x"]).first()
+    assert work["rows"] == 70_000 and work["rows_counted"] < 3_500
+
+
+def test_ks_without_values_on_a_side(spark):
+    base = spark.createDataFrame([(1.0, None), (2.0, None)], "x double, y double")
+    cur = spark.createDataFrame([(1.0, 5.0), (None, None)], "x double, y double")
+    found = {r["column"]: (r["n1"], r["n2"], r["ks_statistic"]) for r in drift.ks_statistics(base, cur, ["x", "y"]).collect()}
+    assert found == {"x": (2, 1, 0.5)}
+    assert drift.ks_statistics(base.limit(0), cur, ["x"]).collect() == []
+
+
+@pytest.mark.parametrize("unit, texts, wanted", [
+    ("DAY", ["2024-01-01", "2024-01-01 09:00:00", "2024-01-04", None, "2024-01-05", "2024-01-07"],
+     [("2024-01-02", "2024-01-03", 2), ("2024-01-06", "2024-01-06", 1)]),
+    ("MONTH", ["2023-11-20", "2024-03-02", "2024-04-30"], [("2023-12-01", "2024-02-01", 3)]),
+    ("QUARTER", ["2023-01-20", "2024-01-02"], [("2023-04-01", "2023-10-01", 3)]),
+    ("YEAR", ["1999-01-20", "2002-01-02"], [("2000-01-01", "2001-01-01", 2)]),
+    ("WEEK", ["2024-01-01", "2024-01-24"], [("2024-01-08", "2024-01-15", 2)]),
+    ("HOUR", ["2024-01-01 00:10:00", "2024-01-01 03:00:00"], [("2024-01-01 01:00:00", "2024-01-01 02:00:00", 2)]),
+    ("SECOND", ["2020-01-01", "2023-03-03 09:46:41"], [("2020-01-01 00:00:01", "2023-03-03 09:46:40", 10**8)]),
+    ("DAY", [None], []), ("DAY", ["2024-01-01"], []),
+])
+def test_gap_spans(spark, unit, texts, wanted):
+    """The last case but two spans a hundred million seconds without a calendar of them."""
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    for buckets in (1, 3):
+        spans = drift.date_gap_spans(df, "t", unit, buckets)
+        found = sorted((str(r["gap_start"]), str(r["gap_end"]), r["missing"]) for r in spans.collect())
+        assert found == sorted(wanted)
+
+
+def test_long_gaps_are_unfolded_in_parts(spark):
+    df = spark.createDataFrame([("2024-01-01",), ("2024-01-02",), ("2024-01-03",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    gaps = drift.date_gaps(df, "t", "SECOND")
+    found = gaps.agg(F.count("*").alias("n"), F.countDistinct("period").alias("d"), F.min("period").cast("string").alias("a"),
+                     F.max("period").cast("string").alias("b")).first()
+    assert tuple(found) == (2 * 86_399, 2 * 86_399, "2024-01-01 00:00:01", "2024-01-02 23:59:59")
