@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from plumbline.functions import stats
 from plumbline.operators.layout import LONG_TEXT, melt
 from plumbline.operators.scores import union_all
-from plumbline.sources.state import as_local
+from plumbline.sources.state import as_local, durable
+
+# Values per column that the summary of frequent values tracks, and buckets that the other values are counted in.
+TRACKED = 4_096
+BUCKETS = 65_536
 
 
 def bounded_keys(long: DataFrame) -> DataFrame:
@@ -88,6 +92,60 @@ def top_values(counts: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Long form (column, value, digest, key, bucket): the key is a value of bounded size, the bucket a hash of it."""
+    long = bounded_keys(melt(df, columns).filter(F.col("value").isNotNull()))
+    keyed = long.withColumn("key", F.concat("value", F.lit("\u0000"), F.coalesce("digest", F.lit(""))))
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+
+
+def _heavy(keyed: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, their exact counts, open buckets) for the n most frequent values per column.
+
+    A mergeable summary names candidates. One pass then counts the candidates exactly and all other rows by bucket. A
+    value that is no candidate occurs at most as often as its bucket; so only buckets that reach the n-th candidate's
+    count can hold one of the n. At most TRACKED and BUCKETS rows per column are shuffled by a task, whatever the number
+    of distinct values.
+    """
+    summary = keyed.groupBy("column").agg(F.expr(f"approx_top_k(key, {max(n, TRACKED // 4)}, {TRACKED})").alias("top"))
+    candidates = as_local(summary.select("column", F.explode("top").alias("x")).select("column", F.col("x.item").alias("key")))
+    named = F.broadcast(candidates.withColumn("candidate", F.lit(True)))
+    tagged = keyed.join(named, ["column", "key"], "left")
+    found = F.col("candidate").isNotNull()
+    counts = durable(tagged.groupBy(
+        "column", F.when(found, F.col("key")).alias("key"), F.when(~found, F.col("bucket")).alias("bucket")
+    ).agg(F.count("*").alias("count")))
+    exact = counts.filter("key is not null").select("column", "key", "count")
+    order = Window.partitionBy("column").orderBy(F.desc("count"))
+    bars = exact.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") == n).select("column", F.col("count").alias("bar"))
+    rest = counts.filter("key is null").join(F.broadcast(bars), "column", "left")
+    return candidates, exact, rest.filter(F.col("count") >= F.coalesce("bar", F.lit(0))).select("column", "bucket")
+
+
+def frequent_values(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
+    """(column, rank, value, count): ``top_values`` of the whole columns, exact, for columns with many distinct values.
+
+    Only values in buckets that may hold one of the n are counted one by one. In a column whose values are almost all
+    different that is every value.
+    """
+    keyed = _keyed(df, columns)
+    candidates, exact, open_buckets = _heavy(keyed, n)
+    open_buckets = F.broadcast(open_buckets)  # at most BUCKETS rows per column
+    others = keyed.join(open_buckets, ["column", "bucket"], "left_semi").join(F.broadcast(candidates), ["column", "key"], "left_anti")
+    counts = exact.unionByName(others.groupBy("column", "key").agg(F.count("*").alias("count")))
+    parts = F.split("key", "\u0000", -1)
+    counts = counts.withColumns({"digest": F.nullif(F.element_at(parts, -1), F.lit("")), "start": F.expr("substring(key, 1, length(key) - 1 - length(element_at(split(key, '\\u0000', -1), -1)))")})
+    # Long texts with an equal start are put in order when they are whole.
+    by_start = Window.partitionBy("column").orderBy(F.desc("count"), "start")
+    first = durable(counts.withColumn("rank", F.rank().over(by_start)).filter(F.col("rank") <= n).drop("rank", "key"))
+    texts = melt(df, columns).filter(F.length("value") > LONG_TEXT).withColumn("digest", F.sha2("value", 256))
+    wanted = first.filter("digest is not null").select("column", "digest")
+    whole = texts.join(wanted, ["column", "digest"], "left_semi").groupBy("column", "digest").agg(F.any_value("value").alias("whole"))
+    named = first.join(whole, ["column", "digest"], "left").withColumn("value", F.coalesce("whole", "start"))
+    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+    return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("column", "rank", "value", "count")
+
+
 def spread_and_top(counts: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
     """``distribution`` and ``top_values`` of ``digest_counts`` from one query, so that the counts are shuffled once.
 

@@ -130,31 +130,45 @@ def lookup(
     keys, are looked up by broadcast; the others are shuffled, where Spark still
     turns to a broadcast if the right side is small in bytes.  So no task gets
     all rows of a frequent key, however many there are.  ``hot_by`` names a right
-    column that already holds the key frequencies.  The right side is written
-    once (unless ``stored``).  Left rows without a key never match and are not
-    shuffled.
+    column that already holds the key frequencies; without it the left side is
+    read once more to count them.  The right side is written once (unless
+    ``stored``).  Left rows without a key never match.
     """
     right = right if stored else durable(right)
     if hot_by:
         ranked = right.select(on, F.col(hot_by).alias("_frequency"))
     else:
         ranked = left.groupBy(on).agg(F.count("*").alias("_frequency"))
-    ranked = ranked.filter(col(on).isNotNull())
-    hot = _hot_keys(ranked, on)
-    keyed = left.filter(col(on).isNotNull())
-    hot_right = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
-    found = keyed.join(F.broadcast(hot), on, "left_semi").join(hot_right, on, how)
-    others = keyed.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
-    found = found.unionByName(others)
-    if how == "left":
-        found = found.unionByName(left.filter(col(on).isNull()), allowMissingColumns=True)
-    return found
-
-
-def _hot_keys(ranked: DataFrame, on: str) -> DataFrame:
-    """Keys with their share of the rows, as literal rows: at most ``HOT_SHARE``."""
-    found = ranked.agg(F.sum("_frequency")).first()[0] or 0
-    return as_local(ranked.filter(F.col("_frequency") * HOT_SHARE >= F.lit(found)).select(on))
+    hot = _hot_keys(ranked.filter(col(on).isNotNull()), on)
+    if not hot:
+        return left.join(right, on, how)
+    if how != "left":
+        left = left.filter(col(on).isNotNull())
+    # The left side is read once: its rows look up the hot keys first, and those that found one, or have no key, take a key of
+    # their own kind to the shuffled join.
+    values = [c for c in right.columns if c != on]
+    is_hot = F.broadcast(small_table(left.sparkSession, [(k,) for k in hot], T.StructType([left.schema[on]])).select(col(on).alias("_key")))
+    hot_right = F.broadcast(right.join(is_hot, col(on) == F.col("_key"), "left_semi").select(
+        col(on).alias("_hot_key"), F.struct(F.lit(True), *[col(c) for c in values]).alias("_hot")))
+    cold_right = right.select(col(on).alias("_cold_key"), F.struct(F.lit(True), *[col(c) for c in values]).alias("_cold"))
+    found = left.join(hot_right, col(on) == F.col("_hot_key"), "left")
+    aside = F.col("_hot_key").isNotNull() | col(on).isNull()
+    spread = F.when(aside, F.rand(7)).otherwise(F.lit(-1.0))
+    found = found.withColumns({"_cold_probe": F.when(~aside, col(on)), "_spread": spread})
+    cold_right = cold_right.withColumn("_even", F.lit(-1.0))
+    found = found.join(cold_right, (F.col("_cold_probe") == F.col("_cold_key")) & (F.col("_spread") == F.col("_even")), "left")
+    if how != "left":
+        found = found.filter(F.col("_hot_key").isNotNull() | F.col("_cold_key").isNotNull())
+    chosen = F.coalesce("_hot", "_cold")
+    kept = [c for c in left.columns if c != on]
+    values = [] if how == "left_semi" else values
+    return found.select(col(on), *[col(c) for c in kept], *[chosen.getField(c).alias(c) for c in values])
+
+
+def _hot_keys(ranked: DataFrame, on: str) -> list:
+    """The keys with their share of the rows: at most ``HOT_SHARE``."""
+    total = ranked.agg(F.sum("_frequency")).first()[0] or 0
+    return [r[0] for r in ranked.filter(F.col("_frequency") * HOT_SHARE >= F.lit(total)).select(col(on)).collect()]
 
 
 def range_buckets(df: DataFrame, order: list[Column], buckets: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from plumbline.operators import duplicates, fills, frequencies, issues, master,
 from plumbline.operators.facts import column_facts, table_counts
 from plumbline.operators.layout import melt_numbers, with_row_id
 from plumbline.operators.scores import side_by_side, union_all
-from plumbline.params import OutlierParams
+from plumbline.params import NullParams, OutlierParams
 from plumbline.plans.catalogue.registry import query, table, union_sql, view
 from plumbline.plans.workflows import over_tables
 from plumbline.sources import readers, writers
@@ -152,6 +152,26 @@ def _(spark, d):
     return document.select(F.inline(rows))
 
 
+class _Written(NamedTuple):
+    orders: DataFrame
+
+
+@query("s7_run_record", union_sql(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderpriority"], """
+    SELECT '$c' AS "column", 'written' AS status, count(*) AS rows, count(*) - count($c) AS nulls FROM orders_nulls"""), ["orders_nulls"])
+def _(spark, d):
+    folder = writers.scratch_folder(spark, "recorded")
+    writers.write_recorded(_Written(view(spark, d, "orders_nulls")), folder, "null_handler", "orders", NullParams())
+    record = spark.read.parquet(f"{folder}/run_record")
+    return record.select("status", "rows", F.explode("nulls").alias("column", "nulls"))
+
+
+@query("s8_report_in_parts", _NULLS_SQL, ["orders_nulls"])
+def _(spark, d):
+    folder = writers.scratch_folder(spark, "report")
+    writers.write_recorded(_null_report(spark, d), folder, "null_handler", "orders", fmt="json")
+    return spark.read.schema("column string, row_count bigint, null_count bigint").json(f"{folder}/column_nulls")
+
+
 _EXTENDED_FENCES = """
     WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b
                FROM lineitem_outliers)"""
@@ -288,15 +308,23 @@ def _(spark, d):
     return with_row_id(table(spark, d, "events"), ["ts", "event_id"]).select("event_id", "row_id")
 
 
-@query("l1_top_values", """
+_TOP_SQL = """
     SELECT "column", CAST(rank AS INTEGER) AS rank, value, count FROM (
       SELECT 'source' AS "column", source AS value, count(*) AS count,
              row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY source
-      UNION ALL SELECT 'text', text, count(*), row_number() OVER (ORDER BY count(*) DESC, text) FROM documents GROUP BY text) WHERE rank <= 10""")
+      UNION ALL SELECT 'text', text, count(*), row_number() OVER (ORDER BY count(*) DESC, text) FROM documents GROUP BY text) WHERE rank <= 10"""
+
+
+@query("l1_top_values", _TOP_SQL)
 def _(spark, d):
     return frequencies.top_values(frequencies.value_counts(table(spark, d, "documents"), ["source", "text"]), 10)
 
 
+@query("l1_frequent_values", _TOP_SQL)
+def _(spark, d):
+    return frequencies.frequent_values(table(spark, d, "documents"), ["source", "text"], 10)
+
+
 @query("l2_reported_issues", """
     SELECT row_id, "column" FROM (
       SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS row_id, 'o_totalprice' AS "column" FROM orders_nulls WHERE o_totalprice IS NULL

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.operators import duplicates, fills, layout, quantiles
+from plumbline.operators import duplicates, fills, frequencies, layout, quantiles
 
 
 def test_digest_tells_rows_apart(spark):
@@ -155,3 +155,38 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path, capsys):
     column_facts(spark.read.parquet(str(tmp_path / "t")), ("range",), ["x"]).explain()
     plan = capsys.readouterr().out
     assert "ReadSchema: struct<x:bigint>" in plan
+
+
+def _exact_top(rows, n):
+    from collections import Counter
+    counts = Counter(v for v in rows if v is not None)
+    return [(v, c) for v, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n]]
+
+
+@pytest.mark.parametrize("kind", ["skewed", "distinct", "long", "few", "ties", "empty"])
+def test_frequent_values_equal_exact_counts(spark, monkeypatch, kind):
+    rng = random.Random(3)
+    rows = {
+        "skewed": [f"v{int(1.01 ** rng.randrange(900))}" for _ in range(6000)] + [f"one{i}" for i in range(3000)],
+        "distinct": [f"d{i}" for i in range(2000)],
+        "long": ["x" * 150 + str(i % 40) for i in range(800)] + ["y" * 150] * 30 + ["x" * 100] * 20,
+        "few": ["a", "b", "a", None],
+        "ties": [f"t{i % 500}" for i in range(5000)] + ["a\x00b", "a\x00b", ""] * 4,
+        "empty": [None, None],
+    }[kind]
+    monkeypatch.setattr(frequencies, "TRACKED", 64)
+    monkeypatch.setattr(frequencies, "BUCKETS", 300)
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(rows)], "c string, i int").repartition(4)
+    found = frequencies.frequent_values(df, ["c"], 7).orderBy("rank").collect()
+    assert [(r["value"], r["count"]) for r in found] == _exact_top(rows, 7)
+    assert [r["rank"] for r in found] == list(range(1, len(found) + 1))
+
+
+@pytest.mark.parametrize("distinct", [3_000, 30_000])
+def test_frequent_values_shuffle_no_rare_values(spark, distinct):
+    """Values far above the rest: no bucket is opened, however many rare values there are."""
+    rows = [f"hot{i % 10}" for i in range(5_000)] + [f"rare{i}" for i in range(distinct)]
+    df = spark.createDataFrame([(v,) for v in rows], "c string").repartition(4)
+    candidates, exact, opened = frequencies._heavy(frequencies._keyed(df, ["c"]), 10)
+    assert opened.count() == 0 and candidates.count() <= frequencies.TRACKED
+    assert {r["count"] for r in exact.collect() if r["key"].startswith("hot")} == {500}

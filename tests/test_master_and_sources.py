@@ -3,14 +3,17 @@
 import datetime as dt
 import json
 import random
+from typing import NamedTuple
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import layout, master
-from plumbline.params import ProfileParams
+from plumbline.params import NullParams, ProfileParams
 from plumbline.plans import workflows
 from plumbline.sources import readers, state, writers
+from plumbline.sources.state import small_table
 
 
 def _union_find(links):
@@ -176,3 +179,31 @@ def test_record_summary(spark):
 def test_durable_tables_have_no_lineage(spark):
     df = state.durable(spark.range(5).withColumn("x", F.col("id") * 2))
     assert df.count() == 5 and spark.sparkContext.getCheckpointDir()
+
+
+class _Tables(NamedTuple):
+    first: DataFrame
+    second: DataFrame
+    note: str = "not a table"
+
+
+def test_results_are_written_with_their_record(spark, tmp_path):
+    first = small_table(spark, [(1, "a"), (2, None), (None, None)], "id int, `odd.name` string")
+    folder = str(tmp_path / "out")
+    writers.write_recorded(_Tables(first, first.limit(0)), folder, "operator", "orders", NullParams(auto=True))
+    record = {r["table"]: r for r in spark.read.parquet(f"{folder}/run_record").collect()}
+    assert record["first"]["rows"] == 3 and record["first"]["nulls"] == {"id": 1, "odd.name": 2}
+    assert record["second"]["rows"] == 0 and record["first"]["parameters"]["auto"] == "True"
+    assert {r["status"] for r in record.values()} == {"written"} and all(r["seconds"] > 0 for r in record.values())
+    assert spark.read.parquet(f"{folder}/first").count() == 3
+
+
+def test_a_failed_table_leaves_its_record(spark, tmp_path):
+    good = small_table(spark, [(1,)], "id int")
+    bad = good.select(F.raise_error(F.lit("broken")).alias("x"))
+    folder = str(tmp_path / "out")
+    with pytest.raises(Exception, match="broken"):
+        writers.write_recorded(_Tables(good, bad), folder, "operator", "orders", fmt="json")
+    record = {r["table"]: r for r in spark.read.parquet(f"{folder}/run_record").collect()}
+    assert record["first"]["status"] == "written" and record["second"]["status"] == "failed"
+    assert "broken" in record["second"]["error"]
