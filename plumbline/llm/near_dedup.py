@@ -10,8 +10,10 @@ member. What this leaves in different components is compared in blocks of bounde
 sets' SAMPLE smallest hashes, which are the whole set of most texts. Only pairs between components that may reach the limit
 leave a block, and each pair is looked at in the first of its common buckets only. So no bucket is cut short and no list of all pairs within a bucket is made.
 
-Shingles are compared by a 64-bit hash. With 20 bands of 5 registers, a pair at 0.85 is missed with probability
-(1 - 0.85**5)**20 = 8e-6, a more similar one more rarely.
+Shingles are compared by a 64-bit hash. With 20 bands of 5 registers, a pair at 0.85 shares no bucket with probability
+(1 - 0.85**5)**20 = 8e-6, a more similar one more rarely. A pair with a leader must also pass the registers' estimate (0.13 of
+slack, over four of its standard deviations: 2e-5 at 0.85); any other pair the estimate and, beyond 256 shingles, the sample (0.09, four
+deviations: 3e-5). Together at most 6e-5 for a pair exactly at the limit; other links of its component heal most of these.
 
 Defined cases. A null or empty text, or one without words, has an empty set and is linked with nothing. Rows that
 repeat a doc_id with an equal text are marked alike; with different texts each row follows its own text, and classes that
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.components import components
-from plumbline.llm.support import attach, codes_of, columns_of, map_steps, mixed, stored, unused, words_of
+from plumbline.llm.support import attach, codes_of, columns_of, join_spread, map_steps, mixed, stored, unused, words_of
 
 REGISTERS = 160
 # SetSketch parameters: base and rate of the scale, and its largest value.
@@ -216,17 +218,20 @@ def _confirmed(limits: Limits):
 
 def confirm(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
     """The pairs (a, b) whose full sets reach the limit. docs: node, text."""
+    pairs = stored(pairs, "near-pairs")
     used = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-used")
     texts = docs.join(used, "node", "left_semi")
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    # A leader of a large bucket stands in many pairs.
+    two = join_spread(one, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", F.col("b"), pairs)
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(limits), "a bigint, b bigint").distinct()
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def side(name: str) -> DataFrame:
         return classes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a")
+    pairs = stored(pairs, "near-stars-asked")
+    return join_spread(pairs, side("a"), "a", F.col("b"), pairs).join(side("b"), "b")
 
 
 def _between(limits: Limits):

@@ -73,6 +73,27 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return out.select(*rows.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in values])
 
 
+def join_spread(rows: DataFrame, values: DataFrame, key: str, spread: Column, counted: DataFrame) -> DataFrame:
+    """Inner join of wide ``values`` (one or few rows per ``key``) to ``rows``, safe for hot keys without a broadcast of values.
+
+    A key with at least 1/1000 of the rows has its values copied once for each such share, and its rows are dealt out to the
+    copies; so there are at most 2000 more of them. ``counted``: the keys of the rows, as a stored table.
+    """
+    share = max(1, counted.count() // HOT_SHARE)
+    hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share).select(
+        F.col(key).alias("_key"), F.ceil(F.col("_n") / share).cast("int").alias("_copies"))
+    # At most HOT_SHARE keys.
+    hot = F.broadcast(hot)
+
+    def with_copies(df: DataFrame) -> DataFrame:
+        found = df.join(hot, F.col(key) == F.col("_key"), "left")
+        return found.withColumn("_copies", F.coalesce("_copies", F.lit(1))).drop("_key")
+
+    dealt = with_copies(rows).withColumn("_copy", F.pmod(F.xxhash64(spread), F.col("_copies")).cast("int")).drop("_copies")
+    copied = with_copies(values).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    return dealt.join(copied, [key, "_copy"]).drop("_copy")
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about STEP_BYTES of text, or one longer text."""
     for batch in batches:

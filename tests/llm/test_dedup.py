@@ -277,3 +277,29 @@ def test_words_of_all_white_space():
     from plumbline.llm.support import words_of
     flat, counts = words_of(pa.array(["a\x0bb\x0cc d\x1ce", None, "", " x y "]))
     assert flat.to_pylist() == ["a", "b", "c", "d\x1ce", "x y"] and counts.tolist() == [4, 0, 0, 1]
+
+
+def test_join_spread_deals_out_hot_keys(spark, monkeypatch):
+    """One key with half of the rows: its values are copied and no task of the join gets all of its rows."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import support
+    rows = [(0 if i % 2 else i, i) for i in range(4000)]
+    pairs = small_table(spark, rows, "a bigint, b bigint").repartition(4)
+    values = small_table(spark, [(i, f"text {i}") for i in range(4000)], "a bigint, t string")
+    monkeypatch.setattr(support, "HOT_SHARE", 20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        done = support.join_spread(pairs, values, "a", F.col("b"), pairs)
+        sizes = done.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert max(r["count"] for r in sizes) < 0.25 * 4000
+        found = done.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.a, r.b, r.t) for r in found) == sorted((a, b, f"text {a}") for a, b in rows)
