@@ -1,20 +1,25 @@
-"""Line deduplication: every repeated run of lines, and the rarer content-defined chunks.
+"""Line deduplication by content-defined chunks, and by the runs of lines at their edges.
 
-``deduplicate_runs`` nominates every window of two neighbouring lines of which one has a word, and, where two or more lines without
-a word follow one another, the window from the line with a word before them to the one after. A window that stands at an
-earlier place of the table, by doc_id and line, loses its lines, unless it overlaps its first occurrence in the same text. So a
-run of two or more lines that stands earlier loses all its lines with a word, however it is surrounded. Each removed
-line still stands at an earlier place; its neighbours there may have gone as part of another run. Hashes only nominate: a window
-goes only if all windows of its 128-bit hash are equal byte by byte (with two texts of one hash, both would stay).
-
-``deduplicate_lines`` takes whole chunks only, and so leaves most short runs and the ends of longer ones. A text's lines are hashed, and a rolling hash over neighbouring line hashes chooses where a chunk ends. So the same run of
+A text's lines are hashed, and a rolling hash over neighbouring line hashes chooses where a chunk ends. So the same run of
 lines is cut at the same places wherever it stands, also after lines were put in before it. A chunk of several lines that
 is found more than once in the whole table stays where it comes first, by doc_id and place; elsewhere it is removed.
-Hashes only nominate chunks: what is removed was equal byte by byte.
-
 A boundary follows a line if the rolling hash over it and the line before is divisible by DIVISOR, and only if the chunk has
 two lines or more by then; what a text's last boundary leaves is its last chunk.
 
+``deduplicate_lines`` stops there: it takes whole chunks. A repeated run that begins or ends inside a chunk, or is shorter than one,
+loses only the chunks that lie in it.
+
+``deduplicate_runs`` goes on from the chunks to the edges of the runs. Outside the chunks that repeat an earlier one, and
+across their edges, it nominates every window of two neighbouring lines of which one has a word, and, where two or more lines without
+a word follow one another, the window from the line with a word before them to the one after. A window that stands at an
+earlier place of the table loses its lines, unless it overlaps its first occurrence in the same text. So a
+run of two or more lines that stands earlier loses all its lines with a word, however it is surrounded, and copies of long passages
+cost one key a chunk, not one a line. Each removed line still stands at an earlier place; its neighbours there may have gone as part
+of another run. A window inside a repeated chunk has its first place outside of one, so skipping it changes no decision.
+
+Hashes only nominate: a chunk or window goes only if all of its 128-bit hash are equal byte by byte (with two texts of one
+hash, both would stay).
+
 Defined cases. A null text has no lines and stays null. Single lines, and chunks or windows without a word, are never removed. Rows that
 repeat a doc_id with an equal text are one document and are cut alike. A row without a doc_id comes before all others. A
 text that loses all its lines becomes empty. An empty table gives an empty result. Other columns are kept as they are.
@@ -22,13 +27,12 @@ text that loses all its lines becomes empty. An empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.support import attach, map_steps, stored, unused
@@ -36,10 +40,16 @@ from plumbline.llm.support import attach, map_steps, stored, unused
 DIVISOR = 3
 MIN_LINES = 2
 
+# (first, past last line) of a piece, and whether its bytes go with its hash.
+Choice = Callable[[list[str], list[dict] | None], Iterable[tuple[int, int, bool]]]
+
 
 def chunks(text: str, divisor: int = DIVISOR) -> list[tuple[int, int]]:
     """The (first, past last) line numbers of a text's chunks."""
-    lines = text.split("\n")
+    return _chunks(text.split("\n"), divisor)
+
+
+def _chunks(lines: list[str], divisor: int) -> list[tuple[int, int]]:
     if len(lines) < MIN_LINES:
         return [(0, len(lines))]
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
@@ -55,165 +65,158 @@ def chunks(text: str, divisor: int = DIVISOR) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(text: str, divisor: int) -> list[tuple[int, int, str]]:
-    """(chunk number, lines, bytes) of the chunks that may be removed."""
-    lines = text.split("\n")
-    out = []
-    for k, (a, b) in enumerate(chunks(text, divisor)):
-        if b - a >= MIN_LINES:
-            piece = "\n".join(lines[a:b])
-            if not piece.isspace() and piece:
-                out.append((k, b - a, piece))
-    return out
-
-
-def _rest(text: str, gone: list[int], divisor: int) -> tuple[str, int]:
-    """The text without the chunks of the given numbers, and how many lines went."""
-    lines, away = text.split("\n"), set(gone)
-    kept, n = [], 0
-    for k, (a, b) in enumerate(chunks(text, divisor)):
-        if k in away:
-            n += b - a
-        else:
-            kept.extend(lines[a:b])
-    return "\n".join(kept), n
+def windows(lines: list[str]) -> list[tuple[int, int]]:
+    """The (first, past last) line numbers of the shortest runs that are compared."""
+    word = [bool(x) and not x.isspace() for x in lines]
+    out = [(a, a + MIN_LINES) for a in range(len(lines) - MIN_LINES + 1) if any(word[a:a + MIN_LINES])]
+    full = [k for k, w in enumerate(word) if w]
+    return out + [(a, b + 1) for a, b in zip(full, full[1:]) if b - a > MIN_LINES]
 
 
-def _places(divisor: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, numbers, keys = [], [], []
-        for i, text in enumerate(batch.column("_text").to_pylist()):
-            for k, _, piece in _pieces(text, divisor):
-                rows.append(i)
-                numbers.append(k)
-                keys.append(xxhash.xxh3_128_digest(piece))
-        at = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("_id").take(at), batch.column("_mark").take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary())],
-            names=["_id", "_mark", "chunk", "key"])
-    return run
+def _all_chunks(divisor: int) -> Choice:
+    """The chunks that may be removed."""
+    def choose(lines: list[str], _) -> Iterable[tuple[int, int, bool]]:
+        for a, b in _chunks(lines, divisor):
+            if b - a >= MIN_LINES and any(x and not x.isspace() for x in lines[a:b]):
+                yield a, b, False
+    return choose
 
 
-def _nominated(divisor: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, numbers, pieces = [], [], []
-        for i, (text, wanted) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("wanted").to_pylist())):
-            for k, _, piece in _pieces(text, divisor):
-                if k in wanted:
-                    rows.append(i)
-                    numbers.append(k)
-                    pieces.append(piece)
-        at = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("_id").take(at), batch.column("_mark").take(at), pa.array(numbers, pa.int32()), pa.array(pieces, pa.string())],
-            names=["_id", "_mark", "chunk", "piece"])
-    return run
+def _nominated(_: list[str], wanted: list[dict] | None) -> Iterable[tuple[int, int, bool]]:
+    """The pieces that were found again, with their bytes."""
+    return [(w["line"], w["line"] + w["span"], True) for w in wanted or []]
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """(_id, _mark, gone): per document, by its id and a hash of its text, the numbers of the chunks to remove."""
-    texts = docs.where(F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_mark"), F.col("text").alias("_text"))
-    place = F.struct("_id", "_mark", "chunk")
-    marks = stored(map_steps(texts, _places(divisor), "_id bigint, _mark bigint, chunk int, key binary", "_text"), "line-chunks")
-    groups = marks.groupBy("key").agg(
-        F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("size")
-    ).where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "size", F.lit(True).alias("again"))
-    wanted = attach(marks, groups, "key", "size", marks.count(), F.struct("_id", "chunk")).where("again")
-    wanted = stored(wanted.groupBy("_id", "_mark").agg(F.collect_set("chunk").alias("wanted")), "line-wanted")
+def _chunks_and_windows(lines: list[str], wanted: list[dict] | None) -> Iterable[tuple[int, int, bool]]:
+    """The nominated chunks with their bytes, and the windows that no later chunk holds whole."""
+    yield from _nominated(lines, wanted)
+    chunk = [-1] * len(lines)
+    for k, w in enumerate(wanted or []):
+        if w["later"]:
+            chunk[w["line"]:w["line"] + w["span"]] = [k] * w["span"]
+    for a, b in windows(lines):
+        if chunk[a] < 0 or chunk[a] != chunk[b - 1]:
+            yield a, b, False
 
-    named = wanted.select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), "wanted")
-    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m"))
-    found = texts.join(named.hint("merge"), same).select("_id", "_mark", "_text", "wanted")
-    pieces = stored(map_steps(found, _nominated(divisor), "_id bigint, _mark bigint, chunk int, piece string", "_text").distinct(), "line-pieces")
-    # Grouping by the piece itself compares bytes.
-    firsts = stored(pieces.groupBy("piece").agg(F.min(place).alias("first")), "line-firsts").withColumnRenamed("piece", "_piece")
-    later = pieces.join(firsts, F.col("piece") == F.col("_piece")).where(~place.eqNullSafe(F.col("first")))
-    return stored(later.groupBy("_id", "_mark").agg(F.collect_set("chunk").alias("gone")), "line-gone")
 
+_PIECE = "_id bigint, _mark bigint, line int, span int, key binary, piece string"
 
-def deduplicate_lines(docs: DataFrame, divisor: int = DIVISOR, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
-    """The table with repeated chunks taken out of ``text``, and two columns with the number of lines and of removed lines.
 
-    Columns of the table that have the names of the two are replaced.
-    """
-    docs = docs.drop(*counts)
-    return _without(docs, repeated_chunks(docs, divisor), lambda text, gone: _rest(text, gone, divisor), counts)
-
-
-def windows(lines: list[str]) -> list[tuple[int, int]]:
-    """The (first, past last) line numbers of the runs that are compared."""
-    word = [bool(x) and not x.isspace() for x in lines]
-    out = [(a, a + MIN_LINES) for a in range(len(lines) - MIN_LINES + 1) if any(word[a:a + MIN_LINES])]
-    full = [k for k, w in enumerate(word) if w]
-    return out + [(a, b + 1) for a, b in zip(full, full[1:]) if b - a > MIN_LINES]
-
-
-_WINDOW = "_id bigint, _mark bigint, line int, span int, key binary"
-
-
-def _windows(wanted: bool):
-    """The windows of each text; if wanted, only those that start at a wanted line, with their bytes."""
+def _pieces(texts: DataFrame, choose: Choice) -> DataFrame:
+    """Hash and, where asked for, bytes of the chosen pieces of each text; ``choose`` is given the lines and the cell of ``wanted``."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, starts, spans, keys, pieces = [], [], [], [], []
-        chosen = batch.column("wanted").to_pylist() if wanted else None
-        for i, text in enumerate(batch.column("_text").to_pylist()):
+        told = batch.column("wanted").to_pylist() if "wanted" in batch.schema.names else [None] * batch.num_rows
+        for i, (text, wanted) in enumerate(zip(batch.column("_text").to_pylist(), told)):
             lines = text.split("\n")
-            at = set(chosen[i]) if wanted else None
-            for a, b in windows(lines):
-                if wanted and a not in at:
-                    continue
+            for a, b, whole in choose(lines, wanted):
                 piece = "\n".join(lines[a:b])
                 rows.append(i)
                 starts.append(a)
                 spans.append(b - a)
                 keys.append(xxhash.xxh3_128_digest(piece))
-                if wanted:
-                    pieces.append(piece)
+                pieces.append(piece if whole else None)
         at = pa.array(rows, pa.int64())
-        columns = [batch.column("_id").take(at), batch.column("_mark").take(at), pa.array(starts, pa.int32()), pa.array(spans, pa.int32()), pa.array(keys, pa.binary())]
-        names = ["_id", "_mark", "line", "span", "key"]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.string())] if wanted else columns, names=[*names, "piece"] if wanted else names)
-    return run
+        return pa.RecordBatch.from_arrays(
+            [batch.column("_id").take(at), batch.column("_mark").take(at), pa.array(starts, pa.int32()), pa.array(spans, pa.int32()),
+             pa.array(keys, pa.binary()), pa.array(pieces, pa.string())],
+            names=["_id", "_mark", "line", "span", "key", "piece"])
+    return map_steps(texts, run, _PIECE, "_text")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(_id, _mark, gone): per document, by its id and a hash of its text, the (line, span) of the windows to remove."""
-    texts = docs.where(F.col("text").isNotNull()).select(
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_mark"), F.col("text").alias("_text"))
-    place = F.struct("_id", "_mark", "line")
-    marks = stored(map_steps(texts, _windows(False), _WINDOW, "_text"), "line-windows")
+
+
+def _place() -> Column:
+    return F.struct("_id", "_mark", "line")
+
+
+def _found_again(marks: DataFrame, name: str) -> DataFrame:
+    """(_id, _mark, wanted): per document the pieces whose hash stands at several places, and whether it stands at an earlier one."""
     groups = marks.groupBy("key").agg(
-        F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("size")
-    ).where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "size", F.lit(True).alias("again"))
-    spread = F.struct("_id", "_mark", "line")
-    wanted = attach(marks, groups, "key", "size", marks.count(), spread).where("again")
-    wanted = stored(wanted.groupBy("_id", "_mark").agg(F.collect_set("line").alias("wanted")), "line-wanted")
+        F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.count(F.lit(1)).alias("size")
+    ).where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "size", "first")
+    found = attach(marks.drop("piece"), groups, "key", "size", marks.count(), _place()).where(F.col("first").isNotNull())
+    later = (~_place().eqNullSafe(F.col("first"))).alias("later")
+    return stored(found.groupBy("_id", "_mark").agg(F.collect_set(F.struct("line", "span", later)).alias("wanted")), name)
 
+
+def _with_wanted(texts: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
     named = wanted.select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), "wanted")
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m"))
-    found = texts.join(named.hint("merge"), same).select("_id", "_mark", "_text", "wanted")
-    pieces = stored(map_steps(found, _windows(True), f"{_WINDOW}, piece string", "_text"), "line-pieces")
+    return texts.join(named.hint("merge"), same, how).select("_id", "_mark", "_text", "wanted")
+
+
+def _later(pieces: DataFrame, name: str) -> DataFrame:
+    """(_id, _mark, line, span) of the pieces that stand at an earlier place, compared by their bytes."""
     # Grouping by the piece itself compares bytes.
-    equal = pieces.groupBy("key", "piece").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"))
+    equal = pieces.groupBy("key", "piece").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("size"))
     firsts = equal.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.sum("size").alias("size"))
-    firsts = stored(firsts.where("texts = 1").select("key", "size", "first"), "line-firsts")
-    placed = attach(pieces.drop("piece"), firsts, "key", "size", pieces.count(), spread).where(F.col("first").isNotNull())
+    firsts = stored(firsts.where("texts = 1").select("key", "size", "first"), name)
+    placed = attach(pieces.drop("piece"), firsts, "key", "size", pieces.count(), _place()).where(F.col("first").isNotNull())
     within = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_mark") == F.col("first._mark"))
-    later = placed.where(~within | (F.col("line") >= F.col("first.line") + F.col("span")))
+    later = ~within | (F.col("line") >= F.col("first.line") + F.col("span"))
+    return placed.where(later).select("_id", "_mark", "line", "span")
+
+
+def _by_document(later: DataFrame) -> DataFrame:
     return stored(later.groupBy("_id", "_mark").agg(F.collect_set(F.struct("line", "span")).alias("gone")), "line-gone")
 
 
-def _rest_of_runs(text: str, gone: list[dict]) -> tuple[str, int]:
-    """The text without the lines of the given windows, and how many lines went."""
+def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """(_id, _mark, gone): per document, by its id and a hash of its text, the (line, span) of the chunks to remove."""
+    texts = _texts(docs)
+    marks = stored(_pieces(texts, _all_chunks(divisor)), "line-chunks")
+    wanted = _found_again(marks, "line-wanted")
+    pieces = stored(_pieces(_with_wanted(texts, wanted, "inner"), _nominated), "line-pieces")
+    return _by_document(_later(pieces, "line-firsts"))
+
+
+def repeated_runs(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """(_id, _mark, gone): per document, by its id and a hash of its text, the (line, span) of the chunks and windows to remove."""
+    texts = _texts(docs)
+    marks = stored(_pieces(texts, _all_chunks(divisor)), "line-chunks")
+    repeated = _found_again(marks, "line-repeated")
+    both = stored(_pieces(_with_wanted(texts, repeated, "left"), _chunks_and_windows), "line-windows")
+    of_chunks = _later(both.where(F.col("piece").isNotNull()), "line-firsts")
+    wanted = _found_again(both.where(F.col("piece").isNull()), "line-wanted")
+    pieces = stored(_pieces(_with_wanted(texts, wanted, "inner"), _nominated), "line-pieces")
+    return _by_document(of_chunks.unionByName(_later(pieces, "line-firsts")))
+
+
+def _rest(text: str, gone: list[dict]) -> tuple[str, int]:
+    """The text without the given pieces, and how many lines went."""
+    lines = text.split("\n")
     away = {k for w in gone for k in range(w["line"], w["line"] + w["span"])}
-    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in away), len(away)
+    return "\n".join(x for k, x in enumerate(lines) if k not in away), len(away)
+
+
+def _rest_of_runs(text: str, gone: list[dict]) -> tuple[str, int]:
+    """The text without the windows that lie in the given pieces, and how many lines went."""
+    lines = text.split("\n")
+    away = set()
+    for w in gone:
+        start = w["line"]
+        for a, b in windows(lines[start:start + w["span"]]):
+            away.update(range(start + a, start + b))
+    return "\n".join(x for k, x in enumerate(lines) if k not in away), len(away)
+
+
+def deduplicate_lines(docs: DataFrame, divisor: int = DIVISOR, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The table with repeated chunks taken out of ``text``, and two columns with the number of lines and of removed lines.
+
+    Columns of the table that have the names of the two are replaced.
+    """
+    docs = docs.drop(*counts)
+    return _without(docs, repeated_chunks(docs, divisor), _rest, counts)
 
 
-def deduplicate_runs(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def deduplicate_runs(docs: DataFrame, divisor: int = DIVISOR, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """The table with repeated runs of lines taken out of ``text``, and two columns as by ``deduplicate_lines``."""
     docs = docs.drop(*counts)
-    return _without(docs, repeated_runs(docs), _rest_of_runs, counts)
+    return _without(docs, repeated_runs(docs, divisor), _rest_of_runs, counts)
 
 
 def _without(docs: DataFrame, repeated: DataFrame, rest: Callable, counts: tuple[str, str]) -> DataFrame:

@@ -160,6 +160,30 @@ def test_runs_recall_against_brute_force(spark):
     assert sum(len((t or "").split("\n")) for t in chunked.values()) > sum(len((t or "").split("\n")) for t in kept.values())
 
 
+def test_runs_do_not_depend_on_where_chunks_end(spark):
+    rng = random.Random(11)
+    passages = [[f"passage {p} line {k}" if (p + k) % 4 else "" for k in range(2 + p)] for p in range(9)]
+    texts = []
+    for i in range(60):
+        text = [f"own {i} {k}" for k in range(rng.randrange(4))]
+        for p in rng.choices(passages, k=3):
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = p
+        texts.append("\n".join(text))
+    texts += texts[:20]
+    docs = documents(spark, texts)
+    found = [sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.deduplicate_runs(docs, d).collect()) for d in (1, 3, 2**63)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_later_chunk_gives_no_windows():
+    lines = [f"line {k}" for k in range(10)]
+    wanted = [{"line": 2, "span": 4, "later": True}, {"line": 6, "span": 2, "later": False}]
+    found = list(line_dedup._chunks_and_windows(lines, wanted))
+    assert [x for x in found if x[2]] == [(2, 6, True), (6, 8, True)]
+    assert [a for a, b, whole in found if not whole] == [0, 1, 5, 6, 7, 8]
+
+
 def test_the_query_removes_runs(spark, tmp_path):
     passage = ["two lines that", "many texts share"]
     texts = ["\n".join([f"before {i}", *passage, f"after {i}"]) for i in range(30)]
