@@ -80,6 +80,77 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
+def _without_char(text: str, i: str) -> str:
+    return f"concat(substring({text}, 1, {i} - 1), substring({text}, {i} + 1))"
+
+
+def _each(i: str, below: str, body: str) -> str:
+    """``body`` for every place ``i`` of a key of ``below`` characters; none if there is no place."""
+    return f"transform(filter(sequence(1, greatest(1, {below})), {i} -> {i} <= {below}), {i} -> {body})"
+
+
+def _link(tag: str, text: str, anchor: bool) -> str:
+    return f"named_struct('link', unhex(md5(concat({tag}, ':', {text}))), 'anchor', {str(anchor).lower()})"
+
+
+def edit_links(key: str, distance: int) -> Column:
+    """Links of a key, array of (link, anchor): two keys are within the edit distance exactly if they share a link that is an anchor of one.
+
+    A key within one or two edits of another becomes equal to it when at most that many characters are taken out
+    of both. A link names those that are left and, for substitutions, their places, so no pair of keys needs to be compared. All keys of a
+    link are within the distance of each of its anchors; a link without an anchor says nothing. A key of n characters has about 2n
+    links for distance 1 and 2n * n for distance 2.
+    """
+    if distance not in (1, 2):
+        raise ValueError("the distance is 1 or 2")
+    one, n = _without_char("k", "i"), "length(k)"
+    if distance == 1:
+        parts = [
+            # A substitution leaves the same rest at the same place.
+            _each("i", n, _link("concat('s', i)", one, True)),
+            # An insertion: the shorter key is the anchor.
+            _each("i", n, _link("'d'", one, False)), f"array({_link("'d'", 'k', True)})",
+        ]
+    else:
+        two = _without_char(f"({_without_char('k', 'j')})", "i")
+        mixed = _without_char(f"({one})", "j")
+        parts = [
+            # One edit, or one character taken out and one put in elsewhere.
+            _each("i", n, _link("'e'", one, True)), f"array({_link("'e'", 'k', True)})",
+            # Two substitutions, and two insertions.
+            f"flatten({_each('j', n, _each('i', 'j - 1', _link("concat('s', i, ',', j)", two, True)))})",
+            f"flatten({_each('j', n, _each('i', 'j - 1', _link("'d'", two, False)))})", f"array({_link("'d'", 'k', True)})",
+            # A character put in and a substitution at place j of what is left.
+            f"flatten({_each('i', n, _each('j', f'{n} - 1', _link("concat('x', j)", mixed, False)))})",
+            _each("j", n, _link("concat('x', j)", _without_char("k", "j"), True)),
+        ]
+    return F.expr(f"transform(array(`{key}`), k -> array_distinct(concat({', '.join(parts)})))[0]")
+
+
+def resolve_similar(df: DataFrame, key: str, record_id: str, distance: int = 1, kind: str = "text", longest: int = 64) -> DataFrame:
+    """Rows whose keys are joined by steps of at most ``distance`` edits (1 or 2) are one entity, named by its smallest record id.
+
+    An edit puts in, takes out or replaces one character of the comparable form of the key. Distinct keys are linked by ``edit_links``
+    and contracted by ``components``: no pairs are formed, so the work grows with the keys and not with the size of a
+    cluster. A row without a key is an entity of its own. Keys of more than ``longest`` characters fail the query,
+    because links grow with the square of the length; none is left out silently.
+    """
+    keyed = df.withColumn("_match", match_key(col(key), kind))
+    fits = F.length("_match") <= longest
+    checked = F.when(fits, F.col("_match")).otherwise(F.raise_error(F.lit(f"a key of {key} has more than {longest} characters")))
+    keys = durable(keyed.filter(F.col("_match").isNotNull()).withColumn("_match", checked).groupBy("_match").agg(
+        F.min(col(record_id)).alias("_first"), F.count("*").alias("_n")))
+    links = durable(keys.select(F.col("_match").alias("node"), F.inline(edit_links("_match", distance))))
+    told = links.groupBy("link").agg(F.count("*").alias("n"), F.bool_or("anchor").alias("told")).filter("n > 1 and told").select("link", "n")
+    roots = durable(components(lookup(links.drop("anchor"), told, "link", hot_by="n").select("node", "link")))
+    rooted = lookup(keys, roots.withColumnRenamed("node", "_match"), "_match", "left")
+    rooted = durable(rooted.select("_match", "_first", "_n", F.coalesce("root", "_match").alias("_root")))
+    names = rooted.groupBy("_root").agg(F.min("_first").alias("_entity"), F.count("*").alias("_keys"))
+    named = lookup(rooted, names, "_root", hot_by="_keys").select("_match", "_entity", "_n")
+    found = lookup(keyed, named, "_match", "left", hot_by="_n")
+    return found.select(*[col(n) for n in df.columns], F.coalesce("_entity", col(record_id)).alias("entity_id"))
+
+
 def resolve_entities(df: DataFrame, keys: dict[str, str], record_id: str) -> DataFrame:
     """Rows linked by any of several keys are one entity.
 

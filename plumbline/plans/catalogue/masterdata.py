@@ -73,6 +73,27 @@ def _(spark, d):
     return resolved.select("person_id", "entity_id")
 
 
+# Least person over everyone reachable by keys of at most $d edits.
+_SIMILAR = """
+    WITH RECURSIVE k AS (SELECT person_id, lower(trim(tag)) AS tag FROM ({people})),
+    tags AS (SELECT tag, min(person_id) AS first FROM k WHERE tag IS NOT NULL GROUP BY tag),
+    edges AS (SELECT a.tag AS a, b.tag AS b FROM tags a JOIN tags b ON abs(length(a.tag) - length(b.tag)) <= $d AND levenshtein(a.tag, b.tag) <= $d),
+    reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+    least AS (SELECT a AS tag, min(first) AS entity FROM reach JOIN tags ON b = tags.tag GROUP BY a)
+    SELECT person_id, coalesce(entity, person_id) AS entity_id FROM k LEFT JOIN least ON k.tag = least.tag""".format(
+    people=VIEWS["customer_typos"].format(customer="customer"))
+
+
+@query("m2_similar_keys", _SIMILAR.replace("$d", "1"))
+def _(spark, d):
+    return master.resolve_similar(view(spark, d, "customer_typos"), "tag", "person_id", 1).select("person_id", "entity_id")
+
+
+@query("m2_similar_keys_two_edits", _SIMILAR.replace("$d", "2"))
+def _(spark, d):
+    return master.resolve_similar(view(spark, d, "customer_typos"), "tag", "person_id", 2).select("person_id", "entity_id")
+
+
 @query("m3_deduplicated", """
     SELECT min(doc_id) AS doc_id, length(text)::INTEGER AS length FROM documents GROUP BY text""")
 def _(spark, d):

@@ -78,6 +78,13 @@ VIEWS = {
                     THEN concat('(555) ', CAST(100000 + c_custkey % 900 AS VARCHAR(20)))
                     ELSE concat('555-', CAST(100000 + c_custkey % 900 AS VARCHAR(20))) END AS phone
         FROM {customer}""",
+    "customer_typos": """
+        SELECT person_id, CASE WHEN person_id % 17 = 0 THEN NULL WHEN person_id % 3 = 0 THEN tag
+               WHEN person_id % 3 = 1 THEN concat(substring(tag, 1, place - 1), 'x', substring(tag, place + 1))
+               WHEN person_id % 5 = 0 THEN concat(' ', upper(substring(tag, 1, place)), 'yz', substring(tag, place + 1))
+               ELSE concat(substring(tag, 1, place - 1), substring(tag, place + 1)) END AS tag
+        FROM (SELECT c_custkey AS person_id, c_custkey % 12 + 1 AS place,
+                     substring(md5(CAST(c_custkey % 499 AS VARCHAR(20))), 1, 12) AS tag FROM {customer}) AS tagged""",
 }
 _TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

@@ -70,6 +70,72 @@ def test_no_shared_key_leaves_every_row_its_own_entity(spark):
     assert {r["id"]: r["entity_id"] for r in found} == {1: 1, 2: 2}
 
 
+def edited(rng, text, n):
+    for _ in range(n):
+        at = rng.randrange(len(text) + 1)
+        text = rng.choice([text[:at] + rng.choice("abc") + text[at:], text[:at] + text[at + 1:], text[:at] + rng.choice("abc") + text[at + 1:]])
+    return text
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_keys_share_an_anchor_exactly_within_the_distance(spark, distance):
+    rng = random.Random(distance)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    pairs = [(w, edited(rng, w, n)) for w in words for n in range(5)] + [("né", "ne"), ("日本", "日"), ("ab", "ba"), ("abc", "bcd")]
+    df = small_table(spark, [p for p in pairs if p[1]], "s string, t string")
+    links = df.select("s", "t", master.edit_links("s", distance).alias("a"), master.edit_links("t", distance).alias("b"))
+    shared = F.expr("exists(a, x -> exists(b, y -> x.link = y.link and (x.anchor or y.anchor)))")
+    rows = links.select("s", "t", shared.alias("shared"), F.levenshtein("s", "t").alias("d")).collect()
+    assert [(r.s, r.t, r.d) for r in rows if r.shared != (r.d <= distance)] == []
+    assert 200 < sum(r.shared for r in rows) < len(rows) - 200
+
+
+def within(a, b, d):
+    """Edit distance at most d, by the usual table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1] <= d
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_similar_keys_against_brute_force(spark, monkeypatch, distance):
+    monkeypatch.setattr(layout, "HOT_SHARE", 5)
+    rng = random.Random(20 + distance)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(25)]
+    people = [(i, edited(rng, rng.choice(names), rng.randrange(3))) for i in range(120)]
+    # One key holds a third of the rows, and one cluster many keys that differ at one place.
+    people += [(i, " SHARED key") for i in range(200, 290)] + [(i, f"cluster {i % 10}") for i in range(300, 330)]
+    people += [(400, None), (401, ""), (402, "  "), (403, "q"), (404, "r"), (405, "shared kez")]
+    entity = {i: i for i, _ in people}
+    keys = {i: (k or "").strip().lower() for i, k in people}
+    distinct = sorted(set(keys.values()) - {""})
+    group = {k: k for k in distinct}
+    for a in distinct:
+        for b in distinct:
+            if a < b and group[a] != group[b] and within(a, b, distance):
+                old, new = group[b], group[a]
+                group = {k: new if g == old else g for k, g in group.items()}
+    for i, k in keys.items():
+        if k:
+            entity[i] = min(j for j, other in keys.items() if other and group[other] == group[k])
+    df = small_table(spark, people, "id int, name string").withColumn("entity", F.lit(1))
+    found = master.resolve_similar(df, "name", "id", distance)
+    assert found.columns == ["id", "name", "entity", "entity_id"]
+    assert {r.id: r.entity_id for r in found.collect()} == entity
+    assert master.resolve_similar(df.limit(0), "name", "id", distance).collect() == []
+
+
+def test_longer_keys_fail_the_query(spark):
+    df = small_table(spark, [(1, "a" * 9), (2, "b")], "id int, name string")
+    with pytest.raises(Exception, match="more than 8 characters"):
+        master.resolve_similar(df, "name", "id", 1, longest=8)
+    with pytest.raises(ValueError, match="1 or 2"):
+        master.resolve_similar(df, "name", "id", 3)
+
+
 def test_deduplicate_keeps_the_first_and_is_idempotent(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (4, None)], "id int, t string")
     once = master.deduplicate(df, ["t"], ["id"])
