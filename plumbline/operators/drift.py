@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import stats
 from plumbline.functions.columns import col, kind_of
 from plumbline.operators import frequencies, issues, quantiles
+from plumbline.operators.baseline import Baseline
 from plumbline.operators.facts import local_facts, number
 from plumbline.operators.layout import lookup, melt, range_buckets
 from plumbline.operators.scores import union_all
@@ -33,7 +34,7 @@ class Drift(NamedTuple):
     status: DataFrame
 
 
-def column_sets(baseline: DataFrame, current: DataFrame) -> DataFrame:
+def column_sets(baseline: DataFrame | Baseline, current: DataFrame) -> DataFrame:
     """(column, change): added, dropped or common."""
     old, new = set(baseline.columns), set(current.columns)
     rows = [(c, "common" if c in old and c in new else "added" if c in new else "dropped")
@@ -41,7 +42,7 @@ def column_sets(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return small_table(baseline.sparkSession, rows, "column string, change string")
 
 
-def comparable_columns(baseline: DataFrame, current: DataFrame) -> tuple[list[str], list[str]]:
+def comparable_columns(baseline: DataFrame | Baseline, current: DataFrame) -> tuple[list[str], list[str]]:
     """Common columns: numeric on both sides, and the others."""
     common = [c for c in baseline.columns if c in current.columns]
     numeric = [
@@ -52,7 +53,7 @@ def comparable_columns(baseline: DataFrame, current: DataFrame) -> tuple[list[st
 
 
 def ks_statistics(
-    baseline: DataFrame,
+    baseline: DataFrame | Baseline,
     current: DataFrame,
     columns: list[str],
     p_value_method: str = "asymptotic",
@@ -117,14 +118,14 @@ def _bounded_ranges(sides, columns: list[str], splits: dict[str, list[float]]) -
 
 def _value_sides(sides, to_long, by: list[str]) -> DataFrame:
     """Counts per distinct value on both sides, absent values as 0."""
-    long = [to_long(df).select(*by, F.lit(b).alias("b"), F.lit(c).alias("c")) for df, b, c in sides]
+    long = [to_long(df).select(*by, (F.col("n") * b).alias("b"), (F.col("n") * c).alias("c")) for df, b, c in sides]
     return union_all(long).groupBy(*by).agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
 
 
 def _splits(sides, columns: list[str], rows_per_range: int | None) -> dict[str, list[float]]:
     """Cut points per column from one sketch of both sides: RANGES ranges, or as many as the rows need."""
     shares = [i / RANGES for i in range(1, RANGES)]
-    numbers = [df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]) for df, _, _ in sides]
+    numbers = [_numbers(df, columns).drop("n") for df, _, _ in sides]
     row = union_all(numbers).agg(F.count(F.lit(1)).alias("rows"), *[
         quantiles.sketched(F.col(f"v{i}"), shares, quantiles.SKETCH_SIZE).alias(f"s{i}") for i in range(len(columns))
     ]).first()
@@ -134,12 +135,20 @@ def _splits(sides, columns: list[str], rows_per_range: int | None) -> dict[str,
     return {c: sorted({row[f"s{i}"][k] for k in chosen}) if row[f"s{i}"] else [0.0] for i, c in enumerate(columns)}
 
 
+def _numbers(df: DataFrame | Baseline, columns: list[str]) -> DataFrame:
+    """Columns v0, v1, ... as doubles and how many rows a row stands for; of a stored baseline, a row per column and value."""
+    if isinstance(df, Baseline):
+        values = [df.number(c).alias(f"v{i}") for i, c in enumerate(columns)]
+        return df.counts(columns).select(*values, F.col("count").alias("n"))
+    return df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)], F.lit(1).cast("bigint").alias("n"))
+
+
 def _with_ranges(
-    df: DataFrame, columns: list[str], splits: dict[str, list[float]], only: dict[str, list[int]] | None = None,
+    df: DataFrame | Baseline, columns: list[str], splits: dict[str, list[float]], only: dict[str, list[int]] | None = None,
 ) -> DataFrame:
-    """Long form (column, value, range): the range of a value is looked up in its row. ``only``: the ranges wanted per column."""
+    """Long form (column, value, range, n): the range of a value is looked up in its row. ``only``: the ranges wanted per column."""
     names = [c for c in columns if only is None or c in only]
-    wide = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    wide = _numbers(df, names)
     ranged = Bucketizer(
         splitsArray=[[float("-inf"), *splits[c], float("inf")] for c in names],
         inputCols=[f"v{i}" for i in range(len(names))],
@@ -152,7 +161,7 @@ def _with_ranges(
         return made if only is None else F.when(F.col(f"r{i}").cast("int").isin(only[c]), made)
 
     cells = F.array(*[cell(i, c) for i, c in enumerate(names)])
-    return ranged.select(F.explode(cells).alias("x")).select("x.*").filter("value is not null")
+    return ranged.select(F.explode(cells).alias("x"), "n").select("x.*", "n").filter("value is not null")
 
 
 def _running(counts: DataFrame, starts: DataFrame) -> DataFrame:
@@ -436,7 +445,7 @@ def rename_candidates(baseline: DataFrame, current: DataFrame, least: float = 0.
 
 
 def drift_table(
-    baseline: DataFrame, current: DataFrame, p: DriftParams = DriftParams(), pairs: DataFrame | None = None
+    baseline: DataFrame | Baseline, current: DataFrame, p: DriftParams = DriftParams(), pairs: DataFrame | None = None
 ) -> DataFrame:
     """One row per column: added, dropped, numeric (KS) or categorical (PSI, JS)."""
     numeric, other = comparable_columns(baseline, current)
@@ -482,10 +491,10 @@ def drift_findings(drift: DataFrame, dataset: str = "table") -> DataFrame:
 
 
 def detect_drift(
-    baseline: DataFrame, current: DataFrame, key: list[str], p: DriftParams = DriftParams(),
+    baseline: DataFrame | Baseline, current: DataFrame, key: list[str], p: DriftParams = DriftParams(),
     dataset: str = "table",
 ) -> Drift:
-    """Column drift, drifting rows of the current table, and the status."""
+    """Column drift, drifting rows of the current table, and the status. A stored baseline gives the same as its table."""
     if baseline.isEmpty() or current.isEmpty():
         raise ValueError("one or both tables are empty")
     numeric, other = comparable_columns(baseline, current)
@@ -496,7 +505,10 @@ def detect_drift(
     moved = [r["column"] for r in rows if r["statistic"] == "psi" and r["drift_detected"]]
     found, listed = [], []
     if shifted:
-        base = local_facts(baseline.select(*[col(c) for c in shifted]), ("range", "moments"))
+        if isinstance(baseline, Baseline):
+            base = baseline.facts.filter(F.col("column").isin(shifted))
+        else:
+            base = local_facts(baseline.select(*[col(c) for c in shifted]), ("range", "moments"))
         cells = issues.cell_issues(current, key, numeric_drift_rules(current, base, shifted, p), dataset)
         found.append(cells.select(*issues.FIELDS))
         listed.append(issues.first_per_kind(cells, p.rows_listed))

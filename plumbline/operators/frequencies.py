@@ -58,13 +58,15 @@ def whole_values(df: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumn("value", F.coalesce("_whole", "value")).select(*[c for c in found.columns if c != "digest"])
 
 
-def paired_counts(baseline: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """Value counts of two tables side by side; an absent value counts 0.
+def paired_counts(baseline, current: DataFrame, columns: list[str]) -> DataFrame:
+    """Value counts of two tables side by side; an absent value counts 0. The baseline may be a stored one.
 
     One tagged union and one aggregate stand in for a full outer join of two
     count tables: a single shuffle instead of three.
     """
     def side(df, b, c):
+        if not isinstance(df, DataFrame):
+            return df.counts(columns).select("column", "value", (F.col("count") * b).alias("b"), (F.col("count") * c).alias("c"))
         long = melt(df, columns).filter(F.col("value").isNotNull())
         return long.select("column", "value", F.lit(b).alias("b"), F.lit(c).alias("c"))
 

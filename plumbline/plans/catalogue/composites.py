@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, drift, governance, nulls, outliers, privacy, profile, readiness, schema_drift, types
+from plumbline.operators import baseline, checks, drift, governance, nulls, outliers, privacy, profile, readiness, schema_drift, types
 from plumbline.params import (
     CheckRules, DriftParams, NullParams, OutlierParams, ProfileParams, ReadinessParams, TypeParams,
 )
@@ -14,6 +14,7 @@ from plumbline.plans import workflows
 from plumbline.plans.catalogue.aggregates import _PII, risk_points_sql
 from plumbline.plans.catalogue.distances import BOTH, _KS_P, _changed, _ks_sql, _sides
 from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
+from plumbline.sources.writers import scratch_folder
 
 
 def _number_row(c, data_type, source):
@@ -220,23 +221,44 @@ def _(spark, d):
     return drift.detect_drift(base, cur, ["event_id"]).status
 
 
+def _stored_base(spark, base):
+    folder = scratch_folder(spark, "baseline")
+    return baseline.load_baseline(spark, folder, baseline.save_baseline(base, folder))
+
+
+@query("c4_drift_from_snapshot", _DRIFT_SQL, BOTH)
+def _(spark, d):
+    base, cur = _sides(spark, d)
+    return rounded(drift.drift_table(_stored_base(spark, base), cur).drop("p_value"))
+
+
 _NEW_ROWS = """SELECT '$c' AS key, count(*) AS count FROM events_cur WHERE $c IS NOT NULL AND CAST($c AS VARCHAR) NOT IN (
       SELECT CAST($c AS VARCHAR) FROM events_base WHERE $c IS NOT NULL) HAVING count(*) > 0"""
 
 
-@query("c4_drift_issue_summary", """
+_ISSUES_SQL = ("""
     WITH m AS (SELECT avg(event_id) AS em, stddev_samp(event_id) AS es, avg(value) AS vm, stddev_samp(value) AS vs,
                       avg(user_id) AS um, stddev_samp(user_id) AS us FROM events_base)
     SELECT 'event_id' AS key, count(*) AS count FROM events_cur, m WHERE abs((event_id - em) / es) > 2
     UNION ALL SELECT 'value', count(*) FROM events_cur, m WHERE abs((value - vm) / vs) > 2
     UNION ALL SELECT 'user_id', count(*) FROM events_cur, m WHERE abs((user_id - um) / us) > 2 HAVING count(*) > 0 UNION ALL """
-    + union_sql(["ts", "event_type", "props"], _NEW_ROWS), BOTH)
+    + union_sql(["ts", "event_type", "props"], _NEW_ROWS))
+
+
+@query("c4_drift_issue_summary", _ISSUES_SQL, BOTH)
 def _(spark, d):
     base, cur = _sides(spark, d)
     found = drift.detect_drift(base, cur, ["event_id"])
     return found.issue_summary.filter("dimension = 'column'").select("key", "count")
 
 
+@query("c4_snapshot_issue_summary", _ISSUES_SQL, BOTH)
+def _(spark, d):
+    base, cur = _sides(spark, d)
+    found = drift.detect_drift(_stored_base(spark, base), cur, ["event_id"])
+    return found.issue_summary.filter("dimension = 'column'").select("key", "count")
+
+
 _GOVERNED = """
     WITH f AS (SELECT count(*) AS n, count(*) - count(source_system) AS s, count(*) - count(created_date) AS c,
         count(*) FILTER (WHERE NOT regexp_matches(source_system, '^[A-Z_]+$')) AS bad_source,
