@@ -98,12 +98,15 @@ def _facts(batch: pa.RecordBatch) -> pa.RecordBatch:
     # Character classes and symbols over the UTF-8 bytes.
     sizes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
     joined = np.frombuffer("".join(text.to_pylist()).encode(), np.uint8)
-    kinds = _class_table()[joined]
     owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
-    classes = np.bincount(owner * (CLASSES + 1) + kinds, minlength=n * (CLASSES + 1)).reshape(n, CLASSES + 1)[:, :CLASSES]
-    symbol = np.zeros(256, np.int64)
-    symbol[list(SYMBOLS)] = 1
-    symbols = np.bincount(owner, weights=symbol[joined], minlength=n).astype(np.int64)
+    symbol = np.zeros(256, bool)
+    symbol[list(SYMBOLS)] = True
+    symbols = np.bincount(owner[symbol[joined]], minlength=n).astype(np.int64)
+    # In place: one such array is eight times the text.
+    owner *= CLASSES + 1
+    owner += _class_table()[joined]
+    classes = np.bincount(owner, minlength=n * (CLASSES + 1)).reshape(n, CLASSES + 1)[:, :CLASSES]
+    del owner
     # Common words, without marks around them; the last bin holds all other words.
     plain = pc.utf8_lower(pc.utf8_trim(values, ".,;:!?\"'()#*$%&|<>"))
     bins = pc.fill_null(pc.index_in(plain, pa.array(WORD_LIST)), len(WORD_LIST)).to_numpy(zero_copy_only=False).astype(np.int64)
