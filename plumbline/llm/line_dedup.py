@@ -121,7 +121,7 @@ def _pieces(texts: DataFrame, choose: Choice) -> DataFrame:
             [batch.column("_id").take(at), batch.column("_mark").take(at), pa.array(starts, pa.int32()), pa.array(spans, pa.int32()),
              pa.array(keys, pa.binary()), pa.array(pieces, pa.string())],
             names=["_id", "_mark", "line", "span", "key", "piece"])
-    return map_steps(texts, run, _PIECE, "_text")
+    return map_steps(texts, run, _PIECE, "_text", release=True)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -242,4 +242,4 @@ def _without(docs: DataFrame, repeated: DataFrame, rest: Callable, counts: tuple
         return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array([k for _, k in done], pa.int64())],
                                           names=[*names, *counts])
 
-    return map_steps(joined, run, schema)
+    return map_steps(joined, run, schema, release=True)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.components import components
-from plumbline.llm.support import attach, codes_of, columns_of, join_spread, map_steps, mixed, stored, unused, words_of
+from plumbline.llm.support import attach, codes_of, columns_of, join_spread, map_steps, mixed, released, stored, unused, words_of
 
 REGISTERS = 160
 # SetSketch parameters: base and rate of the scale, and its largest value.
@@ -224,7 +224,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     # A leader of a large bucket stands in many pairs.
     two = join_spread(one, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", F.col("b"), pairs)
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(limits), "a bigint, b bigint").distinct()
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(released(_confirmed(limits)), "a bigint, b bigint").distinct()
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -300,20 +300,20 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Each document with its set size and the least doc_id of its component; ``mark`` is a hash of its text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = stored(map_steps(rows.withColumn("mark", F.xxhash64("text")), _sketch(limits.width),
-                                "doc_id bigint, mark bigint, n_shingles bigint, set_digest binary, sketch binary, sample binary"), "near-sketches")
+                                "doc_id bigint, mark bigint, n_shingles bigint, set_digest binary, sketch binary, sample binary", release=True), "near-sketches")
     groups = stored(sketches.where(F.col("set_digest").isNotNull()).groupBy("set_digest").agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"),
         F.first("sketch").alias("sketch"), F.first("sample").alias("sample")), "near-classes")
     # A doc_id with several texts is one node that may stand for several classes.
     classes = groups.where(F.col("node").isNotNull()).select("node", "n_shingles", "sketch", "sample")
-    members = stored(classes.select("node", "sketch").mapInArrow(_buckets(limits), "bucket binary, node bigint").distinct(), "near-buckets")
+    members = stored(classes.select("node", "sketch").mapInArrow(released(_buckets(limits)), "bucket binary, node bigint").distinct(), "near-buckets")
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     led = attach(members, leaders, "bucket", "size", members.count(), F.col("node")).where(
         F.col("leader").isNotNull() & (F.col("node") != F.col("leader")))
     led = stored(led.select("bucket", "node", "leader"), "near-led")
     texts = rows.withColumnRenamed("doc_id", "node")
     stars = _sketched(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes)
-    stars = stored(stars.mapInArrow(_likely(limits), "a bigint, b bigint").distinct(), "near-stars")
+    stars = stored(stars.mapInArrow(released(_likely(limits)), "a bigint, b bigint").distinct(), "near-stars")
     links = stored(confirm(stars, texts, limits), "near-links")
     known = stored(components(links), "near-known")
     rest = stored(_rest(led.select("bucket", "node"), known, classes, limits), "near-rest")

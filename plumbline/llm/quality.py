@@ -31,6 +31,7 @@ COMMON_WORDS = {
 }
 WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
 SYMBOLS = b"#*$%&|<>"
+STEP = 1 << 20  # bytes of text in one numpy step: its arrays take some 20 times that
 CLASSES = 7  # lower, upper, digit, white space, punctuation, beyond ASCII, symbols
 
 # Limits of the method: for n characters MAX_CLASS_DISTANCE + CLASS_ALLOWANCE / n, for n words MAX_WORD_DISTANCE + WORD_ALLOWANCE / n.
@@ -193,7 +194,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """Base figures and verdict of each document."""
-    facts = stored(map_steps(_rows(docs), _facts, _FACTS), "quality-facts")
+    facts = stored(map_steps(_rows(docs), _facts, _FACTS, size=STEP, release=True), "quality-facts")
     references = _references(facts)
 
     def run(batches):
@@ -206,11 +207,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns. The texts are read twice, and nothing is shuffled but sums."""
-    references = _references(map_steps(_rows(docs), _facts, _FACTS))
+    references = _references(map_steps(_rows(docs), _facts, _FACTS, size=STEP, release=True))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang = batch.column("lang") if "lang" in batch.schema.names else pa.nulls(batch.num_rows, pa.string())
         own = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lang], names=["doc_id", "text", "lang"])
         return batch.filter(_verdicts(_facts(own), references).column("kept"))
 
-    return map_steps(docs, run, docs.schema)
+    return map_steps(docs, run, docs.schema, size=STEP, release=True)

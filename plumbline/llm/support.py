@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -94,8 +95,8 @@ def join_spread(rows: DataFrame, values: DataFrame, key: str, spread: Column, co
     return dealt.join(copied, [key, "_copy"]).drop("_copy")
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about STEP_BYTES of text, or one longer text."""
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about ``size`` bytes of text, or one longer text."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -103,22 +104,41 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 
 
-def map_steps(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema, text: str = "text") -> DataFrame:
-    """``function`` over the batches of a table, cut by ``steps``."""
+def give_back() -> None:
+    """Hand unused memory back to the system: Spark keeps a Python worker, with what it holds, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task, giving back memory before and after it: what an earlier task's function held is free only then."""
+    def run(batches: Iterator) -> Iterator:
+        give_back()
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
+def map_steps(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema, text: str = "text",
+              size: int = STEP_BYTES, release: bool = False) -> DataFrame:
+    """``function`` over the batches of a table, cut by ``steps``. release: its tasks give back memory."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in steps([batch.rename_columns(names)], text):
+            for step in steps([batch.rename_columns(names)], text, size):
                 yield function(step)
 
     # Spark reads a dot in a column's name as the way to a field.
-    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(released(run) if release else run, schema)
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
