@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed, stats
 from plumbline.operators import (
-    duplicates, frequencies, issues, outliers, privacy, profile, readiness, schema_drift, types,
+    deliveries, duplicates, frequencies, issues, outliers, privacy, profile, readiness, schema_drift, types,
 )
 from plumbline.operators.facts import column_facts, local_facts, table_counts
 from plumbline.operators.scores import mean_scores, union_all
 from plumbline.params import OutlierParams
 from plumbline.plans.catalogue.registry import query, rounded, table, union_sql, view
+from plumbline.sources.writers import scratch_folder
 
 LINEITEM_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -303,3 +304,17 @@ def _(spark, d):
     df = view(spark, d, "lineitem_outliers")
     rows = outliers.bounds(df, OutlierParams(), ["l_extendedprice"]).collect()
     return outliers.outlier_summary(df, rows).select("column", "outlier_count", "outlier_pct", "advice")
+
+
+@query("a10_profile_of_deliveries", union_sql(
+    ["o_orderkey", "o_custkey", "o_totalprice"], """
+    SELECT '$c' AS "column", count(*) AS row_count, count(*) - count($c) AS null_count, CAST(min($c) AS DOUBLE) AS min,
+           CAST(max($c) AS DOUBLE) AS max, round(avg($c), 4) AS mean, round(stddev_samp($c), 4) AS std_dev FROM orders_nulls"""), ["orders_nulls"])
+def _(spark, d):
+    orders, folder = view(spark, d, "orders_nulls"), scratch_folder(spark, "deliveries")
+    status = F.coalesce(F.col("o_orderstatus"), F.lit("none"))
+    # One delivery for each of the few order states.
+    for (name,) in orders.select(status).distinct().collect():
+        deliveries.save_delivery(orders.filter(status == name), folder, name)
+    merged = deliveries.merged_profile(spark, folder).filter(F.col("mean").isNotNull())
+    return rounded(merged.select("column", "row_count", "null_count", "min", "max", "mean", "std_dev"), 4)
