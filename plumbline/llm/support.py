@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.sources.state import ensure_checkpoint_dir
+from plumbline.sources.state import shared_folder, stored  # noqa: F401
 
 # A key that holds at least 1/HOT_SHARE of all rows is hot; so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
@@ -21,22 +20,6 @@ HOT_SHARE = 1000
 STEP_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the one that ``spark.checkpoint.dir`` names."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        ensure_checkpoint_dir(spark)
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the table to the shared folder and go on from the files."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with marks in front until the table has no column of that name."""
     taken = {c.lower() for c in df.columns}

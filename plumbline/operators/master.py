@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col
 from plumbline.operators import duplicates
 from plumbline.operators.layout import lookup, row_digest
-from plumbline.sources.state import durable
+from plumbline.sources.state import durable, stored
 
 
 class Deduplicated(NamedTuple):
@@ -58,25 +58,25 @@ def components(links: DataFrame) -> DataFrame:
     moves to the neighbour with the smallest hash of that round, and the pairs
     are contracted, so that chains of any length shrink by a constant factor.
     """
-    pairs = durable(links.distinct())
+    pairs = stored(links.distinct(), "pairs")
     steps = []
     for turn in itertools.count():
         rank = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), F.col("node").alias("node"))
         best = pairs.groupBy("link").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
-        best = durable(best.filter(F.col("n") > 1))
+        best = stored(best.filter(F.col("n") > 1), "best")
         if best.isEmpty():
             break
-        live = durable(lookup(pairs, best, "link", stored=True, hot_by="n"))
-        step = durable(live.groupBy("node").agg(F.min("best").alias("b")).select("node", F.col("b.node").alias("hop")))
+        live = stored(lookup(pairs, best, "link", stored=True, hot_by="n"), "live")
+        step = stored(live.groupBy("node").agg(F.min("best").alias("b")).select("node", F.col("b.node").alias("hop")), "step")
         steps.append(step)
         moved = lookup(live.select("node", "link"), step, "node", stored=True)
-        pairs = durable(moved.select(F.col("hop").alias("node"), "link").distinct())
+        pairs = stored(moved.select(F.col("hop").alias("node"), "link").distinct(), "pairs")
     if not steps:
         return links.select("node", F.col("node").alias("root")).limit(0)
     roots = steps[-1].select("node", F.col("hop").alias("root"))
     for step in reversed(steps[:-1]):
-        later = roots.select(F.col("node").alias("hop"), "root")
-        roots = lookup(step, later, "hop", "left").select("node", F.coalesce("root", "hop").alias("root"))
+        later = stored(roots.select(F.col("node").alias("hop"), "root"), "roots")
+        roots = lookup(step, later, "hop", "left", stored=True).select("node", F.coalesce("root", "hop").alias("root"))
     return roots
 
 
@@ -138,13 +138,13 @@ def resolve_similar(df: DataFrame, key: str, record_id: str, distance: int = 1,
     keyed = df.withColumn("_match", match_key(col(key), kind))
     fits = F.length("_match") <= longest
     checked = F.when(fits, F.col("_match")).otherwise(F.raise_error(F.lit(f"a key of {key} has more than {longest} characters")))
-    keys = durable(keyed.filter(F.col("_match").isNotNull()).withColumn("_match", checked).groupBy("_match").agg(
-        F.min(col(record_id)).alias("_first"), F.count("*").alias("_n")))
-    links = durable(keys.select(F.col("_match").alias("node"), F.inline(edit_links("_match", distance))))
+    keys = stored(keyed.filter(F.col("_match").isNotNull()).withColumn("_match", checked).groupBy("_match").agg(
+        F.min(col(record_id)).alias("_first"), F.count("*").alias("_n")), "keys")
+    links = stored(keys.select(F.col("_match").alias("node"), F.inline(edit_links("_match", distance))), "links")
     told = links.groupBy("link").agg(F.count("*").alias("n"), F.bool_or("anchor").alias("told")).filter("n > 1 and told").select("link", "n")
-    roots = durable(components(lookup(links.drop("anchor"), told, "link", hot_by="n").select("node", "link")))
+    roots = stored(components(lookup(links.drop("anchor"), told, "link", hot_by="n").select("node", "link")), "roots")
     rooted = lookup(keys, roots.withColumnRenamed("node", "_match"), "_match", "left")
-    rooted = durable(rooted.select("_match", "_first", "_n", F.coalesce("root", "_match").alias("_root")))
+    rooted = stored(rooted.select("_match", "_first", "_n", F.coalesce("root", "_match").alias("_root")), "rooted")
     names = rooted.groupBy("_root").agg(F.min("_first").alias("_entity"), F.count("*").alias("_keys"))
     named = lookup(rooted, names, "_root", hot_by="_keys").select("_match", "_entity", "_n")
     found = lookup(keyed, named, "_match", "left", hot_by="_n")

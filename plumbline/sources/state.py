@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the one that ``spark.checkpoint.dir`` names."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        ensure_checkpoint_dir(spark)
+        top = spark.sparkContext.getCheckpointDir()
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the table to the shared folder and go on from the files.
+
+    For loops of joins, in place of ``durable``: a checkpoint keeps the size that was estimated for its plan, and the estimate of a join is
+    the product of its sides, so the digits of the estimate would double in every round. Files have the size they have.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_table(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
     """Literal rows as a table that the optimizer knows to be local."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

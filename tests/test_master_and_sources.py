@@ -128,6 +128,23 @@ def test_similar_keys_against_brute_force(spark, monkeypatch, distance):
     assert master.resolve_similar(df.limit(0), "name", "id", distance).collect() == []
 
 
+def test_rounds_do_not_multiply_the_estimated_size(spark, monkeypatch):
+    # One chain of keys, each one edit from the next: many rounds. Estimates of joins on estimates had 2,800,234 digits.
+    chain = ["a" * i + "b" * (40 - i) for i in range(41)]
+    df = small_table(spark, [(i, k) for i, k in enumerate(chain)], "id int, name string")
+    bits = []
+
+    def watched(links):
+        roots = components(links)
+        bits.append(roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return roots
+
+    components = master.components
+    monkeypatch.setattr(master, "components", watched)
+    assert {r.entity_id for r in master.resolve_similar(df, "name", "id").collect()} == {0}
+    assert 0 < bits[0] < 200
+
+
 def test_longer_keys_fail_the_query(spark):
     df = small_table(spark, [(1, "a" * 9), (2, "b")], "id int, name string")
     with pytest.raises(Exception, match="more than 8 characters"):
