@@ -194,6 +194,8 @@ COLUMNS = {
     "op4": "doc_id n_shingles component_id kept", "op5": "doc_id n_tokens ids_sha256 decoded_sha256", "op6": "doc_id text n_entities",
     "op7": "doc_id size source_size target taken", "op8": "doc_id size text_crc32 law shard slot grown_shard", "op9": "page_id url text n_chars",
     "op10": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", "op12": "doc_id fingerprint component_id",
+    "op13": "item_id rank doc_id score",
 }
 
 
@@ -205,10 +207,15 @@ def test_queries(spark, name):
     df = QUERIES[name](spark, folder)
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(df.columns)
     rows = df.collect()
-    assert len(rows) == spark.read.parquet(f"{folder}/{'pages' if name.startswith('op9') else 'documents'}.parquet").count()
+    if name.startswith("op13"):
+        # Ten rows an item at most; the SQL twin below fixes them.
+        assert name in ORACLE and rows and len(rows) <= 10 * spark.read.parquet(f"{folder}/benchmark.parquet").count()
+    else:
+        assert len(rows) == spark.read.parquet(f"{folder}/{'pages' if name.startswith('op9') else 'documents'}.parquet").count()
     if name in ORACLE:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        for table in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
         cursor = con.execute(ORACLE[name])
         names = [d[0] for d in cursor.description]
         assert sorted(names) == sorted(df.columns)
